@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -24,6 +25,11 @@ from faretrace.schema import FEATURE_COLUMNS
 from faretrace.session import ensure_checkpoint_dir
 
 
+SCORES = ("tp", "fp", "fn", "precision", "recall", "f1")
+SCORE_SCHEMA = ("model string, tp long, fp long, fn long, precision double, recall double, "
+                "f1 double, roc_auc double")
+
+
 @dataclass(frozen=True)
 class Fit:
     """A fitted classifier with the predictors it was given."""
@@ -56,6 +62,16 @@ def design_matrix(model_rows: DataFrame, columns: Sequence[str] = FEATURE_COLUMN
         "legId", date_col, "routeName", "label", "totalFareTarget", *wanted)
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Hold a frame that several fits read; it spills to disk and is rebuilt if lost."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def _prepare(columns: Sequence[str], train: DataFrame) -> list:
     """Median imputation learned on training rows, then one vector."""
     filled = [f"{c}_filled" for c in columns]
@@ -72,14 +88,11 @@ def _fit(train: DataFrame, columns: Sequence[str], params: Params, trees: int,
                              .otherwise(F.lit(1.0)))
     for stage in stages:
         ready = stage.transform(ready)
-    ready = ready.select("inputs", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        trees_model = GBTClassifier(
-            featuresCol="inputs", labelCol="label", weightCol="weight", maxIter=trees,
-            maxDepth=params.max_depth, stepSize=params.learning_rate, seed=params.seed,
-        ).fit(ready)
-    finally:
-        ready.unpersist()
+    learner = GBTClassifier(
+        featuresCol="inputs", labelCol="label", weightCol="weight", maxIter=trees,
+        maxDepth=params.max_depth, stepSize=params.learning_rate, seed=params.seed)
+    with kept(ready.select("inputs", "label", "weight")) as held:
+        trees_model = learner.fit(held)
     return Fit(PipelineModel([*stages, trees_model]), tuple(columns))
 
 
@@ -98,11 +111,15 @@ def fit_classifier(design: DataFrame, fold: Fold, columns: Sequence[str] = FEATU
 
 
 def score_classifier(fit: Fit, design: DataFrame, fold: Fold, name: str) -> DataFrame:
-    """(model, tp, fp, fn, precision, recall, f1, roc_auc) on the fold's test rows."""
-    predicted = fit.predict(fold.test(design)).select("label", "score")
-    auc = scoring.roc_auc(predicted).scalar()
-    return scoring.threshold_scores(predicted).select(
-        F.lit(name).alias("model"), "*").withColumn("roc_auc", auc)
+    """One row (model, tp, fp, fn, precision, recall, f1, roc_auc) on the fold's test rows.
+
+    Evaluated at once, so that the caller may release ``design`` afterwards.
+    """
+    with kept(fit.predict(fold.test(design)).select("label", "score")) as predicted:
+        at_half = scoring.threshold_scores(predicted).first().asDict()
+        auc = scoring.roc_auc(predicted).first()["roc_auc"]
+    return design.sparkSession.createDataFrame(
+        [(name, *[at_half[c] for c in SCORES], auc)], SCORE_SCHEMA)
 
 
 def fit_and_score(design: DataFrame, fold: Fold, name: str,
@@ -116,20 +133,21 @@ def fit_and_score(design: DataFrame, fold: Fold, name: str,
 def leakage_demo(model_rows: DataFrame, fold: Fold, params: Params = DEFAULTS,
                  trees: int | None = None) -> DataFrame:
     """The same fit with and without the predicted fare among the predictors."""
-    design = design_matrix(model_rows, extra=["totalFare"])
-    honest, _ = fit_and_score(design, fold, "legitimate", params=params, trees=trees)
-    leaky, _ = fit_and_score(design, fold, "with_total_fare", [*FEATURE_COLUMNS, "totalFare"],
-                             params, trees, allow_leaks=True)
+    with kept(design_matrix(model_rows, extra=["totalFare"])) as design:
+        honest, _ = fit_and_score(design, fold, "legitimate", params=params, trees=trees)
+        leaky, _ = fit_and_score(design, fold, "with_total_fare",
+                                 [*FEATURE_COLUMNS, "totalFare"], params, trees,
+                                 allow_leaks=True)
     return honest.unionByName(leaky)
 
 
 def weighting_comparison(model_rows: DataFrame, fold: Fold, params: Params = DEFAULTS,
                          trees: int | None = None) -> DataFrame:
     """Unweighted baseline beside the class-weighted fit."""
-    design = design_matrix(model_rows)
-    plain, _ = fit_and_score(design, fold, "unweighted", params=params, trees=trees,
-                             weighted=False)
-    weighted, _ = fit_and_score(design, fold, "class_weighted", params=params, trees=trees)
+    with kept(design_matrix(model_rows)) as design:
+        plain, _ = fit_and_score(design, fold, "unweighted", params=params, trees=trees,
+                                 weighted=False)
+        weighted, _ = fit_and_score(design, fold, "class_weighted", params=params, trees=trees)
     return plain.unionByName(weighted)
 
 
@@ -160,18 +178,18 @@ def route_importance(model_rows: DataFrame, fold: Fold, params: Params = DEFAULT
     """
     columns = [c for c in FEATURE_COLUMNS if c != "route"]
     assert_no_leaky_features(columns)
-    design = design_matrix(model_rows, columns)
-    early = design.where(F.to_date(fold.date_col) < F.lit(fold.test_start))
-    sizes = {r["routeName"]: r["count"] for r in (
-        early.where(F.col("routeName").isin(list(params.routes)))
-        .groupBy("routeName").count().collect())}
     table: dict[str, dict[str, float]] = {c: {} for c in columns}
-    routes = [r for r in params.routes if sizes.get(r, 0) >= params.min_route_rows]
-    for route in routes:
-        fit = _fit(early.where(F.col("routeName") == route), columns, params,
-                   trees or params.route_trees, weighted=True)
-        for feature, weight in fit.importance():
-            table[feature][route] = weight * 100
+    with kept(design_matrix(model_rows, columns)) as design:
+        early = design.where(F.to_date(fold.date_col) < F.lit(fold.test_start))
+        sizes = {r["routeName"]: r["count"] for r in (
+            early.where(F.col("routeName").isin(list(params.routes)))
+            .groupBy("routeName").count().collect())}
+        routes = [r for r in params.routes if sizes.get(r, 0) >= params.min_route_rows]
+        for route in routes:
+            fit = _fit(early.where(F.col("routeName") == route), columns, params,
+                       trees or params.route_trees, weighted=True)
+            for feature, weight in fit.importance():
+                table[feature][route] = weight * 100
     schema = ", ".join(["feature string", *[f"`{r.replace('-', '_')}` double" for r in routes]])
     rows = [(c, *[table[c][r] for r in routes]) for c in columns]
     return model_rows.sparkSession.createDataFrame(rows, schema)
@@ -181,41 +199,37 @@ def fare_regressor_scores(model_rows: DataFrame, folds: Sequence[Fold],
                           params: Params = DEFAULTS, trees: int | None = None) -> DataFrame:
     """(fold, model, rows, rmse, mae) of boosted regression of the fare on every fold."""
     assert_no_leaky_features(FEATURE_COLUMNS)
-    design = design_matrix(model_rows)
-    out = None
-    for fold in folds:
-        train = fold.train(design)
-        ensure_checkpoint_dir(train.sparkSession)
-        stages = _prepare(FEATURE_COLUMNS, train)
-        learner = GBTRegressor(featuresCol="inputs", labelCol="totalFareTarget",
-                               predictionCol="forecast", maxIter=trees or params.n_trees,
-                               maxDepth=params.max_depth, stepSize=params.learning_rate,
-                               seed=params.seed)
-        ready = train
-        for stage in stages:
-            ready = stage.transform(ready)
-        ready = ready.select("inputs", "totalFareTarget").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = PipelineModel([*stages, learner.fit(ready)])
-        finally:
-            ready.unpersist()
-        scores = scoring.regression_errors(
-            model.transform(fold.test(design)), "totalFareTarget", "forecast"
-        ).select(F.lit(fold.index).alias("fold"), F.lit("boosted_trees").alias("model"),
-                 "rows", "rmse", "mae")
-        out = scores if out is None else out.unionByName(scores)
-    return out
+    ensure_checkpoint_dir(model_rows.sparkSession)
+    learner = GBTRegressor(featuresCol="inputs", labelCol="totalFareTarget",
+                           predictionCol="forecast", maxIter=trees or params.n_trees,
+                           maxDepth=params.max_depth, stepSize=params.learning_rate,
+                           seed=params.seed)
+    rows = []
+    with kept(design_matrix(model_rows)) as design:
+        for fold in folds:
+            train = fold.train(design)
+            stages = _prepare(FEATURE_COLUMNS, train)
+            ready = train
+            for stage in stages:
+                ready = stage.transform(ready)
+            with kept(ready.select("inputs", "totalFareTarget")) as held:
+                model = PipelineModel([*stages, learner.fit(held)])
+            got = scoring.regression_errors(
+                model.transform(fold.test(design)), "totalFareTarget", "forecast").first()
+            rows.append((fold.index, "boosted_trees", got["rows"], got["rmse"], got["mae"]))
+    return model_rows.sparkSession.createDataFrame(
+        rows, "fold int, model string, rows long, rmse double, mae double")
 
 
 def walk_forward(model_rows: DataFrame, folds: Sequence[Fold], params: Params = DEFAULTS,
                  trees: int | None = None) -> DataFrame:
     """(fold, model, f1, roc_auc) of the weighted and unweighted classifiers on every fold."""
-    design = design_matrix(model_rows)
     out = None
-    for fold in folds:
-        for name, weighted in (("unweighted", False), ("class_weighted", True)):
-            scores, _ = fit_and_score(design, fold, name, params=params, trees=trees,
-                                      weighted=weighted)
-            row = scores.select(F.lit(fold.index).alias("fold"), "model", "f1", "roc_auc")
-            out = row if out is None else out.unionByName(row)
+    with kept(design_matrix(model_rows)) as design:
+        for fold in folds:
+            for name, weighted in (("unweighted", False), ("class_weighted", True)):
+                scores, _ = fit_and_score(design, fold, name, params=params, trees=trees,
+                                          weighted=weighted)
+                row = scores.select(F.lit(fold.index).alias("fold"), "model", "f1", "roc_auc")
+                out = row if out is None else out.unionByName(row)
     return out

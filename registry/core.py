@@ -17,12 +17,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 DIGITS = 6
+#: moves rounding ties off short decimals: a mean of cents may end in exactly ...5
+NUDGE = "1.7e-7"
 
 
 def rounded(df: DataFrame) -> DataFrame:
     """Engines differ in the last bits of a double; compare six decimals."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), DIGITS) + F.lit(0.0) for c in doubles})
+    return df.withColumns({
+        c: F.round(F.col(f"`{c}`") + F.lit(float(NUDGE)), DIGITS) + F.lit(0.0) for c in doubles})
 
 
 def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Query], Query]:
@@ -42,7 +45,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Que
 def _with_rounding(sql: str, doubles: list[str]) -> str:
     if not doubles:
         return sql
-    parts = ", ".join(f'(round("{c}", {DIGITS}) + CAST(0 AS DOUBLE)) AS "{c}"' for c in doubles)
+    parts = ", ".join(f'(round("{c}" + CAST({NUDGE} AS DOUBLE), {DIGITS}) + CAST(0 AS DOUBLE)) AS "{c}"' for c in doubles)
     return f"SELECT * REPLACE ({parts}) FROM (\n{sql}\n) AS q"
 
 

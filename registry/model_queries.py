@@ -12,7 +12,7 @@ from faretrace.operators import spikes
 from registry.core import model_rows, observations, query, sql
 from registry.split_queries import FARE_FOLDS, fare_folds
 
-TREES = 10
+TREES = 5
 
 #: a fixed scoring rule in (0, 1), so that scores have an SQL twin
 SCORE_SQL = ("scores", """SELECT isSpikeEvent AS label, 0.5 - zLag1 / (2 * (1 + abs(zLag1))) AS score
@@ -141,9 +141,9 @@ def _(spark, sf):
 @query("m2_fit_and_score")
 def _(spark, sf):
     rows = model_rows(spark, sf)
-    design = boosting.design_matrix(rows)
-    scored, _ = boosting.fit_and_score(design, fare_folds(rows)[0], "boosted_trees",
-                                       params=FIXTURE, trees=TREES)
+    with boosting.kept(boosting.design_matrix(rows)) as design:
+        scored, _ = boosting.fit_and_score(design, fare_folds(rows)[0], "boosted_trees",
+                                           params=FIXTURE, trees=TREES)
     return scored
 
 
@@ -155,8 +155,8 @@ def _(spark, sf):
 
 def _fitted_importance(spark, sf):
     rows = model_rows(spark, sf)
-    design = boosting.design_matrix(rows)
-    fit = boosting.fit_classifier(design, fare_folds(rows)[0], params=FIXTURE, trees=TREES)
+    with boosting.kept(boosting.design_matrix(rows)) as design:
+        fit = boosting.fit_classifier(design, fare_folds(rows)[0], params=FIXTURE, trees=TREES)
     return boosting.importance_table(fit, rows)
 
 
