@@ -455,7 +455,8 @@ def sample_trajectories(df: DataFrame, seed: int = DEFAULTS.seed, by: str = "rou
                         group: str = "legId") -> DataFrame:
     """One pseudo-random trajectory per group, the same for the same seed and data."""
     draw = F.xxhash64(F.col(group).cast("string"), F.lit(seed))
-    return df.where(F.col(by).isNotNull()).groupBy(by).agg(
+    distinct = df.where(F.col(by).isNotNull()).select(by, group).distinct()
+    return distinct.groupBy(by).agg(
         F.min(F.struct(draw.alias("draw"), F.col(group).alias("g"))).alias("first")
     ).select(by, F.col("first.g").alias(group))
 

@@ -69,8 +69,11 @@ def on_routes(df: DataFrame, routes: Iterable[str] = ROUTES) -> DataFrame:
 
 def extract_subset(spark: SparkSession, source: str, target: str,
                    routes: Iterable[str] = ROUTES, fmt: str = "parquet") -> None:
-    """Cut the full release down to ``routes``; all columns kept, nothing collected."""
-    kept = on_routes(load_raw(spark, source, columns=None), routes)
+    """Cut the full release down to ``routes``; all columns kept, nothing collected.
+
+    Few rows survive each scan task, so they are rebalanced into full-size files.
+    """
+    kept = on_routes(load_raw(spark, source, columns=None), routes).hint("rebalance")
     kept.write.mode("overwrite").options(header=True).format(fmt).save(target)
 
 
@@ -144,8 +147,12 @@ def preview(df: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def write_coach_filtered(df: DataFrame, path: str) -> None:
-    """Cleaned stage: the modelling columns plus ``route``, one folder per route."""
-    (df.select(*MODELLING_COLUMNS, "route")
+    """Cleaned stage: the modelling columns plus ``route``, one folder per route.
+
+    The rebalance hint gathers a route's rows into full-size files; AQE splits a
+    route that is larger than one, so a dominant route is not one task.
+    """
+    (df.select(*MODELLING_COLUMNS, "route").hint("rebalance", "route")
      .write.mode("overwrite").partitionBy("route").parquet(path))
 
 
@@ -158,10 +165,10 @@ def write_model_frame(df: DataFrame, path: str, date_col: str = "flightDate",
                       partitions: int | None = None) -> None:
     """Model stage: labelable rows, range-clustered so that fold filters skip row groups.
 
-    Ranges are cut on (date, item), so one very busy date still splits.
+    Ranges are cut on (date, item, search date), so a busy date or item still splits.
     """
     keep = df.where("isLabelable").select(*MODEL_COLUMNS)
-    keys = [F.col(date_col), F.col("legId")]
+    keys = [F.col(c) for c in dict.fromkeys((date_col, "legId", "searchDate"))]
     ranged = keep.repartitionByRange(partitions, *keys) if partitions \
         else keep.repartitionByRange(*keys)
     ranged.sortWithinPartitions(date_col).write.mode("overwrite").parquet(path)
