@@ -1,63 +1,71 @@
-"""Column builders over a trajectory window (a ``WindowSpec`` ordered in time).
+"""Trajectory expressions as Spark SQL.
 
-All builders that share one window spec share one exchange and one sort.
+Operands are SQL text (usually a column name); ``over`` is the inside of an OVER
+clause, as ``Trajectory.over`` writes it. One parsed string per column keeps plan
+building cheap, and all columns over the same clause share one exchange and sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _gated(stat: Column, value: Column, frame: WindowSpec, min_periods: int) -> Column:
-    return F.when(F.count(value).over(frame) >= min_periods, stat)
+def _before(stat: str, value: str, over: str, window: int, min_periods: int) -> Column:
+    frame = f"({over} ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+    return F.expr(f"CASE WHEN count({value}) OVER {frame} >= {min_periods} "
+                  f"THEN {stat}({value}) OVER {frame} END")
 
 
-def rolling_mean(value: Column, w: WindowSpec, window: int, min_periods: int) -> Column:
+def rolling_mean(value: str, over: str, window: int, min_periods: int) -> Column:
     """Mean of the previous ``window`` rows; NULL under ``min_periods`` non-null values."""
-    frame = w.rowsBetween(-window, -1)
-    return _gated(F.avg(value).over(frame), value, frame, min_periods)
+    return _before("avg", value, over, window, min_periods)
 
 
-def rolling_std(value: Column, w: WindowSpec, window: int, min_periods: int) -> Column:
+def rolling_std(value: str, over: str, window: int, min_periods: int) -> Column:
     """Sample standard deviation of the previous ``window`` rows."""
-    frame = w.rowsBetween(-window, -1)
-    return _gated(F.stddev_samp(value).over(frame), value, frame, min_periods)
+    return _before("stddev_samp", value, over, window, min_periods)
 
 
-def change(value: Column, w: WindowSpec) -> Column:
+def past(value: str, over: str, rows: int = 1) -> str:
+    """SQL of the value ``rows`` observations earlier."""
+    return f"lag({value}, {rows}) OVER ({over})"
+
+
+def change(value: str, over: str) -> Column:
     """First difference along the trajectory."""
-    return value - F.lag(value, 1).over(w)
+    return F.expr(f"{value} - {past(value, over)}")
 
 
-def gap_days(day: Column, w: WindowSpec) -> Column:
+def gap_days(day: str, over: str) -> Column:
     """Whole days since the trajectory's previous observation."""
-    return F.datediff(day, F.lag(day, 1).over(w))
+    return F.expr(f"datediff({day}, {past(day, over)})")
 
 
-def run_start(state: Column, w: WindowSpec) -> Column:
+def run_start(state: str, over: str) -> Column:
     """True on the first row of every run of true states."""
-    return state & ~F.lag(state, 1, False).over(w)
+    return F.expr(f"{state} AND NOT lag({state}, 1, false) OVER ({over})")
 
 
-def safe_ratio(numerator: Column, denominator: Column) -> Column:
-    """Division that yields NULL on a zero denominator, also under ANSI."""
-    return numerator / F.nullif(denominator, F.lit(0.0))
+def ratio(numerator: str, denominator: str) -> str:
+    """SQL of a double division that yields NULL on a zero denominator, also under ANSI."""
+    return f"(({numerator}) / nullif(CAST({denominator} AS DOUBLE), 0D))"
 
 
-def z_score(value: Column, mean: Column, std: Column) -> Column:
-    """Signed deviation in units of ``std``; a jump off a flat window is infinite."""
-    delta = value - mean
-    infinite = F.when(delta > 0, F.lit(float("inf"))).when(delta < 0, F.lit(float("-inf")))
-    return F.when(std == 0, infinite).otherwise(safe_ratio(delta, std))
+def z_score(value: str, mean: str, std: str) -> str:
+    """SQL of the deviation in units of ``std``; a jump off a flat window is infinite."""
+    delta = f"({value} - {mean})"
+    return (f"CASE WHEN {std} = 0 THEN CASE WHEN {delta} > 0 THEN double('Infinity') "
+            f"WHEN {delta} < 0 THEN double('-Infinity') END ELSE {ratio(delta, std)} END")
 
 
-def beyond(z: Column, sigma: float, direction: str) -> Column:
-    """Inclusive threshold test on ``z``."""
+def beyond(z: str, sigma: float, direction: str) -> str:
+    """SQL of the inclusive threshold test on ``z``."""
+    level = f"CAST({float(sigma)!r} AS DOUBLE)"
     tests = {
-        "up": z >= sigma,
-        "down": z <= -sigma,
-        "both": F.abs(z) >= sigma,
+        "up": f"({z}) >= {level}",
+        "down": f"({z}) <= -{level}",
+        "both": f"abs({z}) >= {level}",
     }
     if direction not in tests:
         raise ValueError(f"direction must be one of {', '.join(tests)}, not {direction!r}")

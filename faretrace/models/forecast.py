@@ -28,7 +28,7 @@ def seasonal_naive(df: DataFrame, season: int = 7) -> DataFrame:
 def autoregression_frame(df: DataFrame, params: Params = DEFAULTS,
                          lags: Sequence[int] = (1, 7, 14)) -> DataFrame:
     """Daily series, its lags and the calendar regressors; complete rows only."""
-    day = F.col("flightDate")
+    day = "flightDate"
     frame = series_lags(df, lags).withColumns({
         "isHoliday": scalars.is_holiday(day, params.holidays).cast("double"),
         "isSummerSeason": scalars.in_season(
@@ -64,11 +64,9 @@ def baseline_scores(features: DataFrame, folds: Sequence[Fold]) -> DataFrame:
     array that is unpacked after the fold filter.
     """
     withdrift = features.withColumn("driftForecast", F.col("fareLag1") + F.col("fareChangeLag1"))
-    in_fold = [F.when(f.in_test(), F.lit(f.index)) for f in folds]
-    long = withdrift.select("totalFare", F.coalesce(*in_fold).alias("fold"), *BASELINES.values())
-    long = long.where(F.col("fold").isNotNull()).select(
-        "totalFare", "fold", F.inline(F.array(*[
-            F.struct(F.lit(model).alias("model"), F.col(column).alias("forecast"))
-            for model, column in BASELINES.items()
-        ])))
+    in_fold = " ".join(f"WHEN {f.in_test()} THEN {f.index}" for f in folds)
+    forecasts = ", ".join(f"struct('{model}' AS model, {column} AS forecast)"
+                          for model, column in BASELINES.items())
+    long = withdrift.withColumn("fold", F.expr(f"CASE {in_fold} END")).where(
+        "fold IS NOT NULL").selectExpr("totalFare", "fold", f"inline(array({forecasts}))")
     return regression_errors(long, "totalFare", "forecast", ["fold", "model"])

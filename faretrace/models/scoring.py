@@ -4,48 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faretrace.functions.frames import safe_ratio
-from faretrace.functions.scalars import count_of
+from faretrace.functions.frames import ratio
 from faretrace.plans.ordering import ROWS_PER_TASK, running_totals
 
 
 def class_weight(train: DataFrame, label: str = "isSpikeEvent") -> DataFrame:
     """One row: negatives, positives and the weight that balances the positives."""
-    positive = F.coalesce(F.col(label).cast("boolean"), F.lit(False))
-    return train.agg(count_of(~positive).alias("negatives"),
-                     count_of(positive).alias("positives")).withColumn(
-        "scale_pos_weight", F.col("negatives") / F.greatest("positives", F.lit(1)))
-
-
-def _two_class(label: str) -> Column:
-    return F.col(label).cast("boolean")
+    positive = f"coalesce(CAST(`{label}` AS BOOLEAN), false)"
+    return train.agg(F.expr(f"count_if(NOT {positive}) AS negatives"),
+                     F.expr(f"count_if({positive}) AS positives")).withColumn(
+        "scale_pos_weight", F.expr("negatives / greatest(positives, 1)"))
 
 
 def threshold_scores(predictions: DataFrame, label: str = "label", score: str = "score",
                      threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall and F1 of the positive class; an empty denominator scores 0."""
-    said, true = F.col(score) >= threshold, _two_class(label)
+    said, true = f"{score} >= {threshold}D", f"CAST(`{label}` AS BOOLEAN)"
     counted = predictions.groupBy(*by).agg(
-        count_of(said & true).alias("tp"), count_of(said & ~true).alias("fp"),
-        count_of(~said & true).alias("fn"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+        F.expr(f"count_if({said} AND {true}) AS tp"),
+        F.expr(f"count_if({said} AND NOT {true}) AS fp"),
+        F.expr(f"count_if(NOT ({said}) AND {true}) AS fn"))
 
-    def share(part: Column, whole: Column) -> Column:
-        return F.coalesce(safe_ratio(part.cast("double"), whole.cast("double")), F.lit(0.0))
+    def share(part: str, whole: str, name: str) -> str:
+        return f"coalesce({ratio(f'CAST({part} AS DOUBLE)', whole)}, 0D) AS {name}"
 
-    return counted.select(*by, "tp", "fp", "fn", share(tp, tp + fp).alias("precision"),
-                          share(tp, tp + fn).alias("recall"),
-                          share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return counted.selectExpr(
+        *by, "tp", "fp", "fn", share("tp", "tp + fp", "precision"),
+        share("tp", "tp + fn", "recall"), share("2 * tp", "2 * tp + fp + fn", "f1"))
 
 
 def score_counts(predictions: DataFrame, label: str, score: str) -> DataFrame:
     """(s, pos, neg) per distinct score: ties collapse before anything is ordered."""
-    true = _two_class(label)
+    true = f"CAST(`{label}` AS BOOLEAN)"
     return predictions.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
-        count_of(true).alias("pos"), count_of(~true).alias("neg"))
+        F.expr(f"count_if({true}) AS pos"), F.expr(f"count_if(NOT {true}) AS neg"))
 
 
 def roc_auc(predictions: DataFrame, label: str = "label", score: str = "score",
@@ -53,9 +48,9 @@ def roc_auc(predictions: DataFrame, label: str = "label", score: str = "score",
     """Exact ROC AUC with half credit on ties: one row ``roc_auc`` (NULL for one class)."""
     ranked = running_totals(score_counts(predictions, label, score), ["s"],
                             {"neg_upto": "neg"}, rows_per_task)
-    won = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
-    return ranked.agg(won.alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
-        safe_ratio(F.col("won"), F.col("p").cast("double") * F.col("n")).alias("roc_auc"))
+    totals = ranked.agg(F.expr("sum(pos * (neg_upto - neg / 2D)) AS won"),
+                        F.expr("sum(CAST(pos AS DOUBLE)) AS p"), F.expr("sum(neg) AS n"))
+    return totals.selectExpr(f"{ratio('won', 'p * n')} AS roc_auc")
 
 
 def best_threshold(predictions: DataFrame, label: str = "label", score: str = "score",
@@ -64,10 +59,9 @@ def best_threshold(predictions: DataFrame, label: str = "label", score: str = "s
     counts = score_counts(predictions, label, score).withColumn("rank_key", -F.col("s"))
     total = counts.agg(F.sum("pos").alias("p")).scalar()
     swept = running_totals(counts, ["rank_key"], {"tp": "pos", "fp": "neg"}, rows_per_task)
-    f1 = F.coalesce(safe_ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + total.cast("double")),
-                    F.lit(0.0))
-    return swept.withColumn("f1", f1).agg(
-        F.max(F.struct("f1", F.col("s").alias("threshold"))).alias("best")
+    f1 = f"coalesce({ratio('2D * tp', 'tp + fp + p')}, 0D)"
+    return swept.withColumn("p", total).agg(
+        F.expr(f"max(struct({f1} AS f1, s AS threshold)) AS best")
     ).select("best.threshold", "best.f1")
 
 
@@ -92,4 +86,4 @@ def model_means(ranked: DataFrame, metric: str) -> DataFrame:
     """Mean score, mean rank and number of won folds per model."""
     return ranked.groupBy("model").agg(
         F.avg(metric).alias(f"mean_{metric}"), F.avg("fold_rank").alias("mean_rank"),
-        count_of(F.col("fold_rank") == 1).alias("folds_won"))
+        F.expr("count_if(fold_rank = 1) AS folds_won"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,7 @@ def feature_groups(spark: SparkSession) -> DataFrame:
 
 def add_calendar_features(df: DataFrame, params: Params = DEFAULTS,
                           date_col: str = "flightDate") -> DataFrame:
-    day = F.col(date_col)
+    day = date_col
     return df.withColumns({
         "dayOfWeek": scalars.day_of_week(day),
         "isWeekend": scalars.is_weekend(day),
@@ -57,38 +57,43 @@ def add_calendar_features(df: DataFrame, params: Params = DEFAULTS,
 
 
 def add_itinerary_features(df: DataFrame) -> DataFrame:
-    carriers = F.col("segmentsAirlineName")
-    hour = scalars.local_hour(F.col("segmentsDepartureTimeRaw"))
+    carriers = "segmentsAirlineName"
+    hour = scalars.local_hour("segmentsDepartureTimeRaw")
     return df.withColumns({
         "nSegments": scalars.segment_count(carriers),
         "airline": scalars.first_segment(carriers),
         "isSingleCarrier": scalars.single_valued(carriers),
-        "departureHour": hour,
+        "departureHour": F.expr(hour),
         "departureTimeOfDay": scalars.daypart(hour),
-        "travelDurationMinutes": scalars.duration_minutes(F.col("travelDuration")),
+        "travelDurationMinutes": scalars.duration_minutes("travelDuration"),
     })
 
 
 def lag_columns(df: DataFrame, traj: Trajectory, lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Lagged observations and momentum inside an open trajectory layout."""
-    w = traj.window()
-    fare, seats = F.col("totalFare"), F.col("seatsRemaining")
+    over = traj.over()
 
-    def past(k: int) -> Column:
-        return F.lag(fare, k).over(w)
+    def fare(k: int) -> str:
+        return frames.past("totalFare", over, k)
 
-    step1, step2 = past(1) - past(2), past(2) - past(3)
-    return df.withColumns({
-        **{f"fareLag{k}": past(k) for k in lags},
+    def seats(k: int) -> str:
+        return frames.past("seatsRemaining", over, k)
+
+    step1, step2 = f"({fare(1)} - {fare(2)})", f"({fare(2)} - {fare(3)})"
+    texts = {
+        **{f"fareLag{k}": fare(k) for k in lags},
         "fareChangeLag1": step1,
         "fareChangeLag2": step2,
-        "fareAccel": step1 - step2,
+        "fareAccel": f"{step1} - {step2}",
         # the baseline is the one at this row, which already contains the previous fare
-        "zLag1": frames.safe_ratio(past(1) - F.col("rollMean"), F.col("rollStd")),
-        "seatsRemainingLag1": F.lag(seats, 1).over(w),
-        "seatsChangeLag1": F.lag(seats, 1).over(w) - F.lag(seats, 2).over(w),
+        "zLag1": frames.ratio(f"{fare(1)} - rollMean", "rollStd"),
+        "seatsRemainingLag1": seats(1),
+        "seatsChangeLag1": f"{seats(1)} - {seats(2)}",
+        "rollStdRatio": frames.ratio("rollStd", "rollMean"),
+    }
+    return df.withColumns({
+        **{name: F.expr(text) for name, text in texts.items()},
         "observationIndex": traj.position(),
-        "rollStdRatio": frames.safe_ratio(F.col("rollStd"), F.col("rollMean")),
     })
 
 
@@ -134,8 +139,9 @@ def sequence_windows(df: DataFrame, length: int, traj: Trajectory = Trajectory()
     """
 
     def body(d: DataFrame, t: Trajectory) -> DataFrame:
-        past = F.collect_list(F.struct(*columns)).over(t.window().rowsBetween(-length, -1))
-        return d.withColumn("sequence", past)
+        frame = f"({t.over()} ROWS BETWEEN {length} PRECEDING AND 1 PRECEDING)"
+        return d.withColumn("sequence", F.expr(
+            f"collect_list(struct({', '.join(columns)})) OVER {frame}"))
 
     return on_trajectories(df, traj, body, lookback=length).where(F.size("sequence") == length)
 
@@ -175,10 +181,8 @@ def encode(df: DataFrame, columns: Sequence[str], domain_of: DataFrame | None =
     ordinal = {"departureTimeOfDay": DAYPART_LABELS}
     for column in columns:
         if column in ordinal:
-            rank = F.lit(-1)
-            for i, label in enumerate(ordinal[column]):
-                rank = F.when(F.col(column) == label, F.lit(i)).otherwise(rank)
-            df = df.withColumn(column, rank)
+            cases = " ".join(f"WHEN {label!r} THEN {i}" for i, label in enumerate(ordinal[column]))
+            df = df.withColumn(column, F.expr(f"CASE `{column}` {cases} ELSE -1 END"))
         elif isinstance(types[column], T.StringType):
             df = _coded(df, column, domain_of if domain_of is not None else df)
-    return df.withColumns({c: F.col(c).cast("float") for c in columns})
+    return df.withColumns({c: F.expr(f"CAST(`{c}` AS FLOAT)") for c in columns})

@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretrace.functions import frames
-from faretrace.functions.scalars import (
-    count_of, days_between, horizon_bin, horizon_rank, month_key, percent,
-)
+from faretrace.functions.frames import ratio
+from faretrace.functions.scalars import horizon_bin, horizon_rank, month_key, percent
 from faretrace.params import DEFAULTS, HORIZON_LABELS, LENGTH_LEVELS, Params
 from faretrace.plans.quantiles import exact_quantiles
 from faretrace.plans.trajectory import Trajectory, on_trajectories
@@ -26,10 +25,6 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 DAY_NAMES = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
-def _columns(value: str | Column) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
 def column_name(value: str) -> str:
     """A pivoted value as a plain identifier."""
     return value.replace("-", "_")
@@ -38,12 +33,17 @@ def column_name(value: str) -> str:
 # ---- distributions -------------------------------------------------------
 
 
-def moments(value: Column) -> list[Column]:
-    v = value.cast("double")
-    return [
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-    ]
+ROWS = "count(1) AS rows"
+
+
+def exprs(*texts: str) -> list[Column]:
+    return [F.expr(t) for t in texts]
+
+
+def moments(value: str, count: str = "count") -> list[Column]:
+    v = f"CAST({value} AS DOUBLE)"
+    return exprs(f"count({v}) AS {count}", f"avg({v}) AS mean", f"stddev_samp({v}) AS std",
+                 f"min({v}) AS min", f"max({v}) AS max")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -55,11 +55,14 @@ def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFram
     return left.join(renamed, on, "left").drop(*[f"__r_{c}" for c in by])
 
 
-def describe(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std, min, q25, q50, q75, max of non-null values, per group or overall."""
-    v, by = _columns(value), list(by)
-    basic = df.groupBy(*by).agg(*moments(v))
-    quartiles = exact_quantiles(df, v, QUARTILES, by)
+def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """count, mean, std, min, q25, q50, q75, max of non-null values, per group or overall.
+
+    ``value`` is a column name or any SQL expression over the row.
+    """
+    by = list(by)
+    basic = df.groupBy(*by).agg(*moments(value))
+    quartiles = exact_quantiles(df, F.expr(value), QUARTILES, by)
     if by:
         joined = _null_safe(basic, quartiles, by)
     else:
@@ -67,7 +70,7 @@ def describe(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> Data
     return joined.select(*by, "count", "mean", "std", "min", *QUARTILES, "max")
 
 
-def compare_distributions(df: DataFrame, value: str, kept: Column) -> DataFrame:
+def compare_distributions(df: DataFrame, value: str, kept: str) -> DataFrame:
     """(statistic, before, after, change) of ``value`` over all rows and over kept rows."""
     sides = {
         "before": describe(df, value),
@@ -75,47 +78,46 @@ def compare_distributions(df: DataFrame, value: str, kept: Column) -> DataFrame:
     }
     long = None
     for side, stats in sides.items():
-        names = stats.columns
-        part = stats.select(F.inline(F.array(*[
-            F.struct(F.lit(n).alias("statistic"), F.lit(side).alias("side"),
-                     F.col(n).cast("double").alias("x")) for n in names
-        ])))
+        names = ("count", "mean", "std", "min", *QUARTILES, "max")
+        fields = ", ".join(f"struct('{n}' AS statistic, '{side}' AS side, "
+                           f"CAST(`{n}` AS DOUBLE) AS x)" for n in names)
+        part = stats.selectExpr(f"inline(array({fields}))")
         long = part if long is None else long.unionByName(part)
-    wide = long.groupBy("statistic").agg(*[
-        F.max(F.when(F.col("side") == s, F.col("x"))).alias(s) for s in sides
-    ])
-    return wide.withColumn("change", F.col("after") - F.col("before"))
+    wide = long.groupBy("statistic").agg(*exprs(*[
+        f"max(CASE side WHEN '{s}' THEN x END) AS {s}" for s in sides]))
+    return wide.withColumn("change", F.expr("after - before"))
+
+
+def with_share(counts: DataFrame, name: str = "share_pct") -> DataFrame:
+    """Add each row's percentage of all counted ``rows``; the grand total is a scalar subquery."""
+    total = counts.agg(F.expr("sum(rows) AS total")).scalar()
+    return counts.withColumn("__total", total).withColumn(
+        name, percent("rows", "__total")).drop("__total")
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """(value, rows, share_pct) of non-null values, most frequent first; share of all rows."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows").alias("total")).scalar()
-    ranked = (counts.where(F.col("value").isNotNull())
-              .withColumn("share_pct", percent(F.col("rows"), total))
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.expr(ROWS))
+    ranked = (with_share(counts).where("value IS NOT NULL")
               .orderBy(F.desc("rows"), "value"))
     return ranked if top is None else ranked.limit(top)
 
 
-def class_split(df: DataFrame, member: Column, code: str) -> DataFrame:
-    """Members, others, their shares and the number of distinct codes."""
-    rows = F.count(F.lit(1))
-    members = count_of(member)
+def class_split(df: DataFrame, member: str, code: str) -> DataFrame:
+    """Members (an SQL condition), others, their shares and the number of distinct codes."""
+    members = f"count_if({member})"
     return df.agg(
-        members.alias("members"), (rows - members).alias("others"),
-        percent(members, rows).alias("member_pct"),
-        percent(rows - members, rows).alias("other_pct"),
-        F.count_distinct(code).alias("distinct_codes"),
+        *exprs(f"{members} AS members", f"count(1) - {members} AS others"),
+        percent(members, "count(1)").alias("member_pct"),
+        percent(f"(count(1) - {members})", "count(1)").alias("other_pct"),
+        F.expr(f"count(DISTINCT {code}) AS distinct_codes"),
     )
 
 
 def group_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """rows, mean, median, std, min, max of ``value`` by group, largest group first."""
-    v = F.col(value).cast("double")
-    basic = df.groupBy(by).agg(
-        F.count(v).alias("rows"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    middle = exact_quantiles(df, v, {"median": 0.5}, [by])
+    basic = df.groupBy(by).agg(*moments(value, count="rows"))
+    middle = exact_quantiles(df, value, {"median": 0.5}, [by])
     return (_null_safe(basic.where(F.col(by).isNotNull()), middle, [by])
             .select(by, "rows", "mean", "median", "std", "min", "max")
             .orderBy(F.desc("rows"), by))
@@ -133,21 +135,20 @@ def histogram(df: DataFrame, value: str, bins: int, by: str, low: float | None =
     Bins run from ``low`` (default: the minimum) to the maximum; the maximum
     belongs to the last bin and each group's density integrates to one.
     """
-    v = F.col(value).cast("double")
-    ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    lo = ends.select("lo").scalar() if low is None else F.lit(float(low))
-    hi = ends.select("hi").scalar()
-    width = (hi - lo) / bins
-    cell = F.least(F.floor((v - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
+    values = df.select(by, F.expr(f"CAST({value} AS DOUBLE) AS v")).where("v IS NOT NULL")
+    ends = values.agg(F.expr("min(v) AS lo"), F.expr("max(v) AS hi"))
+    edges = {"lo": ends.select("lo").scalar() if low is None else F.lit(float(low)),
+             "hi": ends.select("hi").scalar()}
+    width = f"((hi - lo) / {bins})"
+    cell = f"CAST(coalesce(least(floor({ratio('v - lo', width)}), {bins - 1}), {bins - 1}) AS INT)"
     counts = (
-        df.where(v.isNotNull() & (v >= lo))
-        .groupBy(by, F.coalesce(cell, F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+        values.withColumns(edges).where("v >= lo")
+        .groupBy(by, "lo", "hi", F.expr(f"{cell} AS bin")).agg(F.expr(ROWS))
     )
-    in_group = F.sum("rows").over(Window.partitionBy(by))  # at most ``bins`` rows each
-    return counts.select(
-        by, "bin", (lo + F.col("bin") * width).alias("bin_start"), "rows",
-        (F.col("rows") / (in_group * width)).alias("density"))
+    # the density window sees at most ``bins`` rows per group
+    return counts.selectExpr(
+        by, "bin", f"lo + bin * {width} AS bin_start", "rows",
+        f"rows / (sum(rows) OVER (PARTITION BY {by}) * {width}) AS density")
 
 
 # ---- missingness ---------------------------------------------------------
@@ -156,19 +157,17 @@ def histogram(df: DataFrame, value: str, bins: int, by: str, low: float | None =
 def null_audit(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, nulls, share_pct) for the columns that have nulls, from one scan."""
     columns = df.columns if columns is None else list(columns)
-    counted = df.agg(F.count(F.lit(1)).alias("total"),
-                     *[F.count_if(F.isnull(c)).alias(f"n{i}") for i, c in enumerate(columns)])
-    return counted.select("total", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("nulls"))
-        for i, c in enumerate(columns)
-    ]))).where("nulls > 0").select(
-        "column_name", "nulls", percent(F.col("nulls"), F.col("total")).alias("share_pct"))
+    fields = ", ".join(f"struct('{c}' AS column_name, count_if(`{c}` IS NULL) AS nulls)"
+                       for c in columns)
+    counted = df.agg(*exprs("count(1) AS total", f"array({fields}) AS audit"))
+    return counted.selectExpr("total", "inline(audit)").where("nulls > 0").select(
+        "column_name", "nulls", percent("nulls", "total").alias("share_pct"))
 
 
 def null_audit_by(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """Percent of nulls of every column, one row per group."""
     return df.groupBy(by).agg(*[
-        percent(F.count_if(F.isnull(c)), F.count(F.lit(1))).alias(f"{c}_null_pct")
+        percent(f"count_if(`{c}` IS NULL)", "count(1)").alias(f"{c}_null_pct")
         for c in columns
     ])
 
@@ -176,16 +175,11 @@ def null_audit_by(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
 def feature_health(model_rows: DataFrame,
                    columns: Sequence[str] = FEATURE_GROUPS["lagged"]) -> DataFrame:
     """(feature, null_pct, mean, std) on the given rows; one wide aggregate."""
-    aggs = []
-    for i, c in enumerate(columns):
-        v = F.col(c).cast("double")
-        aggs += [percent(F.count_if(F.isnull(c)), F.count(F.lit(1))).alias(f"n{i}"),
-                 F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
-    return model_rows.agg(*aggs).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("null_pct"),
-                 F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"))
-        for i, c in enumerate(columns)
-    ])))
+    fields = ", ".join(
+        f"struct('{c}' AS feature, {ratio(f'100D * count_if(`{c}` IS NULL)', 'count(1)')} AS null_pct, "
+        f"avg(CAST(`{c}` AS DOUBLE)) AS mean, stddev_samp(CAST(`{c}` AS DOUBLE)) AS std)"
+        for c in columns)
+    return model_rows.agg(F.expr(f"array({fields}) AS health")).selectExpr("inline(health)")
 
 
 # ---- coverage and censoring ----------------------------------------------
@@ -193,54 +187,48 @@ def feature_health(model_rows: DataFrame,
 
 def coverage_bounds(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Observed against expected ends of both clocks, and by how far departures overhang."""
-    seen = df.agg(
-        F.min("searchDate").alias("search_min"), F.max("searchDate").alias("search_max"),
-        F.min("flightDate").alias("flight_min"), F.max("flightDate").alias("flight_max"))
-    return seen.select(
-        "search_min", "search_max", F.lit(params.search_start).alias("search_min_expected"),
-        F.lit(params.search_end).alias("search_max_expected"),
-        "flight_min", "flight_max", F.lit(params.flight_start).alias("flight_min_expected"),
-        F.lit(params.flight_end).alias("flight_max_expected"),
-        F.datediff("flight_max", "search_max").alias("overhang_days"))
+    seen = df.agg(*exprs(
+        "min(searchDate) AS search_min", "max(searchDate) AS search_max",
+        "min(flightDate) AS flight_min", "max(flightDate) AS flight_max"))
+    return seen.selectExpr(
+        "search_min", "search_max", f"DATE '{params.search_start}' AS search_min_expected",
+        f"DATE '{params.search_end}' AS search_max_expected",
+        "flight_min", "flight_max", f"DATE '{params.flight_start}' AS flight_min_expected",
+        f"DATE '{params.flight_end}' AS flight_max_expected",
+        "datediff(flight_max, search_max) AS overhang_days")
 
 
 def rows_by_month(df: DataFrame, date_col: str = "flightDate") -> DataFrame:
     """(month, rows, share_pct) of a date column."""
-    counts = df.groupBy(month_key(F.col(date_col)).alias("month")).agg(
-        F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows").alias("total")).scalar()
-    return counts.withColumn("share_pct", percent(F.col("rows"), total))
+    return with_share(df.groupBy(month_key(date_col).alias("month")).agg(F.expr(ROWS)))
 
 
 def rows_on(df: DataFrame, day: date, date_col: str = "flightDate") -> DataFrame:
-    return df.agg(count_of(F.to_date(date_col) == F.lit(day)).alias("rows"))
+    return df.agg(F.expr(f"count_if(to_date({date_col}) = DATE '{day}') AS rows"))
 
 
-def _horizon() -> Column:
-    return days_between(F.col("flightDate"), F.col("searchDate"))
+HORIZON = "datediff(flightDate, searchDate)"
 
 
 def censoring_by_month(df: DataFrame) -> DataFrame:
     """Rows and the nearest and furthest booking horizon per departure month."""
-    return df.groupBy(month_key(F.col("flightDate")).alias("month")).agg(
-        F.count(_horizon()).alias("rows"),
-        F.min(_horizon()).alias("closest_to_departure"),
-        F.max(_horizon()).alias("furthest_from_departure"))
+    return df.groupBy(month_key("flightDate").alias("month")).agg(*exprs(
+        f"count({HORIZON}) AS rows", f"min({HORIZON}) AS closest_to_departure",
+        f"max({HORIZON}) AS furthest_from_departure"))
 
 
 def closest_observation(df: DataFrame) -> DataFrame:
     """Per departure date: its rows and its smallest booking horizon."""
-    return df.groupBy("flightDate").agg(
-        F.min(_horizon()).alias("closest"), F.count(F.lit(1)).alias("rows"))
+    return df.groupBy("flightDate").agg(*exprs(f"min({HORIZON}) AS closest", ROWS))
 
 
 def censoring_summary(df: DataFrame, censor_days: int = DEFAULTS.censor_days) -> DataFrame:
     """Dates in total, dates never seen within ``censor_days``, share, first such date."""
-    far = F.col("closest") > censor_days
+    far = f"closest > {censor_days}"
     return closest_observation(df).agg(
-        F.count(F.lit(1)).alias("dates"), count_of(far).alias("censored_dates"),
-        percent(count_of(far), F.count(F.lit(1))).alias("censored_pct"),
-        F.min(F.when(far, F.col("flightDate"))).alias("first_censored"))
+        *exprs("count(1) AS dates", f"count_if({far}) AS censored_dates"),
+        percent(f"count_if({far})", "count(1)").alias("censored_pct"),
+        F.expr(f"min(CASE WHEN {far} THEN flightDate END) AS first_censored"))
 
 
 def cutoff_report(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -250,15 +238,14 @@ def cutoff_report(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         F.min("flightDate").alias("d")).scalar()
     last_clear = (per_date.where(F.coalesce(F.col("flightDate") < first_far, F.lit(True)))
                   .agg(F.max("flightDate").alias("d")).scalar())
-    total = F.sum("rows")
-    kept = F.coalesce(F.sum(F.when(F.col("flightDate") <= F.lit(params.full_trajectory_end),
-                                   F.col("rows"))), F.lit(0))
-    derived = F.coalesce(F.sum(F.when(F.col("flightDate") <= F.col("edge"), F.col("rows"))),
-                         F.lit(0))
+    cutoff = f"DATE '{params.full_trajectory_end}'"
+    kept = f"coalesce(sum(CASE WHEN flightDate <= {cutoff} THEN rows END), 0)"
+    derived = "coalesce(sum(CASE WHEN flightDate <= edge THEN rows END), 0)"
     return per_date.withColumn("edge", last_clear).agg(
-        F.lit(params.full_trajectory_end).alias("cutoff"), F.max("edge").alias("derived_cutoff"),
-        total.alias("rows"), kept.alias("retained"), percent(kept, total).alias("retained_pct"),
-        derived.alias("derived_retained"))
+        *exprs(f"{cutoff} AS cutoff", "max(edge) AS derived_cutoff", "sum(rows) AS rows",
+               f"{kept} AS retained"),
+        percent(kept, "sum(rows)").alias("retained_pct"),
+        F.expr(f"{derived} AS derived_retained"))
 
 
 # ---- daily series --------------------------------------------------------
@@ -309,20 +296,16 @@ def weekday_profile(df: DataFrame) -> DataFrame:
     The extremes are read off one-decimal means; the earlier weekday wins a tie.
     """
     per_day = (
-        daily_mean(df).groupBy("route", F.weekday("flightDate").alias("d"))
-        .agg(F.bround(F.avg("mean_fare"), 1).alias("m"))
-        .where(F.col("m").isNotNull())
+        daily_mean(df).groupBy("route", F.expr("weekday(flightDate) AS d"))
+        .agg(F.expr("bround(avg(mean_fare), 1) AS m")).where("m IS NOT NULL")
     )
-    names = F.array(*[F.lit(n) for n in DAY_NAMES])
-    wide = per_day.groupBy("route").agg(
-        *[F.max(F.when(F.col("d") == i, F.col("m"))).alias(n) for i, n in enumerate(DAY_NAMES)],
-        F.max(F.struct("m", (-F.col("d")).alias("d"))).alias("top"),
-        F.min(F.struct("m", "d")).alias("low"))
-    return wide.select(
-        "route", *DAY_NAMES,
-        F.get(names, -F.col("top.d")).alias("peak_day"),
-        F.get(names, F.col("low.d")).alias("cheapest_day"),
-        frames.safe_ratio(F.col("top.m"), F.col("low.m")).alias("peak_to_trough"))
+    names = "array(" + ", ".join(f"'{n}'" for n in DAY_NAMES) + ")"
+    wide = per_day.groupBy("route").agg(*exprs(
+        *[f"max(CASE d WHEN {i} THEN m END) AS {n}" for i, n in enumerate(DAY_NAMES)],
+        "max(struct(m, -d AS d)) AS top", "min(struct(m, d)) AS low"))
+    return wide.selectExpr(
+        "route", *DAY_NAMES, f"get({names}, -top.d) AS peak_day",
+        f"get({names}, low.d) AS cheapest_day", f"{ratio('top.m', 'low.m')} AS peak_to_trough")
 
 
 # ---- trajectories --------------------------------------------------------
@@ -334,40 +317,38 @@ def trajectory_profile(df: DataFrame, group: str = "legId") -> DataFrame:
     Collapses to (group, date) before grouping by trajectory, so a huge
     trajectory reaches the second aggregate as one row per date.
     """
-    per_date = df.groupBy(group, "searchDate").agg(
-        F.count(F.lit(1)).alias("n"), F.min("flightDate").alias("f0"),
-        F.max("flightDate").alias("f1"))
-    return per_date.groupBy(group).agg(
-        F.count("searchDate").alias("observations"), F.sum("n").alias("rows"),
-        (F.min("f0") < F.max("f1")).alias("spans_departures"))
+    per_date = df.groupBy(group, "searchDate").agg(*exprs(
+        "count(1) AS n", "min(flightDate) AS f0", "max(flightDate) AS f1"))
+    return per_date.groupBy(group).agg(*exprs(
+        "count(searchDate) AS observations", "sum(n) AS rows",
+        "min(f0) < max(f1) AS spans_departures"))
 
 
 def trajectory_contract(df: DataFrame, group: str = "legId") -> DataFrame:
     """Trajectories, recurring ones, ones spanning departures, and duplicate-key rows."""
-    recurring = count_of(F.col("observations") > 1)
+    recurring = "count_if(observations > 1)"
     return trajectory_profile(df, group).where(F.col(group).isNotNull()).agg(
-        F.count(F.lit(1)).alias("trajectories"), recurring.alias("recurring"),
-        percent(recurring, F.count(F.lit(1))).alias("recurring_pct"),
-        count_of(F.col("spans_departures")).alias("spanning_departures"))
+        *exprs("count(1) AS trajectories", f"{recurring} AS recurring"),
+        percent(recurring, "count(1)").alias("recurring_pct"),
+        F.expr("count_if(spans_departures) AS spanning_departures"))
 
 
 def duplicate_keys(df: DataFrame, group: str = "legId", day: str = "searchDate") -> DataFrame:
     """Rows beyond the first for each (trajectory, date)."""
-    per_key = df.groupBy(group, day).agg(F.count(F.lit(1)).alias("n"))
-    return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    per_key = df.groupBy(group, day).agg(F.expr("count(1) AS n"))
+    return per_key.agg(F.expr("coalesce(sum(n - 1), 0) AS duplicate_rows"))
 
 
 def length_coverage(df: DataFrame, levels: Sequence[int] = LENGTH_LEVELS,
                     group: str = "legId") -> DataFrame:
     """(observations, flights_with_at_least, share_pct) for each length level."""
     profile = trajectory_profile(df, group).where(F.col(group).isNotNull())
-    counted = profile.agg(F.count(F.lit(1)).alias("all"), *[
-        count_of(F.col("observations") >= n).alias(f"n{n}") for n in levels])
-    return counted.select("all", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("observations"), F.col(f"n{n}").alias("flights_with_at_least"))
-        for n in levels
-    ]))).select("observations", "flights_with_at_least",
-                percent(F.col("flights_with_at_least"), F.col("all"), empty=0.0).alias("share_pct"))
+    fields = ", ".join(f"struct({n} AS observations, count_if(observations >= {n}) "
+                       "AS flights_with_at_least)" for n in levels)
+    counted = profile.agg(*exprs("count(1) AS flights", f"array({fields}) AS levels"))
+    return counted.selectExpr("flights", "inline(levels)").select(
+        "observations", "flights_with_at_least",
+        percent("flights_with_at_least", "flights", empty=0.0).alias("share_pct"))
 
 
 def gap_counts(df: DataFrame, traj: Trajectory = Trajectory(),
@@ -376,18 +357,15 @@ def gap_counts(df: DataFrame, traj: Trajectory = Trajectory(),
     narrow = df.select(*dict.fromkeys((traj.group, *traj.order, day)))
     gapped = on_trajectories(
         narrow, traj,
-        lambda d, t: d.withColumn("gap_days", frames.gap_days(F.col(day), t.window())), 1)
+        lambda d, t: d.withColumn("gap_days", frames.gap_days(day, t.over())), 1)
     return (gapped.where(F.col("gap_days").isNotNull())
-            .groupBy("gap_days").agg(F.count(F.lit(1)).alias("rows")))
+            .groupBy("gap_days").agg(F.expr(ROWS)))
 
 
 def cadence_table(df: DataFrame, traj: Trajectory = Trajectory(), day: str = "searchDate",
                   top: int = 7) -> DataFrame:
     """The ``top`` smallest gaps with their counts and shares."""
-    counts = gap_counts(df, traj, day)
-    total = counts.agg(F.sum("rows").alias("t")).scalar()
-    return (counts.select("gap_days", "rows", percent(F.col("rows"), total).alias("share_pct"))
-            .orderBy("gap_days").limit(top))
+    return with_share(gap_counts(df, traj, day)).orderBy("gap_days").limit(top)
 
 
 def cadence_summary(df: DataFrame, traj: Trajectory = Trajectory(), day: str = "searchDate",
@@ -396,12 +374,11 @@ def cadence_summary(df: DataFrame, traj: Trajectory = Trajectory(), day: str = "
 
     Works on the gap histogram, whose rows are bounded by the calendar.
     """
-    gap, rows = F.col("gap_days"), F.col("rows")
-    longer = F.coalesce(F.sum(F.when(gap > long_gap, rows)), F.lit(0))
+    longer = f"coalesce(sum(CASE WHEN gap_days > {long_gap} THEN rows END), 0)"
     return gap_counts(df, traj, day).agg(
-        F.percentile(gap, F.lit(0.5), rows).alias("median_gap"),
-        (F.sum(gap * rows) / F.sum(rows)).alias("mean_gap"),
-        longer.alias("long_gaps"), percent(longer, F.sum(rows)).alias("long_gap_pct"))
+        *exprs("percentile(gap_days, 0.5D, rows) AS median_gap",
+               "sum(gap_days * rows) / sum(rows) AS mean_gap", f"{longer} AS long_gaps"),
+        percent(longer, "sum(rows)").alias("long_gap_pct"))
 
 
 def fare_changes(df: DataFrame, traj: Trajectory = Trajectory(),
@@ -410,20 +387,20 @@ def fare_changes(df: DataFrame, traj: Trajectory = Trajectory(),
     narrow = df.select(*dict.fromkeys((traj.group, *traj.order, value)))
     moved = on_trajectories(
         narrow, traj,
-        lambda d, t: d.withColumn("fare_change", frames.change(F.col(value), t.window())), 1)
+        lambda d, t: d.withColumn("fare_change", frames.change(value, t.over())), 1)
     return moved.where(F.col("fare_change").isNotNull()).select(traj.group, "fare_change")
 
 
 def step_profile(df: DataFrame, traj: Trajectory = Trajectory(),
                  value: str = "totalFare") -> DataFrame:
     """How often consecutive fares repeat, and the median number of distinct fares."""
-    same = count_of(F.col("fare_change") == 0)
+    same = "count_if(fare_change = 0)"
     distinct = (df.where(F.col(value).isNotNull()).groupBy(traj.group, value).agg(F.lit(1))
-                .groupBy(traj.group).agg(F.count(F.lit(1)).alias("n")))
+                .groupBy(traj.group).agg(F.expr("count(1) AS n")))
     middle = exact_quantiles(distinct, "n", {"m": 0.5}).select("m").scalar()
     return fare_changes(df, traj, value).agg(
-        same.alias("unchanged"), F.count(F.lit(1)).alias("compared"),
-        percent(same, F.count(F.lit(1))).alias("unchanged_pct"),
+        *exprs(f"{same} AS unchanged", "count(1) AS compared"),
+        percent(same, "count(1)").alias("unchanged_pct"),
     ).withColumn("median_distinct_fares", middle)
 
 
@@ -431,7 +408,7 @@ def change_sizes(df: DataFrame, traj: Trajectory = Trajectory(),
                  value: str = "totalFare") -> DataFrame:
     """Distribution of the absolute size of fare changes that are not zero."""
     moved = fare_changes(df, traj, value).where(F.col("fare_change") != 0)
-    return describe(moved, F.abs("fare_change"))
+    return describe(moved, "abs(fare_change)")
 
 
 def first_per_trajectory(df: DataFrame, column: str, traj: Trajectory = Trajectory()) -> DataFrame:
@@ -472,7 +449,7 @@ def trajectory_extract(df: DataFrame, key: object, traj: Trajectory = Trajectory
 
 def booking_curve(df: DataFrame, routes: Sequence[str] = DEFAULTS.routes) -> DataFrame:
     """Mean fare by horizon bin and route, plus the percent rise into departure."""
-    days = F.col("daysBeforeDeparture")
+    days = "daysBeforeDeparture"
     binned = (df.withColumns({"horizon": horizon_bin(days), "horizon_rank": horizon_rank(days)})
               .where(F.col("horizon").isNotNull()))
     table = binned.groupBy("horizon", "horizon_rank").pivot("route", list(routes)).agg(
@@ -482,13 +459,13 @@ def booking_curve(df: DataFrame, routes: Sequence[str] = DEFAULTS.routes) -> Dat
                          *[F.col(f"`{r}`").alias(n) for r, n in zip(routes, names, strict=True)])
     near, far = HORIZON_LABELS[0], HORIZON_LABELS[-1]
 
-    def at(label: str, name: str) -> Column:
-        return F.max(F.when(F.col("horizon") == label, F.col(name)))
+    def at(label: str, name: str) -> str:
+        return f"max(CASE horizon WHEN '{label}' THEN {name} END)"
 
-    rise = table.agg(*[
-        ((frames.safe_ratio(at(near, n), at(far, n)) - 1) * 100).alias(n) for n in names
-    ]).select(F.lit(f"rise {far} -> {near} (%)").alias("horizon"),
-              F.lit(len(HORIZON_LABELS)).alias("horizon_rank"), *names)
+    rise = table.agg(*exprs(*[
+        f"({ratio(at(near, n), at(far, n))} - 1) * 100 AS {n}" for n in names
+    ])).selectExpr(f"'rise {far} -> {near} (%)' AS horizon",
+                   f"{len(HORIZON_LABELS)} AS horizon_rank", *names)
     return table.unionByName(rise)
 
 
@@ -498,44 +475,38 @@ def horizon_fare_correlation(df: DataFrame) -> DataFrame:
 
 def horizon_event_rate(labelled: DataFrame) -> DataFrame:
     """Labelable rows, events and event rate per horizon bin."""
-    days = F.col("daysBeforeDeparture")
-    events = count_of(F.col("isSpikeEvent"))
+    days = "daysBeforeDeparture"
     return (
         labelled.where("isLabelable")
         .groupBy(horizon_bin(days).alias("horizon"), horizon_rank(days).alias("horizon_rank"))
-        .agg(F.count(F.lit(1)).alias("labelable"), events.alias("events"),
-             percent(events, F.count(F.lit(1))).alias("event_rate_pct"))
-        .where(F.col("horizon").isNotNull())
+        .agg(*exprs("count(1) AS labelable", "count_if(isSpikeEvent) AS events"),
+             percent("count_if(isSpikeEvent)", "count(1)").alias("event_rate_pct"))
+        .where("horizon IS NOT NULL")
     )
 
 
 def class_balance(labelled: DataFrame) -> DataFrame:
     """Events, other labelable rows and their ratio."""
-    events = count_of(F.col("isSpikeEvent"))
-    lab = count_of(F.col("isLabelable"))
-    return labelled.agg(lab.alias("labelable"), events.alias("minority")).select(
-        "labelable", "minority", (F.col("labelable") - F.col("minority")).alias("majority"),
-        ((F.col("labelable") - F.col("minority")) / F.nullif("minority", F.lit(0)))
-        .alias("imbalance_ratio"))
+    counts = labelled.agg(*exprs("count_if(isLabelable) AS labelable",
+                                 "count_if(isSpikeEvent) AS minority"))
+    return counts.selectExpr("labelable", "minority", "labelable - minority AS majority",
+                             f"{ratio('labelable - minority', 'minority')} AS imbalance_ratio")
 
 
 def minority_by(labelled: DataFrame, by: str = "route") -> DataFrame:
     return labelled.where("isLabelable").groupBy(by).agg(
-        count_of(F.col("isSpikeEvent")).alias("minority"))
+        F.expr("count_if(isSpikeEvent) AS minority"))
 
 
 def airline_summary(features: DataFrame) -> DataFrame:
     """Rows, mean and median fare, spike rate and share per first carrier, largest first."""
-    rows = F.count(F.lit(1))
-    basic = features.groupBy("airline").agg(
-        rows.alias("rows"), F.avg("totalFare").alias("mean_fare"),
-        percent(count_of(F.col("isSpikeEvent")), rows).alias("spike_rate"))
-    total = basic.agg(F.sum("rows").alias("t")).scalar()
+    basic = with_share(features.groupBy("airline").agg(
+        *exprs(ROWS, "avg(totalFare) AS mean_fare"),
+        percent("count_if(isSpikeEvent)", "count(1)").alias("spike_rate")))
     middle = exact_quantiles(features, "totalFare", {"median_fare": 0.5}, ["airline"])
     return (
         _null_safe(basic.where(F.col("airline").isNotNull()), middle, ["airline"])
-        .select("airline", "rows", "mean_fare", "median_fare", "spike_rate",
-                percent(F.col("rows"), total).alias("share_pct"))
+        .select("airline", "rows", "mean_fare", "median_fare", "spike_rate", "share_pct")
         .orderBy(F.desc("rows"), "airline")
     )
 
@@ -546,7 +517,6 @@ def near_holiday(features: DataFrame, band: int = DEFAULTS.holiday_band) -> Data
 
 def counters(labelled: DataFrame, group: str = "legId") -> DataFrame:
     """Rows, labelable rows, events and distinct trajectories."""
-    return labelled.agg(
-        F.count(F.lit(1)).alias("rows"), count_of(F.col("isLabelable")).alias("labelable"),
-        count_of(F.col("isSpikeEvent")).alias("events"),
-        F.count_distinct(group).alias("trajectories"))
+    return labelled.agg(*exprs(
+        ROWS, "count_if(isLabelable) AS labelable", "count_if(isSpikeEvent) AS events",
+        f"count(DISTINCT {group}) AS trajectories"))

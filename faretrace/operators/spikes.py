@@ -8,42 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faretrace.functions import frames
-from faretrace.functions.scalars import count_of, days_between, percent
+from faretrace.functions.scalars import days_between, percent
 from faretrace.params import DEFAULTS, SIGMA_LEVELS, SWEEP_WINDOWS, Params
 from faretrace.plans.trajectory import Trajectory, on_trajectories
 from faretrace.schema import require_columns
 
 
+#: a verdict needs a scale: a deviation that exists and is not zero
+LABELABLE = "coalesce({std} > 0, false)"
+
+
 def add_days_before_departure(df: DataFrame, flight_col: str = "flightDate",
                               search_col: str = "searchDate") -> DataFrame:
     """Booking horizon of each observation in whole days."""
-    return df.withColumn("daysBeforeDeparture",
-                         days_between(F.col(flight_col), F.col(search_col)))
+    return df.withColumn("daysBeforeDeparture", days_between(flight_col, search_col))
 
 
 def rolling_columns(df: DataFrame, traj: Trajectory, window: int, min_periods: int,
                     value: str = "totalFare") -> DataFrame:
     """The baseline inside an open trajectory layout (see ``on_trajectories``)."""
-    w, v = traj.window(), F.col(value)
     return df.withColumns({
-        "rollMean": frames.rolling_mean(v, w, window, min_periods),
-        "rollStd": frames.rolling_std(v, w, window, min_periods),
+        "rollMean": frames.rolling_mean(value, traj.over(), window, min_periods),
+        "rollStd": frames.rolling_std(value, traj.over(), window, min_periods),
     })
 
 
 def label_columns(df: DataFrame, traj: Trajectory, sigma: float, direction: str,
                   value: str = "totalFare") -> DataFrame:
     """Verdict columns inside an open trajectory layout."""
-    labelable = F.coalesce(F.col("rollStd") > 0, F.lit(False))
-    scored = df.withColumns({
-        "isLabelable": labelable,
-        "spikeZ": frames.z_score(F.col(value), F.col("rollMean"), F.col("rollStd")),
-    })
-    hit = frames.beyond(F.col("spikeZ"), sigma, direction)
+    hit = frames.beyond("spikeZ", sigma, direction)
     return (
-        scored
-        .withColumn("isSpike", F.coalesce(hit & F.col("isLabelable"), F.lit(False)))
-        .withColumn("isSpikeEvent", frames.run_start(F.col("isSpike"), traj.window()))
+        df.withColumns({
+            "isLabelable": F.expr(LABELABLE.format(std="rollStd")),
+            "spikeZ": F.expr(frames.z_score(value, "rollMean", "rollStd")),
+        })
+        .withColumn("isSpike", F.expr(f"coalesce(isLabelable AND {hit}, false)"))
+        .withColumn("isSpikeEvent", frames.run_start("isSpike", traj.over()))
     )
 
 
@@ -80,11 +80,10 @@ def detect_spikes(df: DataFrame, traj: Trajectory = Trajectory(), params: Params
 
 
 def _rates(df: DataFrame) -> DataFrame:
-    labelable = F.col("labelable")
     return df.withColumns({
-        "labelable_pct": percent(labelable, F.col("rows"), empty=0.0),
-        "obs_rate_pct": percent(F.col("spike_obs"), labelable, empty=0.0),
-        "event_rate_pct": percent(F.col("spike_events"), labelable, empty=0.0),
+        "labelable_pct": percent("labelable", "rows", empty=0.0),
+        "obs_rate_pct": percent("spike_obs", "labelable", empty=0.0),
+        "event_rate_pct": percent("spike_events", "labelable", empty=0.0),
     })
 
 
@@ -92,10 +91,8 @@ def spike_summary(df: DataFrame, by: str | Sequence[str] | None = None) -> DataF
     """Coverage and spike rates per group (or one row ``all``); rates over labelable rows."""
     keys = [] if by is None else [by] if isinstance(by, str) else list(by)
     counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        count_of(F.col("isLabelable")).alias("labelable"),
-        count_of(F.col("isSpike")).alias("spike_obs"),
-        count_of(F.col("isSpikeEvent")).alias("spike_events"),
+        F.expr("count(1) AS rows"), F.expr("count_if(isLabelable) AS labelable"),
+        F.expr("count_if(isSpike) AS spike_obs"), F.expr("count_if(isSpikeEvent) AS spike_events"),
     )
     if by is None:
         counts = counts.select(F.lit("all").alias("scope"), "*")
@@ -108,34 +105,29 @@ def sweep_min_periods(window: int, ratio: float = 0.5) -> int:
 
 
 def _count_variants(df: DataFrame, traj: Trajectory,
-                    stats: Callable[[Trajectory], dict[str, Column]],
-                    spikes: dict[object, Column], labelable: dict[object, Column],
-                    lookback: int) -> DataFrame:
+                    stats: Callable[[str], dict[str, Column]],
+                    variants: dict[str, tuple[str, str]], lookback: int) -> DataFrame:
     """Counts for several label variants from one layout; one row per variant.
 
-    ``stats`` makes the rolling columns, ``spikes`` and ``labelable`` are the state
-    and coverage conditions of each variant over those columns.
+    ``stats`` makes the rolling columns from an OVER clause. ``variants`` maps the SQL
+    literal naming a variant to its coverage and spike conditions over those columns.
     """
-    ids = list(spikes)
+    pairs = list(variants.items())
 
     def body(d: DataFrame, t: Trajectory) -> DataFrame:
-        d = d.withColumns(stats(t))
-        d = d.withColumns({f"s{i}": F.coalesce(spikes[k], F.lit(False))
-                           for i, k in enumerate(ids)})
-        return d.withColumns({f"e{i}": frames.run_start(F.col(f"s{i}"), t.window())
-                              for i in range(len(ids))})
-
+        d = d.withColumns(stats(t.over()))
+        d = d.withColumns({f"s{i}": F.expr(f"coalesce({able} AND {hit}, false)")
+                           for i, (_, (able, hit)) in enumerate(pairs)})
+        return d.withColumns({f"e{i}": frames.run_start(f"s{i}", t.over())
+                              for i in range(len(pairs))})
+
+    rows = ", ".join(
+        f"struct({name} AS variant, count_if({able}) AS labelable, "
+        f"count_if(s{i}) AS spike_obs, count_if(e{i}) AS spike_events)"
+        for i, (name, (able, _)) in enumerate(pairs))
     totals = on_trajectories(df, traj, body, lookback).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[count_of(labelable[k]).alias(f"l{i}") for i, k in enumerate(ids)],
-        *[count_of(F.col(f"s{i}")).alias(f"ns{i}") for i in range(len(ids))],
-        *[count_of(F.col(f"e{i}")).alias(f"ne{i}") for i in range(len(ids))],
-    )
-    return totals.select("rows", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("variant"), F.col(f"l{i}").alias("labelable"),
-                 F.col(f"ns{i}").alias("spike_obs"), F.col(f"ne{i}").alias("spike_events"))
-        for i, k in enumerate(ids)
-    ])))
+        F.expr("count(1) AS rows"), F.expr(f"array({rows}) AS variants"))
+    return totals.selectExpr("rows", "inline(variants)")
 
 
 def sweep_windows(df: DataFrame, traj: Trajectory = Trajectory(),
@@ -143,70 +135,58 @@ def sweep_windows(df: DataFrame, traj: Trajectory = Trajectory(),
                   min_periods_ratio: float = 0.5, direction: str = "up",
                   value: str = "totalFare") -> DataFrame:
     """One row per window size; all sizes share a single exchange and sort."""
-    v = F.col(value)
     needs = {n: sweep_min_periods(n, min_periods_ratio) for n in windows}
-    narrow = df.select(traj.group, *traj.order, value)
 
-    def stats(t: Trajectory) -> dict[str, Column]:
+    def stats(over: str) -> dict[str, Column]:
         return {
-            **{f"m{n}": frames.rolling_mean(v, t.window(), n, p) for n, p in needs.items()},
-            **{f"d{n}": frames.rolling_std(v, t.window(), n, p) for n, p in needs.items()},
+            **{f"m{n}": frames.rolling_mean(value, over, n, p) for n, p in needs.items()},
+            **{f"d{n}": frames.rolling_std(value, over, n, p) for n, p in needs.items()},
         }
 
-    labelable = {n: F.coalesce(F.col(f"d{n}") > 0, F.lit(False)) for n in windows}
-    spikes = {
-        n: labelable[n] & frames.beyond(
-            frames.z_score(v, F.col(f"m{n}"), F.col(f"d{n}")), sigma, direction)
+    variants = {
+        str(n): (LABELABLE.format(std=f"d{n}"),
+                 frames.beyond(frames.z_score(value, f"m{n}", f"d{n}"), sigma, direction))
         for n in windows
     }
-    counted = _count_variants(narrow, traj, stats, spikes, labelable, max(windows) + 1)
-    required = F.lit(None).cast("int")
-    for n, p in needs.items():
-        required = F.when(F.col("variant") == n, F.lit(p)).otherwise(required)
-    return _rates(counted).select(
-        F.col("variant").alias("window"), required.alias("min_periods"),
-        "labelable", "labelable_pct", "spike_obs", "spike_events", "obs_rate_pct",
-        "event_rate_pct",
-        (F.col("spike_obs") / F.greatest("spike_events", F.lit(1))).alias("obs_per_event"),
-    )
+    narrow = df.select(traj.group, *traj.order, value)
+    counted = _count_variants(narrow, traj, stats, variants, max(windows) + 1)
+    required = " ".join(f"WHEN {n} THEN {p}" for n, p in needs.items())
+    return _rates(counted).selectExpr(
+        "variant AS window", f"CASE variant {required} END AS min_periods", "labelable",
+        "labelable_pct", "spike_obs", "spike_events", "obs_rate_pct", "event_rate_pct",
+        "spike_obs / greatest(spike_events, 1) AS obs_per_event")
 
 
 def sigma_table(df: DataFrame, traj: Trajectory = Trajectory(), params: Params = DEFAULTS,
                 sigmas: Sequence[float] = SIGMA_LEVELS, direction: str = "up",
                 value: str = "totalFare") -> DataFrame:
     """One row per threshold on the same baseline, from one layout."""
-    v = F.col(value)
-    narrow = df.select(traj.group, *traj.order, value)
 
-    def stats(t: Trajectory) -> dict[str, Column]:
+    def stats(over: str) -> dict[str, Column]:
         return {
-            "m": frames.rolling_mean(v, t.window(), params.window, params.min_periods),
-            "d": frames.rolling_std(v, t.window(), params.window, params.min_periods),
+            "m": frames.rolling_mean(value, over, params.window, params.min_periods),
+            "d": frames.rolling_std(value, over, params.window, params.min_periods),
         }
 
-    lab = F.coalesce(F.col("d") > 0, F.lit(False))
-    z = frames.z_score(v, F.col("m"), F.col("d"))
-    counted = _count_variants(
-        narrow, traj, stats,
-        {float(s): lab & frames.beyond(z, float(s), direction) for s in sigmas},
-        {float(s): lab for s in sigmas}, params.window + 1,
-    )
-    events = F.col("spike_events")
-    return _rates(counted).select(
-        F.col("variant").alias("sigma"), "spike_obs", "spike_events", "obs_rate_pct",
-        "event_rate_pct",
-        ((F.col("labelable") - events) / F.greatest(events, F.lit(1))).alias("imbalance_ratio"),
-    )
+    z = frames.z_score(value, "m", "d")
+    variants = {
+        f"CAST({float(s)!r} AS DOUBLE)": (LABELABLE.format(std="d"),
+                                          frames.beyond(z, s, direction))
+        for s in sigmas
+    }
+    narrow = df.select(traj.group, *traj.order, value)
+    counted = _count_variants(narrow, traj, stats, variants, params.window + 1)
+    return _rates(counted).selectExpr(
+        "variant AS sigma", "spike_obs", "spike_events", "obs_rate_pct", "event_rate_pct",
+        "(labelable - spike_events) / greatest(spike_events, 1) AS imbalance_ratio")
 
 
 def rate_report(labelled: DataFrame) -> DataFrame:
     """One row of totals with rates over all rows and over labelable rows."""
-    totals = spike_summary(labelled)
-    rows, events = F.col("rows"), F.col("spike_events")
-    return totals.select(
+    return spike_summary(labelled).select(
         "rows", "labelable", "labelable_pct", "spike_obs", "spike_events",
-        (F.col("spike_obs") / F.nullif(events, F.lit(0))).alias("obs_per_event"),
-        percent(F.col("spike_obs"), rows, empty=0.0).alias("obs_rate_all_pct"),
-        percent(events, rows, empty=0.0).alias("event_rate_all_pct"),
+        F.expr(f"{frames.ratio('spike_obs', 'spike_events')} AS obs_per_event"),
+        percent("spike_obs", "rows", empty=0.0).alias("obs_rate_all_pct"),
+        percent("spike_events", "rows", empty=0.0).alias("event_rate_all_pct"),
         "obs_rate_pct", "event_rate_pct",
     )

@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faretrace.functions.scalars import count_of, percent
+from faretrace.functions.frames import ratio
+from faretrace.functions.scalars import percent
 from faretrace.schema import require_columns
 
 FOLD_SCHEMA = ("fold int, train_start date, train_end date, test_start date, test_end date")
@@ -34,14 +35,14 @@ class Fold:
     test_end: date
     date_col: str = "flightDate"
 
-    def _day(self) -> Column:
-        return F.to_date(F.col(self.date_col))
+    def in_train(self) -> str:
+        """SQL condition on the date column."""
+        return (f"to_date(`{self.date_col}`) BETWEEN DATE '{self.train_start}' "
+                f"AND DATE '{self.train_end}'")
 
-    def in_train(self) -> Column:
-        return self._day().between(self.train_start, self.train_end)
-
-    def in_test(self) -> Column:
-        return self._day().between(self.test_start, self.test_end)
+    def in_test(self) -> str:
+        return (f"to_date(`{self.date_col}`) BETWEEN DATE '{self.test_start}' "
+                f"AND DATE '{self.test_end}'")
 
     def train(self, df: DataFrame) -> DataFrame:
         """Training rows; a bare range filter, so Parquet row groups can be skipped."""
@@ -144,24 +145,23 @@ def assign_folds(df: DataFrame, folds: Fold | Sequence[Fold]) -> DataFrame:
     The folds become an array literal of at most two entries per fold, so the rows
     never move: no join, no shuffle.
     """
-    sides = []
-    for fold in as_folds(folds):
-        for side, member in (("train", fold.in_train()), ("test", fold.in_test())):
-            sides.append(F.when(member, F.struct(F.lit(fold.index).alias("fold"),
-                                                 F.lit(side).alias("side"))))
-    return df.select("*", F.inline(F.array_compact(F.array(*sides))))
+    sides = ", ".join(
+        f"CASE WHEN {member} THEN struct({fold.index} AS fold, '{side}' AS side) END"
+        for fold in as_folds(folds)
+        for side, member in (("train", fold.in_train()), ("test", fold.in_test())))
+    return df.select("*", F.expr(f"inline(array_compact(array({sides})))"))
 
 
 def _per_group(df: DataFrame, folds: list[Fold], group_col: str,
-               label: Column | None = None) -> DataFrame:
+               label: str | None = None) -> DataFrame:
     """One row per group with its train rows, test rows and test positives for every fold."""
     aggs = []
     for f in folds:
-        aggs.append(count_of(f.in_train()).alias(f"tr{f.index}"))
-        aggs.append(count_of(f.in_test()).alias(f"te{f.index}"))
+        aggs.append(f"count_if({f.in_train()}) AS tr{f.index}")
+        aggs.append(f"count_if({f.in_test()}) AS te{f.index}")
         if label is not None:
-            aggs.append(count_of(f.in_test() & label).alias(f"po{f.index}"))
-    return df.groupBy(group_col).agg(*aggs)
+            aggs.append(f"count_if({f.in_test()} AND {label}) AS po{f.index}")
+    return df.groupBy(group_col).agg(*[F.expr(a) for a in aggs])
 
 
 def group_leakage(df: DataFrame, folds: Fold | Sequence[Fold],
@@ -171,21 +171,18 @@ def group_leakage(df: DataFrame, folds: Fold | Sequence[Fold],
     One shuffle on the group serves all folds; rows are not multiplied by folds.
     """
     folds = as_folds(folds)
+    rows = ", ".join(
+        f"struct({f.index} AS fold, count_if(te{f.index} > 0) AS test_groups, "
+        f"count_if(te{f.index} > 0 AND tr{f.index} > 0) AS leaking_groups)" for f in folds)
     per_group = _per_group(df, folds, group_col).where(F.col(group_col).isNotNull())
-    totals = per_group.agg(*[a for f in folds for a in (
-        count_of(F.col(f"te{f.index}") > 0).alias(f"t{f.index}"),
-        count_of((F.col(f"te{f.index}") > 0) & (F.col(f"tr{f.index}") > 0)).alias(f"b{f.index}"),
-    )])
-    rows = [F.struct(F.lit(f.index).alias("fold"), F.col(f"t{f.index}").alias("test_groups"),
-                     F.col(f"b{f.index}").alias("leaking_groups")) for f in folds]
-    return totals.select(F.inline(F.array(*rows))).withColumn(
-        "leaking_pct", percent(F.col("leaking_groups"), F.col("test_groups"), empty=0.0))
+    return per_group.agg(F.expr(f"array({rows}) AS folds")).selectExpr("inline(folds)").withColumn(
+        "leaking_pct", percent("leaking_groups", "test_groups", empty=0.0))
 
 
 def shared_groups(df: DataFrame, fold: Fold, group_col: str = "legId") -> DataFrame:
     """Group keys present on both sides of one fold."""
-    sides = df.groupBy(group_col).agg(F.bool_or(fold.in_train()).alias("a"),
-                                      F.bool_or(fold.in_test()).alias("b"))
+    sides = df.groupBy(group_col).agg(F.expr(f"bool_or({fold.in_train()}) AS a"),
+                                      F.expr(f"bool_or({fold.in_test()}) AS b"))
     return sides.where("a AND b").select(group_col)
 
 
@@ -206,37 +203,27 @@ def describe_folds(df: DataFrame, folds: Fold | Sequence[Fold],
     folds = as_folds(folds)
     label = None
     if label_col is not None and label_col in df.columns:
-        label = F.coalesce(F.col(label_col).cast("boolean"), F.lit(False))
+        label = f"CAST(`{label_col}` AS BOOLEAN)"
     if group_col is None:
         df, key = df.withColumn("__one", F.to_date(folds[0].date_col)), "__one"
     else:
         key = group_col
     per_group = _per_group(df, folds, key, label)
 
-    sums = []
-    for f in folds:
-        train, test = F.col(f"tr{f.index}"), F.col(f"te{f.index}")
-        known = F.col(key).isNotNull()
-        sums += [
-            F.sum(train).alias(f"a{f.index}"), F.sum(test).alias(f"b{f.index}"),
-            count_of((train > 0) & known).alias(f"c{f.index}"),
-            count_of((test > 0) & known).alias(f"d{f.index}"),
-        ]
-        if label is not None:
-            sums.append(F.sum(f"po{f.index}").alias(f"e{f.index}"))
-    totals = per_group.agg(*sums)
-
+    names = ("fold", "train_start", "train_end", "test_start", "test_end")
     rows = []
     for f in folds:
-        fields = [F.lit(v).alias(n) for n, v in zip(
-            ("fold", "train_start", "train_end", "test_start", "test_end"), f.row(), strict=True)]
-        fields += [F.col(f"a{f.index}").alias("train_rows"), F.col(f"b{f.index}").alias("test_rows")]
+        i, known = f.index, f"`{key}` IS NOT NULL"
+        index, *dates = f.row()
+        fields = [f"{index} AS fold", *[f"DATE '{d}' AS {n}"
+                                        for n, d in zip(names[1:], dates, strict=True)]]
+        fields += [f"sum(tr{i}) AS train_rows", f"sum(te{i}) AS test_rows"]
         if group_col is not None:
-            fields += [F.col(f"c{f.index}").alias("train_flights"),
-                       F.col(f"d{f.index}").alias("test_flights")]
+            fields += [f"count_if(tr{i} > 0 AND {known}) AS train_flights",
+                       f"count_if(te{i} > 0 AND {known}) AS test_flights"]
         if label is not None:
-            fields += [F.col(f"e{f.index}").alias("test_positives"),
-                       F.bround(percent(F.col(f"e{f.index}"), F.col(f"b{f.index}")), 2)
-                       .alias("test_pos_rate_pct")]
-        rows.append(F.struct(*fields))
-    return totals.select(F.inline(F.array(*rows)))
+            share = ratio(f"sum(po{i}) * 100D", f"sum(te{i})")
+            fields += [f"sum(po{i}) AS test_positives",
+                       f"bround({share}, 2) AS test_pos_rate_pct"]
+        rows.append(f"struct({', '.join(fields)})")
+    return per_group.agg(F.expr(f"array({', '.join(rows)}) AS folds")).selectExpr("inline(folds)")

@@ -50,22 +50,31 @@ class Trajectory:
         keys = (self.group, BLOCK) if self.blocked else (self.group,)
         return Window.partitionBy(*keys).orderBy(*self.order)
 
+    def over(self) -> str:
+        """The same window as the inside of an SQL OVER clause."""
+        keys = (self.group, BLOCK) if self.blocked else (self.group,)
+        return (f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} "
+                f"ORDER BY {', '.join(f'`{c}`' for c in self.order)}")
+
     def position(self) -> Column:
         """0-based index of the row in its whole trajectory."""
-        ordinal = F.row_number().over(self.window()).cast("long") - 1
-        return F.coalesce(F.col(POSITION), ordinal) if self.blocked else ordinal
+        ordinal = f"CAST(row_number() OVER ({self.over()}) AS BIGINT) - 1"
+        return F.expr(f"coalesce({POSITION}, {ordinal})" if self.blocked else ordinal)
 
 
 def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the plan's leaf relations as Catalyst estimates them, if it can say."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
-        total = 0
-        while leaves.hasNext():
-            total += int(leaves.next().stats().sizeInBytes().toString())
-        return total
-    except Exception:  # no JVM plan to ask (for example a remote session)
+    """Bytes of the plan's leaf relations as Catalyst estimates them.
+
+    None where there is no JVM plan to ask (a remote session).
+    """
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
         return None
+    leaves = plan.queryExecution().analyzed().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
 
 
 def hot_groups(df: DataFrame, traj: Trajectory) -> list[tuple[object, int]]:

@@ -6,11 +6,11 @@ from collections.abc import Iterable, Sequence
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faretrace.functions.scalars import count_of, percent
+from faretrace.functions.scalars import percent
 from faretrace.params import COACH_ONLY_CODES, EXPECTED_SUBSET_ROWS, ROUTES
 from faretrace.schema import (
     LABELLED_COLUMNS, MODEL_COLUMNS, MODELLING_COLUMNS, OBSERVATION, require_columns,
@@ -85,9 +85,10 @@ def row_count_report(df: DataFrame, expected: int = EXPECTED_SUBSET_ROWS) -> Dat
     )
 
 
-def is_coach(codes: Iterable[str] = COACH_ONLY_CODES) -> Column:
-    """Every leg flown in coach; an unknown cabin is not coach."""
-    return F.coalesce(F.col("segmentsCabinCode").isin(list(codes)), F.lit(False))
+def is_coach(codes: Iterable[str] = COACH_ONLY_CODES) -> str:
+    """SQL condition: every leg flown in coach; an unknown cabin is not coach."""
+    listed = ", ".join(f"'{c}'" for c in codes)
+    return f"coalesce(segmentsCabinCode IN ({listed}), false)"
 
 
 def filter_coach_only(df: DataFrame, codes: Iterable[str] = COACH_ONLY_CODES) -> DataFrame:
@@ -97,10 +98,9 @@ def filter_coach_only(df: DataFrame, codes: Iterable[str] = COACH_ONLY_CODES) ->
 
 def coach_filter_report(df: DataFrame, codes: Iterable[str] = COACH_ONLY_CODES) -> DataFrame:
     """Rows before and after the coach filter from one scan."""
-    kept = df.agg(F.count(F.lit(1)).alias("before"), count_of(is_coach(codes)).alias("after"))
-    removed = F.col("before") - F.col("after")
-    return kept.select("before", "after", removed.alias("removed"),
-                       percent(removed, F.col("before")).alias("removed_pct"))
+    kept = df.agg(F.expr("count(1) AS before"), F.expr(f"count_if({is_coach(codes)}) AS after"))
+    return kept.select("before", "after", F.expr("before - after AS removed"),
+                       percent("before - after", "before").alias("removed_pct"))
 
 
 def add_route(df: DataFrame) -> DataFrame:

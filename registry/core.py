@@ -25,7 +25,7 @@ def rounded(df: DataFrame) -> DataFrame:
     """Engines differ in the last bits of a double; compare six decimals."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({
-        c: F.round(F.col(f"`{c}`") + F.lit(float(NUDGE)), DIGITS) + F.lit(0.0) for c in doubles})
+        c: F.expr(f"round(`{c}` + {NUDGE}D, {DIGITS}) + 0D") for c in doubles})
 
 
 def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Query], Query]:

@@ -20,9 +20,8 @@ SCORE_SQL = ("scores", """SELECT isSpikeEvent AS label, 0.5 - zLag1 / (2 * (1 +
 
 
 def scores(spark, sf):
-    z = F.col("zLag1")
-    return model_rows(spark, sf).where(z.isNotNull()).select(
-        F.col("isSpikeEvent").alias("label"), (0.5 - z / (2 * (1 + F.abs(z)))).alias("score"))
+    return model_rows(spark, sf).where("zLag1 IS NOT NULL").selectExpr(
+        "isSpikeEvent AS label", "0.5D - zLag1 / (2 * (1 + abs(zLag1))) AS score")
 
 
 @query("m1_class_weight", sql("""

@@ -180,10 +180,12 @@ DAILY = ("daily", "SELECT flightDate, route, avg(totalFare) AS mean_fare FROM co
 
 
 @query("a16_autocorrelation", sql("""
-SELECT route, corr(mean_fare, lag1) AS lag_1, corr(mean_fare, lag7) AS lag_7, corr(mean_fare, lag14) AS lag_14,
- corr(mean_fare, lag7) > corr(mean_fare, lag1) AS weekly_dominant
+SELECT route, lag_1, lag_7, lag_14, lag_7 > lag_1 AS weekly_dominant FROM (
+SELECT route, CASE WHEN count(lag1) > 1 THEN corr(mean_fare, lag1) END AS lag_1,
+ CASE WHEN count(lag7) > 1 THEN corr(mean_fare, lag7) END AS lag_7,
+ CASE WHEN count(lag14) > 1 THEN corr(mean_fare, lag14) END AS lag_14
 FROM (SELECT *, lag(mean_fare, 1) OVER w AS lag1, lag(mean_fare, 7) OVER w AS lag7, lag(mean_fare, 14) OVER w AS lag14
- FROM daily WINDOW w AS (PARTITION BY route ORDER BY flightDate)) AS s GROUP BY route""", DAILY),
+ FROM daily WINDOW w AS (PARTITION BY route ORDER BY flightDate)) AS s GROUP BY route) AS c""", DAILY),
     doubles="lag_1 lag_7 lag_14")
 def _(spark, sf):
     return profile.autocorrelation(observations(spark, sf))

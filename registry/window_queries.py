@@ -74,7 +74,7 @@ FROM fare WINDOW w AS (PARTITION BY legId ORDER BY searchTs, obsId)"""))
 def _(spark, sf):
     return on_trajectories(
         fare_obs(spark, sf), FARE_TRAJECTORY,
-        lambda d, t: d.withColumn("gap", frames.gap_days(F.col("searchDate"), t.window())), 1,
+        lambda d, t: d.withColumn("gap", frames.gap_days("searchDate", t.over())), 1,
     ).select(*KEY, "gap")
 
 

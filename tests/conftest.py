@@ -11,7 +11,7 @@ from faretrace.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", 8, 8)
+    session = build_session("tests", 8, 4)
     yield session
     session.stop()
 

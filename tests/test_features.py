@@ -15,7 +15,7 @@ from faretrace.sources.ingest import clean
 
 def apply(spark, values, kind, *exprs):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, x {kind}")
-    rows = df.select("i", *[e(F.col("x")).alias(f"c{k}") for k, e in enumerate(exprs)]).orderBy("i").collect()
+    rows = df.select("i", *[e("x").alias(f"c{k}") for k, e in enumerate(exprs)]).orderBy("i").collect()
     return [[r[f"c{k}"] for r in rows] for k in range(len(exprs))]
 
 
@@ -36,7 +36,7 @@ def test_segments(spark):
 def test_local_hour_ignores_the_offset(spark):
     hour, part, rank = apply(
         spark, ["2022-04-17T23:05:00.000-04:00||x", "2022-04-17T00:05:00.000-04:00", None, "junk"],
-        "string", scalars.local_hour, lambda c: scalars.daypart(scalars.local_hour(c)),
+        "string", lambda c: F.expr(scalars.local_hour(c)), lambda c: scalars.daypart(scalars.local_hour(c)),
         lambda c: scalars.daypart_rank(scalars.local_hour(c)))
     assert hour == [23, 0, None, None]
     assert part == ["night", "red-eye", None, None]
@@ -73,8 +73,8 @@ def test_calendar(spark):
 
 def test_safe_ratio_and_z_follow_ansi(spark):
     df = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (-1.0, 0.0), (3.0, 2.0)], "d double, s double")
-    got = df.select(frames.safe_ratio(F.col("d"), F.col("s")).alias("r"),
-                    frames.z_score(F.col("d"), F.lit(0.0), F.col("s")).alias("z")).collect()
+    got = df.selectExpr(f"{frames.ratio('d', 's')} AS r",
+                        f"{frames.z_score('d', '0D', 's')} AS z").collect()
     assert [r["r"] for r in got] == [None, None, None, 1.5]
     assert [r["z"] for r in got] == [float("inf"), None, float("-inf"), 1.5]
 
