@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 def _before(stat: str, value: str, over: str, window: int, min_periods: int) -> Column:
     frame = f"({over} ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+    if min_periods <= 1:  # a statistic of no values is NULL by itself
+        return F.expr(f"{stat}({value}) OVER {frame}")
     return F.expr(f"CASE WHEN count({value}) OVER {frame} >= {min_periods} "
                   f"THEN {stat}({value}) OVER {frame} END")
 

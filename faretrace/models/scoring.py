@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretrace.functions.frames import ratio
-from faretrace.plans.ordering import ROWS_PER_TASK, running_totals
+from faretrace.plans.ordering import running_totals
 
 
 def class_weight(train: DataFrame, label: str = "isSpikeEvent") -> DataFrame:
@@ -44,21 +44,21 @@ def score_counts(predictions: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_auc(predictions: DataFrame, label: str = "label", score: str = "score",
-            rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+            parts: int | None = None) -> DataFrame:
     """Exact ROC AUC with half credit on ties: one row ``roc_auc`` (NULL for one class)."""
     ranked = running_totals(score_counts(predictions, label, score), ["s"],
-                            {"neg_upto": "neg"}, rows_per_task)
+                            {"neg_upto": "neg"}, parts)
     totals = ranked.agg(F.expr("sum(pos * (neg_upto - neg / 2D)) AS won"),
                         F.expr("sum(CAST(pos AS DOUBLE)) AS p"), F.expr("sum(neg) AS n"))
     return totals.selectExpr(f"{ratio('won', 'p * n')} AS roc_auc")
 
 
 def best_threshold(predictions: DataFrame, label: str = "label", score: str = "score",
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   parts: int | None = None) -> DataFrame:
     """Threshold (score >= t is positive) with the highest F1; ties take the higher one."""
     counts = score_counts(predictions, label, score).withColumn("rank_key", -F.col("s"))
     total = counts.agg(F.sum("pos").alias("p")).scalar()
-    swept = running_totals(counts, ["rank_key"], {"tp": "pos", "fp": "neg"}, rows_per_task)
+    swept = running_totals(counts, ["rank_key"], {"tp": "pos", "fp": "neg"}, parts)
     f1 = f"coalesce({ratio('2D * tp', 'tp + fp + p')}, 0D)"
     return swept.withColumn("p", total).agg(
         F.expr(f"max(struct({f1} AS f1, s AS threshold)) AS best")

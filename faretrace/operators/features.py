@@ -155,17 +155,20 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
     return ordered_rank(domain, [column], "code").withColumn("code", F.col("code").cast("int"))
 
 
-def _coded(df: DataFrame, column: str, domain_of: DataFrame) -> DataFrame:
-    """Replace a text column by its code; NULL becomes -1."""
-    table = category_codes(domain_of, column)
-    few = table.limit(LITERAL_DOMAIN + 1).collect()
-    if len(few) <= LITERAL_DOMAIN:
-        if not few:
-            return df.withColumn(column, F.lit(-1))
-        lookup = F.create_map(*[F.lit(x) for r in few for x in (r[column], r["code"])])
-        return df.withColumn(column, F.coalesce(F.try_element_at(lookup, F.col(column)),
-                                                F.lit(-1)))
-    named = table.withColumnRenamed(column, "__value")
+def _literal_codes(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]] | None:
+    """Sorted distinct values of all ``columns`` from one job, or None when there are many."""
+    fields = ", ".join(f"struct('{c}' AS name, `{c}` AS value)" for c in columns)
+    pairs = df.selectExpr(f"inline(array({fields}))").where("value IS NOT NULL").distinct()
+    found = pairs.limit(LITERAL_DOMAIN + 1).collect()
+    if len(found) > LITERAL_DOMAIN:
+        return None
+    # bytewise, as the engine orders text
+    return {c: sorted((r["value"] for r in found if r["name"] == c), key=lambda v: v.encode())
+            for c in columns}
+
+
+def _code_joined(df: DataFrame, column: str, domain_of: DataFrame) -> DataFrame:
+    named = category_codes(domain_of, column).withColumnRenamed(column, "__value")
     return (
         df.join(named, F.col(column) == F.col("__value"), "left")
         .withColumn(column, F.coalesce("code", F.lit(-1))).drop("code", "__value")
@@ -179,10 +182,17 @@ def encode(df: DataFrame, columns: Sequence[str], domain_of: DataFrame | None =
     """
     types = {f.name: f.dataType for f in df.schema}
     ordinal = {"departureTimeOfDay": DAYPART_LABELS}
-    for column in columns:
-        if column in ordinal:
-            cases = " ".join(f"WHEN {label!r} THEN {i}" for i, label in enumerate(ordinal[column]))
-            df = df.withColumn(column, F.expr(f"CASE `{column}` {cases} ELSE -1 END"))
-        elif isinstance(types[column], T.StringType):
-            df = _coded(df, column, domain_of if domain_of is not None else df)
+    for column in ordinal.keys() & set(columns):
+        cases = " ".join(f"WHEN {label!r} THEN {i}" for i, label in enumerate(ordinal[column]))
+        df = df.withColumn(column, F.expr(f"CASE `{column}` {cases} ELSE -1 END"))
+    text = [c for c in columns if c not in ordinal and isinstance(types[c], T.StringType)]
+    source = domain_of if domain_of is not None else df
+    codes = _literal_codes(source, text) if text else {}
+    for column in text:
+        if codes is None:
+            df = _code_joined(df, column, source)
+        else:
+            known = [F.lit(x) for i, v in enumerate(codes[column]) for x in (v, i)]
+            found = F.try_element_at(F.create_map(*known), F.col(column)) if known else F.lit(None)
+            df = df.withColumn(column, F.coalesce(found, F.lit(-1)))
     return df.withColumns({c: F.expr(f"CAST(`{c}` AS FLOAT)") for c in columns})

@@ -139,7 +139,8 @@ def sweep_windows(df: DataFrame, traj: Trajectory = Trajectory(),
 
     def stats(over: str) -> dict[str, Column]:
         return {
-            **{f"m{n}": frames.rolling_mean(value, over, n, p) for n, p in needs.items()},
+            # the deviation carries the minimum-history gate for both
+            **{f"m{n}": frames.rolling_mean(value, over, n, 1) for n in needs},
             **{f"d{n}": frames.rolling_std(value, over, n, p) for n, p in needs.items()},
         }
 
@@ -164,7 +165,7 @@ def sigma_table(df: DataFrame, traj: Trajectory = Trajectory(), params: Params =
 
     def stats(over: str) -> dict[str, Column]:
         return {
-            "m": frames.rolling_mean(value, over, params.window, params.min_periods),
+            "m": frames.rolling_mean(value, over, params.window, 1),
             "d": frames.rolling_std(value, over, params.window, params.min_periods),
         }
 

@@ -77,17 +77,23 @@ def rolling_origin_splits(df: DataFrame, n_splits: int = 5, test_days: int = 14,
 
     ``train_days`` makes the training window slide instead of grow; ``gap_days``
     is an embargo before each test window. Windows without rows are left out and
-    the remaining folds renumbered. Two one-row aggregates reach the driver.
+    the remaining folds renumbered. One row of dates and flags reaches the driver,
+    from one pass: the distinct dates are shuffled once and read twice.
     """
     if n_splits < 1:
         raise ValueError(f"n_splits={n_splits}: at least one fold is needed")
     require_columns(df, [date_col], "rolling_origin_splits")
-    days = df.select(F.to_date(date_col).alias("d"))
-    start, end = days.agg(F.min("d"), F.max("d")).first()
+    days = df.select(F.to_date(date_col).alias("d")).where("d IS NOT NULL").groupBy("d").agg(
+        F.max("d").alias("last"))
+    opens_at = [1 - (n_splits - k) * test_days for k in range(n_splits)]
+    start, end, *filled = days.withColumn("hi", days.agg(F.max("last")).scalar()).agg(
+        F.min("d"), F.max("d"), *[
+            F.expr(f"bool_or(d BETWEEN date_add(hi, {at}) AND date_add(hi, {at + test_days - 1}))")
+            for at in opens_at]).first()
     if start is None:
         raise ValueError("no dates to split")
 
-    first_test = end + timedelta(days=1 - n_splits * test_days)
+    first_test = end + timedelta(days=opens_at[0])
     history = (first_test - start).days - gap_days
     if history < min_train_days:
         raise ValueError(
@@ -95,15 +101,14 @@ def rolling_origin_splits(df: DataFrame, n_splits: int = 5, test_days: int = 14,
             f"training days before the first fold, fewer than min_train_days={min_train_days}")
 
     layout = []
-    for k in range(n_splits):
-        opens = first_test + timedelta(days=k * test_days)
+    for at in opens_at:
+        opens = end + timedelta(days=at)
         closes = opens + timedelta(days=test_days - 1)
         train_end = opens - timedelta(days=1 + gap_days)
         train_start = start
         if train_days is not None:
             train_start = max(start, train_end - timedelta(days=train_days - 1))
         layout.append((train_start, train_end, opens, closes))
-    filled = days.agg(*[F.bool_or(F.col("d").between(o, c)) for _, _, o, c in layout]).first()
 
     folds: list[Fold] = []
     for (train_start, train_end, opens, closes), any_rows in zip(layout, filled, strict=True):

@@ -1,6 +1,6 @@
 """Total orders and prefix sums without one task that sees every row.
 
-Small inputs use a plain window. Above ``rows_per_task`` rows the data is range
+Inputs below one scan partition use a plain window. Anything else is range
 partitioned, checkpointed (so every consumer sees the same placement), and the
 per-partition totals - one row per partition - are broadcast back as offsets.
 """
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from faretrace.session import cut_lineage
 
-ROWS_PER_TASK = 4_000_000
+#: inputs smaller than this are ordered by one task
+SMALL_BYTES = 64 << 20
 _SERIAL, _PART, _FIRST, _BEFORE = "__serial", "__part", "__first", "__before"
 
 
@@ -64,24 +65,49 @@ def number_rows(placed: DataFrame, group: Sequence[str], name: str) -> DataFrame
     )
 
 
-def _parts(df: DataFrame, rows_per_task: int) -> int:
-    return -(-df.count() // rows_per_task)
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the plan's leaf relations as Catalyst estimates them.
+
+    None where there is no JVM plan to ask (a remote session).
+    """
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    leaves = plan.queryExecution().analyzed().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
+
+
+def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    size = input_bytes(df) if limit else None
+    return size is not None and size < limit
+
+
+def _parts(df: DataFrame, parts: int | None) -> int:
+    """How many ranges to cut: one for small inputs, else the session's shuffle width."""
+    if parts is not None:
+        return parts
+    if is_small(df):
+        return 1
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def ordered_rank(df: DataFrame, order: Sequence[str | Column], name: str,
-                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                 parts: int | None = None) -> DataFrame:
     """Exact 0-based position of every row in the total ``order`` (must be unique)."""
-    parts = _parts(df, rows_per_task)
+    parts = _parts(df, parts)
     if parts <= 1:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
     return number_rows(place_in_order(df, order, parts), (), name)
 
 
 def running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[str, str],
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   parts: int | None = None) -> DataFrame:
     """Inclusive prefix sums along ``order``: ``totals`` maps new name to summed column."""
     up_to_here = (Window.unboundedPreceding, Window.currentRow)
-    parts = _parts(df, rows_per_task)
+    parts = _parts(df, parts)
     if parts <= 1:
         w = Window.orderBy(*order).rowsBetween(*up_to_here)
         return df.withColumns({new: F.sum(old).over(w) for new, old in totals.items()})

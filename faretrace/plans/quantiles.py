@@ -13,14 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faretrace.plans.trajectory import input_bytes
+from faretrace.plans.ordering import SMALL_BYTES, is_small
 from faretrace.session import cut_lineage
 
 #: distinct values of one group that one task may hold
 DISTINCT_LIMIT = 1_000_000
 BUCKETS = 4_096
 BROADCAST_ROWS = 100_000
-PROBE_BYTES = 64 << 20
 
 
 def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -33,8 +32,7 @@ def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFr
 
 def _few_distinct(df: DataFrame, counts: DataFrame, by: Sequence[str], limit: int,
                   probe_bytes: int) -> bool:
-    size = input_bytes(df) if probe_bytes else None
-    if size is not None and size < probe_bytes:
+    if is_small(df, probe_bytes):
         return True
     largest = counts.groupBy(*by).count().agg(F.max("count")).first()[0]
     return (largest or 0) <= limit
@@ -42,7 +40,7 @@ def _few_distinct(df: DataFrame, counts: DataFrame, by: Sequence[str], limit: in
 
 def exact_quantiles(df: DataFrame, value: str | Column, fractions: dict[str, float],
                     by: Sequence[str] = (), limit: int = DISTINCT_LIMIT,
-                    probe_bytes: int = PROBE_BYTES) -> DataFrame:
+                    probe_bytes: int = SMALL_BYTES) -> DataFrame:
     """One row per group: the ``by`` columns and one double per named fraction.
 
     Linear interpolation between the two neighbouring order statistics.

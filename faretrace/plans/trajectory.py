@@ -17,7 +17,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from faretrace.plans.ordering import number_rows, place_in_order
+from faretrace.plans.ordering import SMALL_BYTES, is_small, number_rows, place_in_order
 from faretrace.schema import require_columns
 
 BLOCK, HALO, POSITION = "__block", "__halo", "__position"
@@ -39,7 +39,7 @@ class Trajectory:
     #: longest trajectory one task may sort and scan
     hot_rows: int = 4_000_000
     #: inputs smaller than this are not probed for hot trajectories
-    probe_bytes: int = 64 << 20
+    probe_bytes: int = SMALL_BYTES
     blocked: bool = False
 
     @property
@@ -62,21 +62,6 @@ class Trajectory:
         return F.expr(f"coalesce({POSITION}, {ordinal})" if self.blocked else ordinal)
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the plan's leaf relations as Catalyst estimates them.
-
-    None where there is no JVM plan to ask (a remote session).
-    """
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    leaves = plan.queryExecution().analyzed().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
-
-
 def hot_groups(df: DataFrame, traj: Trajectory) -> list[tuple[object, int]]:
     """Groups that may exceed ``hot_rows`` with an estimate of their size.
 
@@ -84,10 +69,8 @@ def hot_groups(df: DataFrame, traj: Trajectory) -> list[tuple[object, int]]:
     sampled just densely enough to see every such group, and at most
     2 * total / hot_rows groups can qualify, so the answer is small by construction.
     """
-    if traj.probe_bytes:
-        size = input_bytes(df)
-        if size is not None and size < traj.probe_bytes:
-            return []
+    if is_small(df, traj.probe_bytes):
+        return []
     fraction = min(1.0, SAMPLED_ROWS / traj.hot_rows)
     keys = df.select(F.col(traj.group).alias("k"))
     if fraction < 1.0:
