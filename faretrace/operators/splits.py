@@ -83,10 +83,11 @@ def rolling_origin_splits(df: DataFrame, n_splits: int = 5, test_days: int = 14,
     if n_splits < 1:
         raise ValueError(f"n_splits={n_splits}: at least one fold is needed")
     require_columns(df, [date_col], "rolling_origin_splits")
-    days = df.select(F.to_date(date_col).alias("d")).where("d IS NOT NULL").groupBy("d").agg(
-        F.max("d").alias("last"))
+    # the test on n keeps Catalyst from dropping the grouping, so both reads share its shuffle
+    days = (df.select(F.to_date(date_col).alias("d")).where("d IS NOT NULL")
+            .groupBy("d").agg(F.expr("count(1) AS n")).where("n > 0"))
     opens_at = [1 - (n_splits - k) * test_days for k in range(n_splits)]
-    start, end, *filled = days.withColumn("hi", days.agg(F.max("last")).scalar()).agg(
+    start, end, *filled = days.withColumn("hi", days.agg(F.max("d")).scalar()).agg(
         F.min("d"), F.max("d"), *[
             F.expr(f"bool_or(d BETWEEN date_add(hi, {at}) AND date_add(hi, {at + test_days - 1}))")
             for at in opens_at]).first()

@@ -16,9 +16,16 @@ from faretrace.session import cut_lineage
 
 #: inputs smaller than this are ordered by one task
 SMALL_BYTES = 64 << 20
+#: a join side known to have at most this many short rows is broadcast
+BROADCAST_ROWS = 100_000
 _SERIAL, _PART, _FIRST, _BEFORE = "__serial", "__part", "__first", "__before"
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a side whose row count is bounded by ``rows``; else leave the choice to AQE."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _name_and_sort(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
@@ -35,11 +42,12 @@ def place_in_order(df: DataFrame, order: Sequence[str | Column], parts: int) ->
     return cut_lineage(placed)
 
 
-def number_rows(placed: DataFrame, group: Sequence[str], name: str) -> DataFrame:
+def number_rows(placed: DataFrame, group: Sequence[str], name: str,
+                pieces_at_most: int) -> DataFrame:
     """0-based position within ``group`` of rows laid out by :func:`place_in_order`.
 
     Groups are contiguous in that order, so there is at most one piece per
-    partition plus one per group; callers keep the number of groups bounded.
+    partition plus one per group: ``pieces_at_most`` is that sum.
     """
     pieces = (
         placed.groupBy(_PART, *group)
@@ -59,7 +67,7 @@ def number_rows(placed: DataFrame, group: Sequence[str], name: str) -> DataFrame
     same_piece = F.lit(True)
     for c in (_PART, *group):
         same_piece = same_piece & F.col(c).eqNullSafe(F.col(f"__p_{c}"))
-    numbered = placed.join(F.broadcast(pieces), same_piece)
+    numbered = placed.join(broadcast_if_small(pieces, pieces_at_most), same_piece)
     return numbered.withColumn(name, F.col(_SERIAL) - F.col(_FIRST) + F.col(_BEFORE)).drop(
         _SERIAL, _PART, _FIRST, _BEFORE, *[f"__p_{c}" for c in (_PART, *group)]
     )
@@ -100,7 +108,7 @@ def ordered_rank(df: DataFrame, order: Sequence[str | Column], name: str,
     parts = _parts(df, parts)
     if parts <= 1:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
-    return number_rows(place_in_order(df, order, parts), (), name)
+    return number_rows(place_in_order(df, order, parts), (), name, parts)
 
 
 def running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[str, str],
@@ -124,7 +132,7 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[st
     )
     within = Window.partitionBy(_PART).orderBy(_SERIAL).rowsBetween(*up_to_here)
     return (
-        placed.join(F.broadcast(offsets), F.col(_PART) == F.col("__p"))
+        placed.join(broadcast_if_small(offsets, parts), F.col(_PART) == F.col("__p"))
         .withColumns({new: F.sum(old).over(within) + F.col(f"__o_{new}")
                       for new, old in totals.items()})
         .drop(_SERIAL, _PART, "__p", *[f"__o_{new}" for new in totals])

@@ -13,13 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faretrace.plans.ordering import SMALL_BYTES, is_small
+from faretrace.plans.ordering import SMALL_BYTES, broadcast_if_small, is_small
 from faretrace.session import cut_lineage
 
 #: distinct values of one group that one task may hold
 DISTINCT_LIMIT = 1_000_000
 BUCKETS = 4_096
-BROADCAST_ROWS = 100_000
 
 
 def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -111,8 +110,7 @@ def _inside(counts: DataFrame, bracket: DataFrame, by: list[str], rows: int) ->
     The bracket table has two rows per fraction and group; it is broadcast while
     its counted size is small, so a huge group is never shuffled to one task.
     """
-    small = F.broadcast(bracket) if rows <= BROADCAST_ROWS else bracket
-    c, b = counts.alias("c"), small.alias("b")
+    c, b = counts.alias("c"), broadcast_if_small(bracket, rows).alias("b")
     on = (F.col("c.v") >= F.col("b.lo")) & (F.col("c.v") <= F.col("b.hi"))
     for name in by:
         on = on & F.col(f"c.{name}").eqNullSafe(F.col(f"b.{name}"))

@@ -17,7 +17,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from faretrace.plans.ordering import SMALL_BYTES, is_small, number_rows, place_in_order
+from faretrace.plans.ordering import (
+    SMALL_BYTES, broadcast_if_small, is_small, number_rows, place_in_order,
+)
 from faretrace.schema import require_columns
 
 BLOCK, HALO, POSITION = "__block", "__halo", "__position"
@@ -86,7 +88,8 @@ def _in_blocks(df: DataFrame, traj: Trajectory, hot: list[tuple[object, int]],
     spark, group = df.sparkSession, traj.group
     size = max(traj.hot_rows, lookback)
     key_type = df.schema[group].dataType.simpleString()
-    hot_keys = F.broadcast(spark.createDataFrame([(k,) for k, _ in hot], f"__k {key_type}"))
+    hot_keys = broadcast_if_small(
+        spark.createDataFrame([(k,) for k, _ in hot], f"__k {key_type}"), len(hot))
     matches = F.col(group).eqNullSafe(F.col("__k"))
     rest = df.join(hot_keys, matches, "left_anti").withColumns({
         BLOCK: F.lit(0).cast("long"),
@@ -95,7 +98,7 @@ def _in_blocks(df: DataFrame, traj: Trajectory, hot: list[tuple[object, int]],
     })
     parts = -(-sum(n for _, n in hot) // traj.hot_rows) + 1
     placed = place_in_order(df.join(hot_keys, matches, "left_semi"), (group, *traj.order), parts)
-    numbered = number_rows(placed, (group,), POSITION)
+    numbered = number_rows(placed, (group,), POSITION, parts + len(hot))
     home = F.floor(F.col(POSITION) / size)
     near_end = F.pmod(F.col(POSITION), F.lit(size)) >= size - lookback
     cut = (
