@@ -34,7 +34,7 @@ def day_of_week(day: str) -> Column:
 
 
 def is_weekend(day: str) -> Column:
-    return F.expr(f"weekday({day}) >= 5")
+    return F.expr(f"coalesce(weekday({day}) >= 5, false)")
 
 
 def iso_week(day: str) -> Column:

@@ -178,13 +178,16 @@ def _code_joined(df: DataFrame, column: str, domain_of: DataFrame) -> DataFrame:
 def encode(df: DataFrame, columns: Sequence[str], domain_of: DataFrame | None = None) -> DataFrame:
     """Design columns as floats: text to codes, flags to 0/1, ordered bins by rank.
 
-    Codes come from ``domain_of`` (default: ``df``); other columns pass through.
+    A missing category or flag is -1; a missing number stays NULL. Codes come from ``domain_of`` (default: ``df``); other columns pass through.
     """
     types = {f.name: f.dataType for f in df.schema}
     ordinal = {"departureTimeOfDay": DAYPART_LABELS}
     for column in ordinal.keys() & set(columns):
         cases = " ".join(f"WHEN {label!r} THEN {i}" for i, label in enumerate(ordinal[column]))
         df = df.withColumn(column, F.expr(f"CASE `{column}` {cases} ELSE -1 END"))
+    for column in columns:
+        if isinstance(types[column], T.BooleanType):
+            df = df.withColumn(column, F.expr(f"coalesce(CAST(`{column}` AS INT), -1)"))
     text = [c for c in columns if c not in ordinal and isinstance(types[c], T.StringType)]
     source = domain_of if domain_of is not None else df
     codes = _literal_codes(source, text) if text else {}

@@ -71,20 +71,17 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def compare_distributions(df: DataFrame, value: str, kept: str) -> DataFrame:
-    """(statistic, before, after, change) of ``value`` over all rows and over kept rows."""
-    sides = {
-        "before": describe(df, value),
-        "after": describe(df.where(kept), value),
-    }
-    long = None
-    for side, stats in sides.items():
-        names = ("count", "mean", "std", "min", *QUARTILES, "max")
-        fields = ", ".join(f"struct('{n}' AS statistic, '{side}' AS side, "
-                           f"CAST(`{n}` AS DOUBLE) AS x)" for n in names)
-        part = stats.selectExpr(f"inline(array({fields}))")
-        long = part if long is None else long.unionByName(part)
-    wide = long.groupBy("statistic").agg(*exprs(*[
-        f"max(CASE side WHEN '{s}' THEN x END) AS {s}" for s in sides]))
+    """(statistic, before, after, change) of ``value`` over all rows and over kept rows.
+
+    Rows are tagged with the sides they count for, so both sides share every scan.
+    """
+    sided = df.selectExpr(
+        f"CAST({value} AS DOUBLE) AS v",
+        f"explode(CASE WHEN {kept} THEN array('before', 'after') ELSE array('before') END) AS side")
+    stats = describe(sided, "v", ["side"]).withColumn("count", F.expr("CAST(count AS DOUBLE)"))
+    names = [c for c in stats.columns if c != "side"]
+    wide = stats.unpivot("side", names, "statistic", "x").groupBy("statistic").agg(*exprs(*[
+        f"max(CASE side WHEN '{s}' THEN x END) AS {s}" for s in ("before", "after")]))
     return wide.withColumn("change", F.expr("after - before"))
 
 
@@ -148,7 +145,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: str, low: float | None =
     # the density window sees at most ``bins`` rows per group
     return counts.selectExpr(
         by, "bin", f"lo + bin * {width} AS bin_start", "rows",
-        f"rows / (sum(rows) OVER (PARTITION BY {by}) * {width}) AS density")
+        f"{ratio('rows', f'(sum(rows) OVER (PARTITION BY {by}) * {width})')} AS density")
 
 
 # ---- missingness ---------------------------------------------------------
@@ -233,11 +230,14 @@ def censoring_summary(df: DataFrame, censor_days: int = DEFAULTS.censor_days) ->
 
 def cutoff_report(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """The configured cutoff, the one the data imply, and the rows each retains."""
+    # naming both measures in every filter keeps all reads on the same exchange
     per_date = closest_observation(df)
-    first_far = per_date.where(F.col("closest") > params.censor_days).agg(
+    first_far = per_date.where(f"closest > {params.censor_days} AND rows > 0").agg(
         F.min("flightDate").alias("d")).scalar()
-    last_clear = (per_date.where(F.coalesce(F.col("flightDate") < first_far, F.lit(True)))
+    last_clear = (per_date.where("closest IS NULL OR rows > 0")
+                  .where(F.coalesce(F.col("flightDate") < first_far, F.lit(True)))
                   .agg(F.max("flightDate").alias("d")).scalar())
+    per_date = per_date.where("closest IS NULL OR rows > 0")
     cutoff = f"DATE '{params.full_trajectory_end}'"
     kept = f"coalesce(sum(CASE WHEN flightDate <= {cutoff} THEN rows END), 0)"
     derived = "coalesce(sum(CASE WHEN flightDate <= edge THEN rows END), 0)"

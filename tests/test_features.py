@@ -65,7 +65,7 @@ def test_calendar(spark):
                                "flightDate date")
     rows = features.add_calendar_features(df).collect()
     assert [r["dayOfWeek"] for r in rows] == [6, 0, 1, None]
-    assert [r["isWeekend"] for r in rows] == [True, False, False, None]
+    assert [r["isWeekend"] for r in rows] == [True, False, False, False]
     assert [r["isHoliday"] for r in rows] == [False, True, False, False]
     assert [r["isSummerSeason"] for r in rows] == [True, True, False, False]
     assert [r["weekOfYear"] for r in rows] == [35, 36, 36, None]
@@ -127,7 +127,7 @@ def test_encode(spark, monkeypatch, literal):
         "id int, airline string, departureTimeOfDay string, isNonStop boolean, x double")
     got = features.encode(df, ["airline", "departureTimeOfDay", "isNonStop", "x"]).orderBy("id").collect()
     assert [tuple(r[c] for c in df.columns[1:]) for r in got] == [
-        (1.0, 5.0, 1.0, 1.5), (0.0, -1.0, 0.0, None), (-1.0, 0.0, None, 2.0), (2.0, 1.0, 1.0, 0.0)]
+        (1.0, 5.0, 1.0, 1.5), (0.0, -1.0, 0.0, None), (-1.0, 0.0, -1.0, 2.0), (2.0, 1.0, 1.0, 0.0)]
 
 
 def test_groups_cover_no_leaky_column():

@@ -73,6 +73,12 @@ def test_histogram_puts_the_maximum_in_the_last_bin(spark):
     assert sum(r["density"] * 2.0 for r in got) == pytest.approx(1.0)
 
 
+def test_histogram_of_one_value_has_no_density(spark):
+    df = spark.createDataFrame([("a", 3.0)] * 4, "g string, v double")
+    [row] = profile.histogram(df, "v", 5, "g").collect()
+    assert (row["bin"], row["rows"], row["density"]) == (4, 4, None)
+
+
 def test_value_counts_share_is_of_all_rows(spark):
     df = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "c string")
     got = [(r["value"], r["rows"], r["share_pct"]) for r in profile.value_counts(df, "c").collect()]
