@@ -178,7 +178,8 @@ def _code_joined(df: DataFrame, column: str, domain_of: DataFrame) -> DataFrame:
 def encode(df: DataFrame, columns: Sequence[str], domain_of: DataFrame | None = None) -> DataFrame:
     """Design columns as floats: text to codes, flags to 0/1, ordered bins by rank.
 
-    A missing category or flag is -1; a missing number stays NULL. Codes come from ``domain_of`` (default: ``df``); other columns pass through.
+    A missing category or flag is -1; a missing number stays NULL. Text codes come
+    from ``domain_of`` (default: ``df``); columns not listed pass through.
     """
     types = {f.name: f.dataType for f in df.schema}
     ordinal = {"departureTimeOfDay": DAYPART_LABELS}

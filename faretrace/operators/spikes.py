@@ -13,7 +13,6 @@ from faretrace.params import DEFAULTS, SIGMA_LEVELS, SWEEP_WINDOWS, Params
 from faretrace.plans.trajectory import Trajectory, on_trajectories
 from faretrace.schema import require_columns
 
-
 #: a verdict needs a scale: a deviation that exists and is not zero
 LABELABLE = "coalesce({std} > 0, false)"
 

@@ -29,14 +29,6 @@ def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFr
     )
 
 
-def _few_distinct(df: DataFrame, counts: DataFrame, by: Sequence[str], limit: int,
-                  probe_bytes: int) -> bool:
-    if is_small(df, probe_bytes):
-        return True
-    largest = counts.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= limit
-
-
 def exact_quantiles(df: DataFrame, value: str | Column, fractions: dict[str, float],
                     by: Sequence[str] = (), limit: int = DISTINCT_LIMIT,
                     probe_bytes: int = SMALL_BYTES) -> DataFrame:
@@ -46,12 +38,15 @@ def exact_quantiles(df: DataFrame, value: str | Column, fractions: dict[str, flo
     """
     value = F.col(value) if isinstance(value, str) else value
     counts = value_counts(df, value.cast("double"), by)
-    if _few_distinct(df, counts, by, limit, probe_bytes):
-        wanted = F.array(*[F.lit(float(f)) for f in fractions.values()])
-        found = counts.groupBy(*by).agg(F.percentile("v", wanted, F.col("n")).alias("q"))
-        return found.select(*by, *[F.get("q", F.lit(i)).alias(name)
-                                   for i, name in enumerate(fractions)])
-    return _narrowed(counts, fractions, list(by), limit)
+    if not is_small(df, probe_bytes):
+        counts = cut_lineage(counts)  # read again by the probe and by every pass
+        widest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if widest > limit:
+            return _narrowed(counts, fractions, list(by), limit)
+    wanted = F.array(*[F.lit(float(f)) for f in fractions.values()])
+    found = counts.groupBy(*by).agg(F.percentile("v", wanted, F.col("n")).alias("q"))
+    return found.select(*by, *[F.get("q", F.lit(i)).alias(name)
+                               for i, name in enumerate(fractions)])
 
 
 def _targets(counts: DataFrame, fractions: dict[str, float], by: list[str]) -> DataFrame:
@@ -76,7 +71,6 @@ def _targets(counts: DataFrame, fractions: dict[str, float], by: list[str]) -> D
 
 def _narrowed(counts: DataFrame, fractions: dict[str, float], by: list[str],
               limit: int) -> DataFrame:
-    counts = cut_lineage(counts)
     key = [*by, "name", "side"]
     bracket = cut_lineage(_targets(counts, fractions, by))
     rows, widest = _state(bracket)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from faretrace.functions.scalars import percent
 from faretrace.params import COACH_ONLY_CODES, EXPECTED_SUBSET_ROWS, ROUTES
 from faretrace.schema import (
-    LABELLED_COLUMNS, MODEL_COLUMNS, MODELLING_COLUMNS, OBSERVATION, require_columns,
+    CATEGORY_COLUMNS, LABELLED_COLUMNS, MODEL_COLUMNS, MODELLING_COLUMNS, OBSERVATION, require_columns,
 )
 
 
@@ -124,7 +124,7 @@ def departing_by(df: DataFrame, last: date, date_col: str = "flightDate") -> Dat
     return df.where(F.col(date_col) <= F.lit(last))
 
 
-def category_domain(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def category_domain(df: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS) -> DataFrame:
     """(column_name, value, rows): the distinct non-null values of each text column."""
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns

@@ -196,6 +196,13 @@ def test_split_tables_agree(skewed):
     _same_rows(features.sequence_windows(skewed, 6, plain), features.sequence_windows(skewed, 6, CUT))
 
 
+def test_split_without_broadcasts(skewed, monkeypatch):
+    from faretrace.plans import ordering
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 0)
+    _same_rows(spikes.add_rolling_stats(skewed, replace(FARE_TRAJECTORY, hot_rows=10**9)),
+               spikes.add_rolling_stats(skewed, CUT))
+
+
 def test_hot_null_key_is_split_too(spark):
     rows = [(None if i % 2 else f"l{i % 5}", DAY0 + timedelta(days=i), float(i % 13)) for i in range(200)]
     df = spark.createDataFrame(rows, SCHEMA)
