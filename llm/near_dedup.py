@@ -40,13 +40,14 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     """SetSketch registers of a non-empty set of mixed 64-bit hashes."""
     least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
     low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-    first, second = np.empty((64, REGISTERS), np.uint32), np.empty((64, REGISTERS), np.uint32)
-    for at in range(0, len(low), 64):
-        n = min(64, len(low) - at)
-        np.multiply(low[at:at + n, None], _LOW, out=first[:n])
-        np.multiply(high[at:at + n, None], _HIGH, out=second[:n])
-        first[:n] += second[:n]
-        np.minimum(least, first[:n].min(axis=0), out=least)
+    wide = min(len(low), 1024)
+    first, second = np.empty((REGISTERS, wide), np.uint32), np.empty((REGISTERS, wide), np.uint32)
+    for at in range(0, len(low), wide):
+        n = min(wide, len(low) - at)
+        np.multiply(_LOW[:, None], low[None, at:at + n], out=first[:, :n])
+        np.multiply(_HIGH[:, None], high[None, at:at + n], out=second[:, :n])
+        first[:, :n] += second[:, :n]
+        np.minimum(least, first[:, :n].min(axis=1), out=least)
     minima = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(minima) / np.log(BASE)), 0, 65535).astype(np.uint16)
 
