@@ -1,11 +1,14 @@
-"""Connected components over an edge table, by alternating star contractions."""
+"""Connected components over an edge table and over verified members of candidate buckets."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faretrace.session import cut_lineage
+from llm.text import bit_filtered
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,3 +39,36 @@ def components(edges: DataFrame) -> DataFrame:
             return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
                 current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         seen = mark
+
+
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``members`` (id, key): ids with a common key may be linked; ``verify`` takes pairs (a, b), a < b, and
+    returns those that are. Result as of ``components``, exact over all pairs with a common key.
+
+    Two rounds propose pairs. The first pairs each id with the bucket leader that shares most keys with it. The second
+    takes only buckets that still hold several components and proposes every pair across components not tried yet.
+    Pairs within a component cannot change the result, so a hot bucket of copies is never expanded.
+    """
+    leaders = cut_lineage(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
+                          .where("leader < last").select("key", "leader"))
+    shared = cut_lineage(bit_filtered(members, "key", leaders).join(leaders, "key"))
+    best = cut_lineage(shared.where("leader < id").groupBy("id", "leader").count()
+                       .groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a"))
+                       .select("a", F.col("id").alias("b")))
+    first = cut_lineage(verify(best))
+    reached = components(first)
+
+    grouped = shared.select("key", "id").join(reached, "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = grouped.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    still_open = cut_lineage(grouped.join(mixed.select("key"), "key", "left_semi"))
+    kinds = still_open.select("key", "component").distinct()
+    of = lambda c, x: still_open.select("key", F.col("component").alias(c), F.col("id").alias(x))
+    across = (kinds.withColumnRenamed("component", "c1").join(kinds.withColumnRenamed("component", "c2"), "key")
+              .where("c1 < c2"))
+    pairs = cut_lineage(across.join(of("c1", "x"), ["key", "c1"]).join(of("c2", "y"), ["key", "c2"])
+                        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                        .join(best, ["a", "b"], "left_anti"))
+    second = verify(pairs)
+    return components(first.union(second))

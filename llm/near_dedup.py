@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faretrace.session import cut_lineage
-from llm.graph import components
-from llm.text import byte_texts, id_text, shingle_set, word_hashes
+from llm.graph import linked_components
+from llm.text import byte_texts, fetch, id_text, shingle_set, word_hashes
 
 WIDTH = 5
 PERCENT = 85
@@ -138,8 +138,7 @@ def _links(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, percent: int)
              .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
     likely = cut_lineage(sized.mapInArrow(_likely(percent), "a long, b long"))
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut_lineage(id_text(docs).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-                       .mapInArrow(_sets, "id long, shingles binary"))
+    sets = cut_lineage(fetch(docs, wanted).mapInArrow(_sets, "id long, shingles binary"))
     full = (likely.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a"))
     return full.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long")
@@ -157,42 +156,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Two documents are linked if ``100 * intersection >= percent * union`` of their shingle sets;
     ``component_id`` is the smallest doc_id that links reach and ``kept`` marks that document. Texts that are
     NULL, empty or without words have no shingles and are linked with nothing. Repeated rows of one doc_id
-    are each returned; they are linked if their texts are. Other columns of ``docs`` are ignored.
+    are each returned and linked if their texts are; a row without doc_id is kept and linked with nothing. Other columns of ``docs`` are ignored.
 
-    Equal sets collapse to their smallest doc_id before anything else. Then two rounds propose pairs of
-    different sets: first each set with the bucket leader that shares most bands with it; then, over buckets that still
-    hold several components, every pair across components. Pairs within a component cannot change
-    the result, so a hot bucket of near copies is never expanded into its pairs.
+    Equal sets collapse to their smallest doc_id before anything else; ``linked_components`` proposes pairs of
+    different sets.
     """
     sketched = cut_lineage(sketches(docs))
-    distinct = cut_lineage(sketched.where("n_shingles > 0").groupBy("digest").agg(
+    distinct = cut_lineage(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"),
         F.first("registers").alias("registers")))
     banded = distinct.select("id", F.explode(_keys()).alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    shared = cut_lineage(banded.join(leaders.select("key", "leader"), "key"))
-    best = (shared.where("leader < id").groupBy("id", "leader").count()
-            .groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")))
-    first = cut_lineage(_links(best.select(F.col("leader").alias("a"), F.col("id").alias("b")), distinct, docs, percent))
-
-    reached = components(first)
-    grouped = shared.select("key", "id").join(reached, "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"))
-    groups = grouped.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = groups.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_members = cut_lineage(grouped.join(mixed.select("key"), "key", "left_semi"))
-    kinds = open_members.select("key", "component").distinct()
-    across = kinds.select("key", F.col("component").alias("c1")).join(
-        kinds.select("key", F.col("component").alias("c2")), "key").where("c1 < c2")
-    tried = best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    pairs = (across
-             .join(open_members.select("key", F.col("component").alias("c1"), F.col("id").alias("x")), ["key", "c1"])
-             .join(open_members.select("key", F.col("component").alias("c2"), F.col("id").alias("y")), ["key", "c2"])
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-             .join(tried, ["a", "b"], "left_anti"))
-    links = first.union(_links(cut_lineage(pairs), distinct, docs, percent))
-    final = components(links)
+    final = linked_components(banded, lambda pairs: _links(pairs, distinct, docs, percent))
     named = distinct.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return (sketched.join(named, "digest", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-            .withColumn("kept", F.expr("doc_id = component_id")))
+            .select("doc_id", "n_shingles", F.expr("IF(doc_id IS NULL, NULL, coalesce(component_id, doc_id))")
+                    .alias("component_id"))
+            .withColumn("kept", F.expr("coalesce(doc_id = component_id, true)")))

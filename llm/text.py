@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+FILTER_BITS = 1 << 23
 _RANDOM = np.random.default_rng(20240229)
 _VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -44,6 +45,47 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def bit_filter(values: DataFrame, column: str) -> np.ndarray:
+    """FILTER_BITS bits with one set for each value of a long column. Always FILTER_BITS / 8 bytes on the driver: a
+    filter before a join, which may let a value pass but never loses one."""
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    rows = (values.select(at.alias("p"))
+            .groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect())
+    width = 4096 * 8
+    out = np.zeros(FILTER_BITS + width, bool)
+    for row in rows:
+        # bucket n holds the values from (n - 1) * width + 1, bucket 0 only zero
+        begin = (row["bucket"] - 1) * width + 1 if row["bucket"] > 0 else 0
+        bits = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little").astype(bool)
+        bits = bits if row["bucket"] > 0 else bits[:1]
+        out[begin:begin + len(bits)] |= bits
+    return np.packbits(out[:FILTER_BITS], bitorder="little")
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.mod(values.astype(np.int64), FILTER_BITS)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bit_filtered(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows that may have a wanted value in a long column: spares most others the shuffle of a join on it."""
+    bits = bit_filter(wanted, column)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(column).fill_null(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(passes(bits, values)))
+
+    return rows.mapInArrow(near, rows.schema)
+
+
+def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the wanted doc_ids."""
+    return (bit_filtered(id_text(docs), "doc_id", wanted)
+            .join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
