@@ -41,34 +41,36 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
+                      features: Callable[[DataFrame], DataFrame], near: str) -> DataFrame:
     """``members`` (id, key): ids with a common key may be linked; ``verify`` takes pairs (a, b), a < b, and
-    returns those that are. Result as of ``components``, exact over all pairs with a common key.
+    returns those that are. ``features`` maps a table (id) to (id, columns) and ``near`` is a condition on the columns of
+    two sides ``x`` and ``y`` that every link fulfils. Result as of ``components``, over all pairs with a common key.
 
     Two rounds propose pairs. The first pairs each id with the bucket leader that shares most keys with it. The second
-    takes only buckets that still hold several components and proposes every pair across components not tried yet.
-    Pairs within a component cannot change the result, so a hot bucket of copies is never expanded.
+    takes only buckets that still hold several components and proposes every near pair across components. Pairs
+    within a component cannot change the result: members of a bucket's largest component are not compared
+    with each other, so a hot bucket of copies is never expanded, and ``near`` is part of the join.
     """
     leaders = cut_lineage(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
                           .where("leader < last").select("key", "leader"))
     shared = cut_lineage(bit_filtered(members, "key", leaders).join(leaders, "key"))
-    best = cut_lineage(shared.where("leader < id").groupBy("id", "leader").count()
-                       .groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a"))
-                       .select("a", F.col("id").alias("b")))
-    first = cut_lineage(verify(best))
+    best = (shared.where("leader < id").groupBy("id", "leader").count()
+            .groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a"))
+            .select("a", F.col("id").alias("b")))
+    first = cut_lineage(verify(cut_lineage(best)))
     reached = components(first)
 
     grouped = shared.select("key", "id").join(reached, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = grouped.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    still_open = cut_lineage(grouped.join(mixed.select("key"), "key", "left_semi"))
-    kinds = still_open.select("key", "component").distinct()
-    of = lambda c, x: still_open.select("key", F.col("component").alias(c), F.col("id").alias(x))
-    across = (kinds.withColumnRenamed("component", "c1").join(kinds.withColumnRenamed("component", "c2"), "key")
-              .where("c1 < c2"))
-    pairs = cut_lineage(across.join(of("c1", "x"), ["key", "c1"]).join(of("c2", "y"), ["key", "c2"])
-                        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-                        .join(best, ["a", "b"], "left_anti"))
-    second = verify(pairs)
-    return components(first.union(second))
+    largest = (grouped.groupBy("key", "component").count().groupBy("key")
+               .agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("n"))
+               .where("n > 1").select("key", "largest"))
+    still_open = cut_lineage(grouped.join(largest, "key"))
+    known = cut_lineage(features(still_open.select("id").distinct()))
+    full = still_open.join(known, "id")
+    x, y = full.where("component <> largest").alias("x"), full.alias("y")
+    pairs = (x.join(y, F.expr("x.key = y.key AND x.component <> y.component "
+                              f"AND (y.component = y.largest OR x.id < y.id) AND {near}"))
+             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    return components(first.union(verify(cut_lineage(pairs))))

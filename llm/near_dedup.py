@@ -4,7 +4,8 @@ A text is its set of distinct 5-word shingles. A register holds an exponentially
 the set, truncated to a power of ``BASE``: ``floor(1 - log_b(min))``. Registers of two sets agree with a
 chance of about their Jaccard similarity, and the register-wise maximum of two sketches is the sketch of the
 union. Steps: bands of registers propose pairs, the joint likelihood of two sketches estimates their
-similarity, and what may reach the threshold is verified on the full sets.
+similarity, and what may reach the threshold is verified on the full sets. Where a bucket needs pairs
+beyond those with its leader, 1,024 one-bit minima thin them out within the join.
 """
 
 from __future__ import annotations
@@ -31,27 +32,44 @@ RATE = 20.0
 #: standard deviations that a likelihood estimate may lie under the threshold before a pair is refused unverified
 SLACK = 5.0
 
-_RANDOM = np.random.default_rng(7)
-_LOW = _RANDOM.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
-_HIGH = _RANDOM.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
+#: one-bit minima of a document in a bucket that the first round leaves open
+FINE = 1024
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """SetSketch registers of a non-empty set of mixed 64-bit hashes."""
-    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+def _factors(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 32, (2, n), dtype=np.uint32) | np.uint32(1)
+
+
+FACTORS, FINE_FACTORS = _factors(7, REGISTERS), _factors(8, FINE)
+
+
+def _minima(shingles: np.ndarray, low_factor: np.ndarray, high_factor: np.ndarray) -> np.ndarray:
+    """Smallest 32-bit hash of a non-empty set under each of the hash functions."""
+    least = np.full(len(low_factor), 0xFFFFFFFF, np.uint32)
     low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-    wide = min(len(low), 1024)
-    first, second = np.empty((REGISTERS, wide), np.uint32), np.empty((REGISTERS, wide), np.uint32)
+    wide = min(len(low), (1 << 17) // len(low_factor))
+    first, second = np.empty((len(least), wide), np.uint32), np.empty((len(least), wide), np.uint32)
     for at in range(0, len(low), wide):
         n = min(wide, len(low) - at)
-        np.multiply(_LOW[:, None], low[None, at:at + n], out=first[:, :n])
-        np.multiply(_HIGH[:, None], high[None, at:at + n], out=second[:, :n])
+        np.multiply(low_factor[:, None], low[None, at:at + n], out=first[:, :n])
+        np.multiply(high_factor[:, None], high[None, at:at + n], out=second[:, :n])
         first[:, :n] += second[:, :n]
         np.minimum(least, first[:, :n].min(axis=1), out=least)
-    minima = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
+    return least
+
+
+def registers(shingles: np.ndarray) -> np.ndarray:
+    """SetSketch registers of a non-empty set of mixed 64-bit hashes."""
+    minima = -np.log1p(-(_minima(shingles, *FACTORS) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(minima) / np.log(BASE)), 0, 65535).astype(np.uint16)
 
 
+def fine_bits(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of FINE further minima, as FINE / 64 longs: half of the bits of unlike minima agree."""
+    least = _minima(shingles, *FINE_FACTORS) * np.uint32(0x9E3779B1)
+    return np.packbits(least >> np.uint32(31) == 1).view(np.int64)
+
+
 def estimate(n_a: np.ndarray, n_b: np.ndarray, greater: np.ndarray, less: np.ndarray) -> np.ndarray:
     """Most likely Jaccard similarity of pairs with known set sizes, from how many registers of the first
     sketch lie over and under those of the second."""
@@ -99,6 +117,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["id", "shingles"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [shingle_set(w, WIDTH) for w in word_hashes(byte_texts(part.column("text")))]
+            bits = np.array([fine_bits(s) for s in sets]).reshape(len(sets), FINE // 64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, bits.T)],
+                ["id", "n", *(f"b{i}" for i in range(FINE // 64))])
+
+
+def _near(percent: int) -> str:
+    """What the one-bit minima and sizes of two sets at the threshold fulfil, SLACK standard deviations off."""
+    unlike = (1 - percent / 100) / 2
+    most = int(FINE * unlike + SLACK * np.sqrt(FINE * unlike * (1 - unlike)))
+    bits = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(FINE // 64))
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {bits} <= {most}"
+
+
 def _likely(percent: int):
     bound = percent / 100
     bound -= SLACK * np.sqrt(bound * (1 - bound) / REGISTERS)
@@ -166,7 +203,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"),
         F.first("registers").alias("registers")))
     banded = distinct.select("id", F.explode(_keys()).alias("key"))
-    final = linked_components(banded, lambda pairs: _links(pairs, distinct, docs, percent))
+    final = linked_components(
+        banded, lambda pairs: _links(pairs, distinct, docs, percent),
+        lambda ids: fetch(docs, ids.withColumnRenamed("id", "doc_id")).mapInArrow(
+            _fine, "id long, n long, " + ", ".join(f"b{i} long" for i in range(FINE // 64))), _near(percent))
     named = distinct.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return (sketched.join(named, "digest", "left")
             .select("doc_id", "n_shingles", F.expr("IF(doc_id IS NULL, NULL, coalesce(component_id, doc_id))")
