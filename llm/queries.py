@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import line_dedup, near_dedup
+from llm import line_dedup, near_dedup, secrets, toxicity
 from llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.scan(docs, secrets.fit_field(docs))
+    names = "array(" + ", ".join(f"'{k}'" for k in secrets.KINDS) + ")"
+    joined = (lambda only: f"array_join(transform(filter(spans, s -> s.kind < {only}), "
+              f"s -> concat({names}[s.kind], ':', s.start, ':', s.end)), ',')")
+    return found.selectExpr(
+        "doc_id", *(f"CAST(size(filter(spans, s -> s.kind = {i})) AS BIGINT) AS n_{k}" for i, k in enumerate(secrets.KINDS[:3])),
+        f"sha2({joined(3)}, 256) AS base_sha256", f"{joined(4)} AS spans")
