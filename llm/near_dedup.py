@@ -5,7 +5,7 @@ the set, truncated to a power of ``BASE``: ``floor(1 - log_b(min))``. Registers
 chance of about their Jaccard similarity, and the register-wise maximum of two sketches is the sketch of the
 union. Steps: bands of registers propose pairs, the joint likelihood of two sketches estimates their
 similarity, and what may reach the threshold is verified on the full sets. Where a bucket needs pairs
-beyond those with its leader, 1,024 one-bit minima thin them out within the join.
+beyond those with its leader, 2,048 one-bit minima thin them out within the join.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ RATE = 20.0
 SLACK = 5.0
 
 #: one-bit minima of a document in a bucket that the first round leaves open
-FINE = 1024
+FINE = 2048
 
 
 def _factors(seed: int, n: int) -> np.ndarray:
@@ -174,7 +174,7 @@ def _links(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, percent: int)
     sized = (pairs.join(side("a"), "a").join(side("b"), "b")
              .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
     likely = cut_lineage(sized.mapInArrow(_likely(percent), "a long, b long"))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = likely.select(F.col("a").alias("doc_id")).distinct().union(likely.select("b").distinct()).distinct()
     sets = cut_lineage(fetch(docs, wanted).mapInArrow(_sets, "id long, shingles binary"))
     full = (likely.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a"))

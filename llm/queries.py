@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import line_dedup, near_dedup, secrets, toxicity
+from llm import line_dedup, near_dedup, packing, secrets, toxicity
 from llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_line_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 @query("op9_toxicity")
@@ -69,3 +70,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr(
         "doc_id", *(f"CAST(size(filter(spans, s -> s.kind = {i})) AS BIGINT) AS n_{k}" for i, k in enumerate(secrets.KINDS[:3])),
         f"sha2({joined(3)}, 256) AS base_sha256", f"{joined(4)} AS spans")
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

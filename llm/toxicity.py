@@ -147,3 +147,14 @@ def toxicity(docs: DataFrame, model: Machine) -> DataFrame:
                     ["doc_id", "text", "score", "predicted"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, text string, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Machine) -> DataFrame:
+    """The rows of ``docs`` (``text`` and any columns) that are not predicted toxic, unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.filter(pa.array(model.raw(distinct_terms(byte_texts(batch.column(at)))) < 0, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
