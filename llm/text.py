@@ -146,7 +146,13 @@ def _chunks(texts: list[bytes], table: np.ndarray) -> Iterator[tuple[bytes, list
 
 def word_hashes(texts: list[bytes], table: np.ndarray = SPACED, lower: bool = True) -> list[np.ndarray]:
     """Per text, the hashes of its words in order. ``lower`` lower-cases A-Z only."""
+    return words_and_sizes(texts, table, lower)[0]
+
+
+def words_and_sizes(texts: list[bytes], table: np.ndarray, lower: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """As ``word_hashes``, and the words' numbers of bytes."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
+    wide: list[list[np.ndarray]] = [[] for _ in texts]
     for parts, numbers in _chunks(texts, table):
         joined = b" ".join(parts)
         buf = np.frombuffer(joined.lower() if lower else joined, np.uint8)
@@ -156,8 +162,11 @@ def word_hashes(texts: list[bytes], table: np.ndarray = SPACED, lower: bool = Tr
         cuts = np.searchsorted(starts, begins)
         for j, i in enumerate(numbers):
             out[i].append(hashes[cuts[j]:cuts[j + 1]])
-    none = np.zeros(0, np.uint64)
-    return [x[0] if len(x) == 1 else np.concatenate(x) if x else none for x in out]
+            wide[i].append((ends - starts)[cuts[j]:cuts[j + 1]])
+    none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, sizes = ([np.concatenate(x or empty) if len(x) != 1 else x[0] for x in parts]
+                     for parts, empty in ((out, none[0]), (wide, none[1])))
+    return hashes, sizes
 
 
 def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
