@@ -158,11 +158,12 @@ def words_and_sizes(texts: list[bytes], table: np.ndarray, lower: bool) -> tuple
         buf = np.frombuffer(joined.lower() if lower else joined, np.uint8)
         starts, ends = word_spans(buf, table)
         hashes = span_hashes(prefix_sums(buf), starts, ends)
+        widths = ends - starts
         begins = np.cumsum([0] + [len(p) + 1 for p in parts])
         cuts = np.searchsorted(starts, begins)
         for j, i in enumerate(numbers):
             out[i].append(hashes[cuts[j]:cuts[j + 1]])
-            wide[i].append((ends - starts)[cuts[j]:cuts[j + 1]])
+            wide[i].append(widths[cuts[j]:cuts[j + 1]])
     none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     hashes, sizes = ([np.concatenate(x or empty) if len(x) != 1 else x[0] for x in parts]
                      for parts, empty in ((out, none[0]), (wide, none[1])))
