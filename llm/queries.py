@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, fingerprint, licenses, line_dedup, near_dedup, packing, quality, secrets, toxicity
+from llm import bpe, fingerprint, licenses, line_dedup, near_dedup, packing, quality, secrets, suffix_dedup, toxicity
 from llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_licenses")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("blocks")
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
