@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faretrace.functions.frames import ratio
 from faretrace.plans.ordering import running_totals
+from faretrace.session import cut_lineage
 
 
 def class_weight(train: DataFrame, label: str = "isSpikeEvent") -> DataFrame:
@@ -56,7 +57,8 @@ def roc_auc(predictions: DataFrame, label: str = "label", score: str = "score",
 def best_threshold(predictions: DataFrame, label: str = "label", score: str = "score",
                    parts: int | None = None) -> DataFrame:
     """Threshold (score >= t is positive) with the highest F1; ties take the higher one."""
-    counts = score_counts(predictions, label, score).withColumn("rank_key", -F.col("s"))
+    # read twice; fixed once, so that what makes the scores runs once
+    counts = cut_lineage(score_counts(predictions, label, score)).withColumn("rank_key", -F.col("s"))
     total = counts.agg(F.sum("pos").alias("p")).scalar()
     swept = running_totals(counts, ["rank_key"], {"tp": "pos", "fp": "neg"}, parts)
     f1 = f"coalesce({ratio('2D * tp', 'tp + fp + p')}, 0D)"

@@ -17,7 +17,7 @@ from faretrace.functions import frames
 from faretrace.functions.frames import ratio
 from faretrace.functions.scalars import horizon_bin, horizon_rank, month_key, percent
 from faretrace.params import DEFAULTS, HORIZON_LABELS, LENGTH_LEVELS, Params
-from faretrace.plans.quantiles import exact_quantiles
+from faretrace.plans.quantiles import GROUP, collapsed, exact_quantiles, quantiles_of
 from faretrace.plans.trajectory import Trajectory, on_trajectories
 from faretrace.schema import FEATURE_GROUPS
 
@@ -40,10 +40,24 @@ def exprs(*texts: str) -> list[Column]:
     return [F.expr(t) for t in texts]
 
 
-def moments(value: str, count: str = "count") -> list[Column]:
-    v = f"CAST({value} AS DOUBLE)"
-    return exprs(f"count({v}) AS {count}", f"avg({v}) AS mean", f"stddev_samp({v}) AS std",
-                 f"min({v}) AS min", f"max({v}) AS max")
+def _group_keys(by: Sequence[str]) -> list[str]:
+    return [f"{GROUP}{i}" for i in range(len(by))]
+
+
+def _moments(table: DataFrame, by: Sequence[str], count: str) -> DataFrame:
+    """count, mean, std, min, max of the values of a ``collapsed`` table per group, NULL groups too."""
+    keys = _group_keys(by)
+    first = table.groupBy(*keys).agg(*exprs(
+        f"coalesce(sum(CASE WHEN v IS NOT NULL THEN n END), 0L) AS {count}",
+        f"{ratio('sum(v * n)', 'sum(CASE WHEN v IS NOT NULL THEN n END)')} AS mean",
+        "min(v) AS min", "max(v) AS max"))
+    # second moments about the mean: a difference of large sums would lose digits
+    centred = _null_safe(table, first.select(*keys, "mean"), keys) if keys else table.withColumn(
+        "mean", first.select("mean").scalar())
+    spread = centred.groupBy(*keys).agg(F.expr(
+        f"sqrt({ratio('sum(n * (v - mean) * (v - mean))', 'sum(CASE WHEN v IS NOT NULL THEN n END) - 1')}) AS std"))
+    joined = _null_safe(first, spread, keys) if keys else first.withColumn("std", spread.select("std").scalar())
+    return joined.withColumnsRenamed(dict(zip(keys, by, strict=True)))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -58,11 +72,12 @@ def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFram
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, q25, q50, q75, max of non-null values, per group or overall.
 
-    ``value`` is a column name or any SQL expression over the row.
+    ``value`` is a column name or any SQL expression over the row. Everything is read off one
+    table of (group, value, count); making it and counting its rows are jobs of their own.
     """
     by = list(by)
-    basic = df.groupBy(*by).agg(*moments(value))
-    quartiles = exact_quantiles(df, F.expr(value), QUARTILES, by)
+    table = collapsed(df, F.expr(value), by)
+    basic, quartiles = _moments(table, by, "count"), quantiles_of(table, QUARTILES, by)
     if by:
         joined = _null_safe(basic, quartiles, by)
     else:
@@ -113,8 +128,8 @@ def class_split(df: DataFrame, member: str, code: str) -> DataFrame:
 
 def group_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """rows, mean, median, std, min, max of ``value`` by group, largest group first."""
-    basic = df.groupBy(by).agg(*moments(value, count="rows"))
-    middle = exact_quantiles(df, value, {"median": 0.5}, [by])
+    table = collapsed(df, F.expr(value), [by])
+    basic, middle = _moments(table, [by], "rows"), quantiles_of(table, {"median": 0.5}, [by])
     return (_null_safe(basic.where(F.col(by).isNotNull()), middle, [by])
             .select(by, "rows", "mean", "median", "std", "min", "max")
             .orderBy(F.desc("rows"), by))
@@ -163,7 +178,7 @@ def null_audit(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 def null_audit_by(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """Percent of nulls of every column, one row per group."""
-    return df.groupBy(by).agg(*[
+    return df.where(F.col(by).isNotNull()).groupBy(by).agg(*[
         percent(f"count_if(`{c}` IS NULL)", "count(1)").alias(f"{c}_null_pct")
         for c in columns
     ])
@@ -254,7 +269,8 @@ def cutoff_report(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 def daily_mean(df: DataFrame, value: str = "totalFare", date_col: str = "flightDate",
                by: str = "route") -> DataFrame:
     """(date, group, mean): the regular series of a group; one row per calendar day."""
-    return df.groupBy(date_col, by).agg(F.avg(value).alias("mean_fare"))
+    dated = df.where(F.col(date_col).isNotNull() & F.col(by).isNotNull())
+    return dated.groupBy(date_col, by).agg(F.avg(value).alias("mean_fare"))
 
 
 def crosstab_mean(df: DataFrame, key: str | Column, values: Sequence[str],
@@ -266,7 +282,7 @@ def crosstab_mean(df: DataFrame, key: str | Column, values: Sequence[str],
     """
     keyed = df if isinstance(key, str) else df.withColumn("__key", key)
     name = key if isinstance(key, str) else "__key"
-    table = keyed.groupBy(name).pivot(by, list(values)).agg(F.avg(value))
+    table = keyed.where(F.col(name).isNotNull()).groupBy(name).pivot(by, list(values)).agg(F.avg(value))
     return table.select(F.col(name), *[F.col(f"`{v}`").alias(column_name(v)) for v in values])
 
 
@@ -494,16 +510,20 @@ def class_balance(labelled: DataFrame) -> DataFrame:
 
 
 def minority_by(labelled: DataFrame, by: str = "route") -> DataFrame:
-    return labelled.where("isLabelable").groupBy(by).agg(
+    return labelled.where("isLabelable").where(F.col(by).isNotNull()).groupBy(by).agg(
         F.expr("count_if(isSpikeEvent) AS minority"))
 
 
 def airline_summary(features: DataFrame) -> DataFrame:
     """Rows, mean and median fare, spike rate and share per first carrier, largest first."""
-    basic = with_share(features.groupBy("airline").agg(
-        *exprs(ROWS, "avg(totalFare) AS mean_fare"),
-        percent("count_if(isSpikeEvent)", "count(1)").alias("spike_rate")))
-    middle = exact_quantiles(features, "totalFare", {"median_fare": 0.5}, ["airline"])
+    key = f"{GROUP}0"
+    table = collapsed(features, F.col("totalFare"), ["airline"],
+                      {"events": F.expr("CAST(isSpikeEvent AS BIGINT)")})
+    counts = table.groupBy(F.col(key).alias("airline")).agg(
+        *exprs("sum(n) AS rows",
+               f"{ratio('sum(v * n)', 'sum(CASE WHEN v IS NOT NULL THEN n END)')} AS mean_fare"),
+        percent("coalesce(sum(events), 0)", "sum(n)").alias("spike_rate"))
+    basic, middle = with_share(counts), quantiles_of(table, {"median_fare": 0.5}, ["airline"])
     return (
         _null_safe(basic.where(F.col("airline").isNotNull()), middle, ["airline"])
         .select("airline", "rows", "mean_fare", "median_fare", "spike_rate", "share_pct")

@@ -87,8 +87,13 @@ def _rates(df: DataFrame) -> DataFrame:
 
 
 def spike_summary(df: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
-    """Coverage and spike rates per group (or one row ``all``); rates over labelable rows."""
+    """Coverage and spike rates per group (or one row ``all``); rates over labelable rows.
+
+    Rows without a group are in no group's row.
+    """
     keys = [] if by is None else [by] if isinstance(by, str) else list(by)
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
     counts = df.groupBy(*keys).agg(
         F.expr("count(1) AS rows"), F.expr("count_if(isLabelable) AS labelable"),
         F.expr("count_if(isSpike) AS spike_obs"), F.expr("count_if(isSpikeEvent) AS spike_events"),

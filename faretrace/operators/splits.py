@@ -94,31 +94,25 @@ def rolling_origin_splits(df: DataFrame, n_splits: int = 5, test_days: int = 14,
     if start is None:
         raise ValueError("no dates to split")
 
-    first_test = end + timedelta(days=opens_at[0])
-    history = (first_test - start).days - gap_days
-    if history < min_train_days:
-        raise ValueError(
-            f"{n_splits} x {test_days} test days and a gap of {gap_days} leave {history} "
-            f"training days before the first fold, fewer than min_train_days={min_train_days}")
-
-    layout = []
-    for at in opens_at:
-        opens = end + timedelta(days=at)
-        closes = opens + timedelta(days=test_days - 1)
-        train_end = opens - timedelta(days=1 + gap_days)
-        train_start = start
-        if train_days is not None:
-            train_start = max(start, train_end - timedelta(days=train_days - 1))
-        layout.append((train_start, train_end, opens, closes))
-
-    folds: list[Fold] = []
-    for (train_start, train_end, opens, closes), any_rows in zip(layout, filled, strict=True):
-        if any_rows:
-            folds.append(Fold(len(folds) + 1, train_start, train_end, opens,
-                              min(closes, end), date_col))
-    if not folds:
+    day = timedelta(days=1)
+    _require_history(start, end + opens_at[0] * day, gap_days, min_train_days)
+
+    def fold(index: int, opens: date) -> Fold:
+        train_end = opens - (1 + gap_days) * day
+        slid = start if train_days is None else max(start, train_end - (train_days - 1) * day)
+        return Fold(index, slid, train_end, opens, min(opens + (test_days - 1) * day, end), date_col)
+
+    starts = [end + at * day for at, any_rows in zip(opens_at, filled, strict=True) if any_rows]
+    if not starts:
         raise ValueError("every test window is empty")
-    return folds
+    return [fold(index, opens) for index, opens in enumerate(starts, 1)]
+
+
+def _require_history(start: date, first_test: date, gap_days: int, least: int) -> None:
+    days = (first_test - start).days - gap_days
+    if days < least:
+        raise ValueError(f"only {days} training days lie before the first fold with a gap of {gap_days}, "
+                         f"fewer than min_train_days={least}")
 
 
 def distinct_dates(df: DataFrame, date_col: str = "flightDate") -> DataFrame:

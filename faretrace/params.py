@@ -8,14 +8,7 @@ from datetime import date
 # Fixed values of the study (must equal the published ones).
 COACH_ONLY_CODES = ("coach", "coach||coach", "coach||coach||coach")
 ROUTES = ("JFK-LAX", "LAX-JFK", "BOS-LGA", "LGA-BOS")
-LONG_HAUL_ROUTES = ("JFK-LAX", "LAX-JFK")
-SHORT_HAUL_ROUTES = ("BOS-LGA", "LGA-BOS")
-US_HOLIDAYS_2022 = {
-    date(2022, 5, 30): "Memorial Day",
-    date(2022, 6, 20): "Juneteenth (observed)",
-    date(2022, 7, 4): "Independence Day",
-    date(2022, 9, 5): "Labor Day",
-}
+US_HOLIDAYS_2022 = (date(2022, 5, 30), date(2022, 6, 20), date(2022, 7, 4), date(2022, 9, 5))
 SWEEP_WINDOWS = (3, 5, 7, 10, 14, 20, 30)
 SIGMA_LEVELS = (1.5, 2.0, 2.5, 3.0, 4.0)
 LENGTH_LEVELS = (5, 10, 15, 20, 30, 40, 60)
@@ -46,7 +39,7 @@ class Params:
     routes: tuple[str, ...] = ROUTES
 
     # calendar
-    holidays: tuple[date, ...] = tuple(sorted(US_HOLIDAYS_2022))
+    holidays: tuple[date, ...] = US_HOLIDAYS_2022
     season_start: date = date(2022, 5, 30)
     season_end: date = date(2022, 9, 5)
     holiday_band: int = 21

@@ -1,8 +1,8 @@
 """Total orders and prefix sums without one task that sees every row.
 
-Inputs below one scan partition use a plain window. Anything else is range
-partitioned, checkpointed (so every consumer sees the same placement), and the
-per-partition totals - one row per partition - are broadcast back as offsets.
+Rows are range partitioned, checkpointed (so every consumer sees the same placement),
+and the per-partition totals - one row per partition - are broadcast back as offsets.
+Only a caller who asks for one part gets a plain window.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from faretrace.session import cut_lineage
 
-#: inputs smaller than this are ordered by one task
-SMALL_BYTES = 64 << 20
 #: a join side known to have at most this many short rows is broadcast
 BROADCAST_ROWS = 100_000
 _SERIAL, _PART, _FIRST, _BEFORE = "__serial", "__part", "__first", "__before"
@@ -73,33 +71,9 @@ def number_rows(placed: DataFrame, group: Sequence[str], name: str,
     )
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the plan's leaf relations as Catalyst estimates them.
-
-    None where there is no JVM plan to ask (a remote session).
-    """
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    leaves = plan.queryExecution().analyzed().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    size = input_bytes(df) if limit else None
-    return size is not None and size < limit
-
-
 def _parts(df: DataFrame, parts: int | None) -> int:
-    """How many ranges to cut: one for small inputs, else the session's shuffle width."""
-    if parts is not None:
-        return parts
-    if is_small(df):
-        return 1
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """How many ranges to cut: the session's shuffle width unless the caller knows better."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if parts is None else parts
 
 
 def ordered_rank(df: DataFrame, order: Sequence[str | Column], name: str,

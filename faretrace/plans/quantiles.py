@@ -13,40 +13,57 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faretrace.plans.ordering import SMALL_BYTES, broadcast_if_small, is_small
+from faretrace.plans.ordering import broadcast_if_small
 from faretrace.session import cut_lineage
 
 #: distinct values of one group that one task may hold
 DISTINCT_LIMIT = 1_000_000
 BUCKETS = 4_096
+GROUP, QUANTILE = "__group", "__quantile"
 
 
-def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., v, n) with one row per distinct non-null value."""
-    return (
-        df.select(*by, value.alias("v")).where(F.col("v").isNotNull())
-        .groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
-    )
+def collapsed(df: DataFrame, value: Column, by: Sequence[str] = (),
+              extra: dict[str, Column] | None = None) -> DataFrame:
+    """(group columns, v, n, extra sums) with one row per distinct value and group, NULL values too.
+
+    Groups are named ``GROUP`` + position, so no caller's column can clash with an
+    internal one. The table is fixed by a checkpoint: all that is read off it shares
+    one scan and one shuffle of ``df``. Runs a job.
+    """
+    extra = extra or {}
+    keyed = df.select(*[F.col(c).alias(f"{GROUP}{i}") for i, c in enumerate(by)],
+                      value.cast("double").alias("v"),
+                      *[c.alias(name) for name, c in extra.items()])
+    keys = [f"{GROUP}{i}" for i in range(len(by))]
+    return cut_lineage(keyed.groupBy(*keys, "v").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(name).alias(name) for name in extra]))
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, fractions: dict[str, float],
-                    by: Sequence[str] = (), limit: int = DISTINCT_LIMIT,
-                    probe_bytes: int = SMALL_BYTES) -> DataFrame:
+                    by: Sequence[str] = (), limit: int = DISTINCT_LIMIT) -> DataFrame:
     """One row per group: the ``by`` columns and one double per named fraction.
 
-    Linear interpolation between the two neighbouring order statistics.
+    Linear interpolation between the two neighbouring order statistics. Runs jobs
+    while the plan is built: one collapses the values, one counts the widest group.
     """
     value = F.col(value) if isinstance(value, str) else value
-    counts = value_counts(df, value.cast("double"), by)
-    if not is_small(df, probe_bytes):
-        counts = cut_lineage(counts)  # read again by the probe and by every pass
-        widest = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        if widest > limit:
-            return _narrowed(counts, fractions, list(by), limit)
-    wanted = F.array(*[F.lit(float(f)) for f in fractions.values()])
-    found = counts.groupBy(*by).agg(F.percentile("v", wanted, F.col("n")).alias("q"))
-    return found.select(*by, *[F.get("q", F.lit(i)).alias(name)
-                               for i, name in enumerate(fractions)])
+    return quantiles_of(collapsed(df, value, by), fractions, by, limit)
+
+
+def quantiles_of(table: DataFrame, fractions: dict[str, float], by: Sequence[str] = (),
+                 limit: int = DISTINCT_LIMIT) -> DataFrame:
+    """The same from a ``collapsed`` table; the route follows its counted rows."""
+    keys = [f"{GROUP}{i}" for i in range(len(by))]
+    counts = table.where("v IS NOT NULL").select(*keys, "v", "n")
+    widest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if widest > limit:
+        found = _narrowed(counts, fractions, keys, limit)
+    else:
+        wanted = F.array(*[F.lit(float(f)) for f in fractions.values()])
+        found = counts.groupBy(*keys).agg(F.percentile("v", wanted, F.col("n")).alias("q")).select(
+            *keys, *[F.get("q", F.lit(i)).alias(f"{QUANTILE}{i}") for i in range(len(fractions))])
+    return found.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)],
+                        *[F.col(f"{QUANTILE}{i}").alias(name) for i, name in enumerate(fractions)])
 
 
 def _targets(counts: DataFrame, fractions: dict[str, float], by: list[str]) -> DataFrame:
@@ -89,7 +106,8 @@ def _narrowed(counts: DataFrame, fractions: dict[str, float], by: list[str],
                   .otherwise(F.col("v") * F.col("weight")))
     one_each = hits.groupBy(*by, "name").agg(blend.alias("q"))
     return one_each.groupBy(*by).agg(*[
-        F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in fractions
+        F.max(F.when(F.col("name") == name, F.col("q"))).alias(f"{QUANTILE}{i}")
+        for i, name in enumerate(fractions)
     ])
 
 

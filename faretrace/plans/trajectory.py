@@ -17,9 +17,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from faretrace.plans.ordering import (
-    SMALL_BYTES, broadcast_if_small, is_small, number_rows, place_in_order,
-)
+from faretrace.plans.ordering import broadcast_if_small, number_rows, place_in_order
 from faretrace.schema import require_columns
 
 BLOCK, HALO, POSITION = "__block", "__halo", "__position"
@@ -40,8 +38,6 @@ class Trajectory:
     tiebreak: tuple[str, ...] = ()
     #: longest trajectory one task may sort and scan
     hot_rows: int = 4_000_000
-    #: inputs smaller than this are not probed for hot trajectories
-    probe_bytes: int = SMALL_BYTES
     blocked: bool = False
 
     @property
@@ -71,8 +67,6 @@ def hot_groups(df: DataFrame, traj: Trajectory) -> list[tuple[object, int]]:
     sampled just densely enough to see every such group, and at most
     2 * total / hot_rows groups can qualify, so the answer is small by construction.
     """
-    if is_small(df, traj.probe_bytes):
-        return []
     fraction = min(1.0, SAMPLED_ROWS / traj.hot_rows)
     keys = df.select(F.col(traj.group).alias("k"))
     if fraction < 1.0:
@@ -121,13 +115,26 @@ def on_trajectories(df: DataFrame, traj: Trajectory,
 
     ``lookback`` is how many earlier rows any output of ``body`` depends on
     through its windows, nested windows added up. ``body`` must keep all rows
-    and must not look ahead.
+    and must not look ahead. Rows without a key belong to no trajectory: columns that
+    ``body`` adds are NULL there, booleans false. Probes for hot trajectories with
+    one job over a sparse sample of the key column while the plan is built.
     """
     require_columns(df, (traj.group, *traj.order), "a trajectory window")
     if traj.blocked:
         return body(df, traj)
     hot = hot_groups(df, traj)
     if not hot:
-        return body(df, traj)
+        return _without_strays(body(df, traj), df, traj)
     done = body(_in_blocks(df, traj, hot, lookback), replace(traj, blocked=True))
-    return done.where(~F.col(HALO)).drop(BLOCK, HALO, POSITION)
+    return _without_strays(done.where(~F.col(HALO)).drop(BLOCK, HALO, POSITION), df, traj)
+
+
+def _without_strays(done: DataFrame, df: DataFrame, traj: Trajectory) -> DataFrame:
+    before = set(df.columns)
+    if not df.schema[traj.group].nullable:
+        return done
+    stray = F.col(traj.group).isNull()
+    return done.withColumns({
+        f.name: F.when(~stray, F.col(f.name)).otherwise(
+            F.lit(False if f.dataType.simpleString() == "boolean" else None))
+        for f in done.schema if f.name not in before})

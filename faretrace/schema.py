@@ -28,6 +28,7 @@ OBSERVATION = T.StructType([
     T.StructField("segmentsCabinCode", T.StringType()),
 ])
 MODELLING_COLUMNS = tuple(OBSERVATION.fieldNames())
+# Predictors that hold text.
 CATEGORY_COLUMNS = (
     "startingAirport", "destinationAirport", "segmentsAirlineName", "segmentsCabinCode",
 )
@@ -59,6 +60,7 @@ FEATURE_GROUPS: dict[str, tuple[str, ...]] = {
     "categorical": ("route", "airline", "departureTimeOfDay"),
 }
 FEATURE_COLUMNS = tuple(name for names in FEATURE_GROUPS.values() for name in names)
+# Columns that give the label away, that only name a row, and that are predicted.
 LEAKY_COLUMNS = frozenset(
     {"totalFare", "baseFare", "spikeZ", "isSpike", "isSpikeEvent", "isLabelable"}
 )

@@ -41,7 +41,7 @@ def test_running_totals(numbers, parts):
 @pytest.mark.parametrize("limit", [10**6, 5, 1])
 def test_exact_quantiles(numbers, by, limit):
     wanted = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.937, "hi": 1.0}
-    got = quantiles.exact_quantiles(numbers, "v", wanted, by, limit=limit, probe_bytes=0).collect()
+    got = quantiles.exact_quantiles(numbers, "v", wanted, by, limit=limit).collect()
     groups = {}
     for r in numbers.where("v IS NOT NULL").collect():
         groups.setdefault(r["g"] if by else None, []).append(r["v"])
@@ -55,7 +55,7 @@ def test_exact_quantiles(numbers, by, limit):
 def test_narrowing_makes_progress_on_far_apart_clusters(spark):
     rows = [(float(i) * 1e-9,) for i in range(300)] + [(1e9 + i,) for i in range(300)]
     df = spark.createDataFrame(rows, "v double")
-    got = quantiles.exact_quantiles(df, "v", {"mid": 0.5}, limit=4, probe_bytes=0).first()
+    got = quantiles.exact_quantiles(df, "v", {"mid": 0.5}, limit=4).first()
     assert got["mid"] == pytest.approx(np.median([r[0] for r in rows]))
 
 
@@ -96,3 +96,19 @@ def test_sampled_trajectories_are_reproducible(spark):
 def test_checkpoint_folder_of_the_session_is_used(spark):
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
+
+
+@pytest.mark.parametrize("limit", [10**6, 2])
+@pytest.mark.parametrize("name", ["side", "name", "lo", "rank", "v", "n", "q", "weight", "__group1"])
+def test_quantiles_by_any_column_name(spark, name, limit):
+    df = spark.createDataFrame([(i % 2, float(i)) for i in range(20)], f"`{name}` int, fare double")
+    got = quantiles.exact_quantiles(df, "fare", {"mid": 0.5}, [name], limit=limit).collect()
+    assert {r[name]: r["mid"] for r in got} == {0: 9.0, 1: 10.0}
+
+
+def test_compare_distributions_on_the_narrowed_route(spark, monkeypatch):
+    from faretrace.operators import profile
+    df = spark.createDataFrame([(float(i),) for i in range(50)], "fare double")
+    want = sorted(map(tuple, profile.compare_distributions(df, "fare", "fare < 40").collect()))
+    monkeypatch.setattr(profile, "quantiles_of", lambda t, f, by=(): quantiles.quantiles_of(t, f, by, limit=3))
+    assert sorted(map(tuple, profile.compare_distributions(df, "fare", "fare < 40").collect())) == want

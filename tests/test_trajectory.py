@@ -166,7 +166,7 @@ def skewed(spark, sf):
     return hot.cache()
 
 
-CUT = replace(FARE_TRAJECTORY, hot_rows=40, probe_bytes=0)
+CUT = replace(FARE_TRAJECTORY, hot_rows=40)
 
 
 def test_hot_trajectories_are_found_and_small_inputs_not_probed(skewed):
@@ -203,12 +203,16 @@ def test_split_without_broadcasts(skewed, monkeypatch):
                spikes.add_rolling_stats(skewed, CUT))
 
 
-def test_hot_null_key_is_split_too(spark):
+@pytest.mark.parametrize("hot_rows", [30, 10**9])
+def test_rows_without_a_key_have_no_trajectory(spark, hot_rows):
     rows = [(None if i % 2 else f"l{i % 5}", DAY0 + timedelta(days=i), float(i % 13)) for i in range(200)]
     df = spark.createDataFrame(rows, SCHEMA)
-    cut = Trajectory(hot_rows=30, probe_bytes=0)
-    _same_rows(spikes.add_rolling_stats(df, Trajectory(hot_rows=10**9), 4, 2),
-               spikes.add_rolling_stats(df, cut, 4, 2))
+    labelled = spikes.detect_spikes(df, Trajectory(hot_rows=hot_rows)).collect()
+    strays = [r for r in labelled if r["legId"] is None]
+    assert len(strays) == 100 and not any(r["isLabelable"] or r["isSpike"] or r["isSpikeEvent"] for r in strays)
+    assert all(r["rollMean"] is None and r["spikeZ"] is None for r in strays)
+    _same_rows(df.where("legId IS NOT NULL").transform(spikes.detect_spikes, Trajectory(hot_rows=10**9)),
+               spikes.detect_spikes(df, Trajectory(hot_rows=hot_rows)).where("legId IS NOT NULL"))
 
 
 def test_one_exchange_and_one_sort_for_the_whole_feature_frame(spark, sf):
