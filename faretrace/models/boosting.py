@@ -72,6 +72,16 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         held.unpersist()
 
 
+#: training rows a partition; each level of each tree is a job over all partitions
+ROWS_A_PARTITION = 100_000
+
+
+def _sized(train: DataFrame) -> DataFrame:
+    """Partitions follow the counted rows, so that small fits do not pay for empty tasks."""
+    wanted = -(-train.count() // ROWS_A_PARTITION)
+    return train.repartition(max(1, wanted))
+
+
 def _prepare(columns: Sequence[str], train: DataFrame) -> list:
     """Median imputation learned on training rows, then one vector."""
     filled = [f"{c}_filled" for c in columns]
@@ -91,7 +101,7 @@ def _fit(train: DataFrame, columns: Sequence[str], params: Params, trees: int,
     learner = GBTClassifier(
         featuresCol="inputs", labelCol="label", weightCol="weight", maxIter=trees,
         maxDepth=params.max_depth, stepSize=params.learning_rate, seed=params.seed)
-    with kept(ready.select("inputs", "label", "weight")) as held:
+    with kept(_sized(ready.select("inputs", "label", "weight"))) as held:
         trees_model = learner.fit(held)
     return Fit(PipelineModel([*stages, trees_model]), tuple(columns))
 
@@ -168,9 +178,20 @@ def importance_by_group(importance: DataFrame) -> DataFrame:
     return importance.groupBy("group").agg(F.sum("importance_pct").alias("importance_pct"))
 
 
+def before_test(model_rows: DataFrame, fold: Fold) -> DataFrame:
+    """Rows that depart before the fold's test window."""
+    return model_rows.where(F.to_date(fold.date_col) < F.lit(fold.test_start))
+
+
+def route_sizes(rows: DataFrame, least: int, route: str = "route") -> DataFrame:
+    """(route, rows) of the routes present with at least that many rows."""
+    return (rows.where(F.col(route).isNotNull()).groupBy(F.col(route).alias("route"))
+            .agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least))
+
+
 def route_importance(model_rows: DataFrame, fold: Fold, params: Params = DEFAULTS,
                      trees: int | None = None) -> DataFrame:
-    """(feature, one column per route): importances of separate fits per route.
+    """(feature, one column per route): importances of separate fits per route present.
 
     A fit uses the route's rows departing before the fold's test window; routes
     with fewer than ``min_route_rows`` of them are left out. Route sizes come from
@@ -180,11 +201,9 @@ def route_importance(model_rows: DataFrame, fold: Fold, params: Params = DEFAULT
     assert_no_leaky_features(columns)
     table: dict[str, dict[str, float]] = {c: {} for c in columns}
     with kept(design_matrix(model_rows, columns)) as design:
-        early = design.where(F.to_date(fold.date_col) < F.lit(fold.test_start))
-        sizes = {r["routeName"]: r["count"] for r in (
-            early.where(F.col("routeName").isin(list(params.routes)))
-            .groupBy("routeName").count().collect())}
-        routes = [r for r in params.routes if sizes.get(r, 0) >= params.min_route_rows]
+        early = before_test(design, fold)
+        routes = sorted(r["route"] for r in
+                        route_sizes(early, params.min_route_rows, "routeName").collect())
         for route in routes:
             fit = _fit(early.where(F.col("routeName") == route), columns, params,
                        trees or params.route_trees, weighted=True)
@@ -212,7 +231,7 @@ def fare_regressor_scores(model_rows: DataFrame, folds: Sequence[Fold],
             ready = train
             for stage in stages:
                 ready = stage.transform(ready)
-            with kept(ready.select("inputs", "totalFareTarget")) as held:
+            with kept(_sized(ready.select("inputs", "totalFareTarget"))) as held:
                 model = PipelineModel([*stages, learner.fit(held)])
             got = scoring.regression_errors(
                 model.transform(fold.test(design)), "totalFareTarget", "forecast").first()

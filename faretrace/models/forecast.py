@@ -41,19 +41,26 @@ def autoregression_forecast(df: DataFrame, fold: Fold, params: Params = DEFAULTS
                             lags: Sequence[int] = (1, 7, 14)) -> DataFrame:
     """Least-squares autoregression with calendar regressors and a level per route.
 
-    Fitted on the fold's training dates, one-step forecasts on its test dates.
+    Fitted on the fold's training dates, one-step forecasts on its test dates; NULL
+    forecasts if no training row is complete. One route needs no level of its own.
     """
     frame = autoregression_frame(df, params, lags)
     inputs = [*[f"lag{k}" for k in lags], "isHoliday", "isSummerSeason"]
-    stages = [
+    routes = fold.train(frame).select("route").distinct().count()
+    if not routes:
+        return fold.test(frame).select("route", "flightDate", "mean_fare",
+                                       F.lit(None).cast("double").alias("forecast"))
+    levels = [
         StringIndexer(inputCol="route", outputCol="routeIndex", handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCol="routeIndex", outputCol="routeFlags"),
-        VectorAssembler(inputCols=[*inputs, "routeFlags"], outputCol="inputs"),
+    ] if routes > 1 else []
+    model = Pipeline(stages=[
+        *levels,
+        VectorAssembler(inputCols=[*inputs, *(["routeFlags"] if levels else [])], outputCol="inputs"),
         LinearRegression(featuresCol="inputs", labelCol="mean_fare", predictionCol="forecast",
                          regParam=1e-6, solver="normal"),
-    ]
-    model = Pipeline(stages=stages).fit(fold.train(frame))
+    ]).fit(fold.train(frame))
     return model.transform(fold.test(frame)).select("route", "flightDate", "mean_fare", "forecast")
 
 

@@ -446,8 +446,8 @@ def keep_groups(df: DataFrame, keys: DataFrame, group: str = "legId") -> DataFra
 
 def sample_trajectories(df: DataFrame, seed: int = DEFAULTS.seed, by: str = "route",
                         group: str = "legId") -> DataFrame:
-    """One pseudo-random trajectory per group, the same for the same seed and data."""
-    draw = F.xxhash64(F.col(group).cast("string"), F.lit(seed))
+    """One pseudo-random trajectory per group: the one whose key and seed have the smallest MD5."""
+    draw = F.md5(F.concat_ws("#", F.col(group).cast("string"), F.lit(seed)))
     distinct = df.where(F.col(by).isNotNull()).select(by, group).distinct()
     return distinct.groupBy(by).agg(
         F.min(F.struct(draw.alias("draw"), F.col(group).alias("g"))).alias("first")

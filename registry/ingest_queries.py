@@ -1,9 +1,11 @@
 """Sources, population filters and reports on the supplied tables."""
 
-from pyspark.sql import functions as F
+from datetime import date
 
 from faretrace.fixtures import FIXTURE, fare_obs, table
+from faretrace.models.boosting import before_test, route_sizes
 from faretrace.operators import profile
+from faretrace.operators.splits import Fold
 from faretrace.sources import ingest
 from registry.core import CUTOFF, labelled, model_rows, observations, query, sql
 
@@ -119,9 +121,8 @@ def _(spark, sf):
 SELECT route, count(*) AS rows FROM model WHERE flightDate < DATE '2024-02-04'
 GROUP BY route HAVING count(*) >= 500"""))
 def _(spark, sf):
-    early = model_rows(spark, sf).where(F.col("flightDate") < F.lit("2024-02-04").cast("date"))
-    return early.groupBy("route").agg(F.count(F.lit(1)).alias("rows")).where(
-        F.col("rows") >= FIXTURE.min_route_rows)
+    fold = Fold(1, date(2024, 1, 1), date(2024, 2, 3), date(2024, 2, 4), date(2024, 2, 17))
+    return route_sizes(before_test(model_rows(spark, sf), fold), FIXTURE.min_route_rows)
 
 
 @query("j5_aligned_summaries", """

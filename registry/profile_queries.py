@@ -410,7 +410,9 @@ def _(spark, sf):
     return profile.first_per_trajectory(fare_obs(spark, sf), "segmentsAirlineName", FARE_TRAJECTORY)
 
 
-@query("o4_sampled_trajectories")
+@query("o4_sampled_trajectories", sql(f"""
+SELECT route, legId FROM (SELECT DISTINCT route, legId FROM obs WHERE route IS NOT NULL) AS d
+QUALIFY row_number() OVER (PARTITION BY route ORDER BY md5(CAST(legId AS VARCHAR) || '#{FIXTURE.seed}'), legId) = 1"""))
 def _(spark, sf):
     return profile.sample_trajectories(observations(spark, sf), seed=FIXTURE.seed)
 
