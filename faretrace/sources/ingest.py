@@ -61,6 +61,22 @@ def load_raw(spark: SparkSession, path: str,
     return nan_to_null(df)
 
 
+def unreadable_cells(spark: SparkSession, path: str,
+                     columns: Sequence[str] = MODELLING_COLUMNS) -> DataFrame:
+    """(column_name, cells): cells with text that the column's type cannot hold; ``load_raw`` makes them NULL.
+
+    One scan that reads the columns as text and tries the types; columns without such cells are left out.
+    """
+    header = _open(spark, path, None).columns
+    text = _open(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in header]))
+    require_columns(text, columns, "unreadable_cells")
+    types = {f.name: f.dataType.simpleString() for f in file_schema(columns)}
+    fields = ", ".join(
+        f"struct('{c}' AS column_name, count_if(`{c}` IS NOT NULL AND try_cast(`{c}` AS {types[c]}) IS NULL) AS cells)"
+        for c in columns)
+    return text.agg(F.expr(f"array({fields}) AS audit")).selectExpr("inline(audit)").where("cells > 0")
+
+
 def on_routes(df: DataFrame, routes: Iterable[str] = ROUTES) -> DataFrame:
     """Rows whose directed airport pair is one of ``routes``."""
     pairs = [route.replace("-", "") for route in routes]

@@ -118,3 +118,10 @@ def test_preview_and_shape(spark):
     df = spark.range(20).withColumn("x", F.lit(1))
     assert ingest.preview(df, 3).count() == 3
     assert tuple(ingest.shape(df).first()) == (20, 2)
+
+
+def test_unreadable_cells_are_counted(spark, tmp_path):
+    path = str(tmp_path / "bad.csv")
+    (tmp_path / "bad.csv").write_text("legId,totalFare,flightDate\na,12.5,2022-05-01\nb,oops,2022-13-01\nc,,2022-05-02\nd,x1,\n")
+    got = ingest.unreadable_cells(spark, path, ["legId", "totalFare", "flightDate"]).collect()
+    assert {tuple(r) for r in got} == {("totalFare", 2), ("flightDate", 1)}

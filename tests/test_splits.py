@@ -126,3 +126,12 @@ def test_fold_filter_reaches_the_scan(spark, sf):
     path_plan = splits.Fold(1, D0, D0, D0, D0).test(orders)
     plan = path_plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
+
+
+def test_fold_filter_is_pushed_into_the_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(D0, 1)], "flightDate date, x int").write.parquet(path)
+    fold = splits.Fold(1, D0, D0, D0, D0)
+    plan = fold.test(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(flightDate" in pushed and "LessThanOrEqual(flightDate" in pushed
