@@ -127,6 +127,8 @@ class Codec:
         for segment in self.segments(text):
             if isinstance(segment, int):
                 out.append(np.array([segment], np.uint32))
+            elif len(segment) <= leaf:  # one leaf, nothing to join
+                out.append(np.array(self.words.encode(segment, add_special_tokens=False).ids, np.uint32))
             else:
                 out.append(self.joined(segment, [self.part(segment[x:y], x) for x, y in leaves(len(segment), leaf)]))
         return np.concatenate(out) if out else np.zeros(0, np.uint32)

@@ -12,6 +12,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,9 +114,16 @@ def in_order(docs: DataFrame) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     buckets = 4 * max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted({int(b) for b in given.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets)})
-    array = "array(" + ", ".join(f"{b}L" for b in bounds) + ")"
-    bucket = f"CASE WHEN doc_id IS NULL THEN {len(bounds) + 1} ELSE size(filter({array}, b -> b > doc_id)) END" if bounds else "0"
-    keyed = given.withColumn("bucket", F.expr(f"CAST({bucket} AS INT)")).withColumn("mark", F.xxhash64("text"))
+    edges = np.array(bounds, np.int64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            at = len(edges) - np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+            at[ids.is_null().to_numpy(zero_copy_only=False)] = len(edges) + 1
+            yield batch.append_column("bucket", pa.array(at, pa.int32()))
+
+    keyed = given.mapInArrow(dealt, "doc_id long, text string, bucket int").withColumn("mark", F.xxhash64("text"))
     heads = sorted(keyed.groupBy("bucket").agg(F.max(F.struct("doc_id", (-F.col("mark")).alias("m"))).alias("k")).collect(),
                    key=lambda r: r.bucket)
     rows = [(r.k.doc_id, -r.k.m, heads[i - 1].bucket) for i, r in enumerate(heads)]
