@@ -42,22 +42,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                      features: Callable[[DataFrame], DataFrame], near: str) -> DataFrame:
+                      features: Callable[[DataFrame], DataFrame], near: str, every_leader: bool = False) -> DataFrame:
     """``members`` (id, key): ids with a common key may be linked; ``verify`` takes pairs (a, b), a < b, and
     returns those that are. ``features`` maps a table (id) to (id, columns) and ``near`` is a condition on the columns of
     two sides ``x`` and ``y`` that every link fulfils. Result as of ``components``, over all pairs with a common key.
 
-    Two rounds propose pairs. The first pairs each id with the bucket leader that shares most keys with it. The second
-    takes only buckets that still hold several components and proposes every near pair across components. Pairs
+    Two rounds propose pairs. The first pairs each id with the bucket leader that shares most keys with it, or with each
+    of its buckets' leaders if verifying is cheap (``every_leader``). The second takes only buckets that still hold several components and proposes every near pair across components. Pairs
     within a component cannot change the result: members of a bucket's largest component are not compared
     with each other, so a hot bucket of copies is never expanded, and ``near`` is part of the join.
     """
     leaders = cut_lineage(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
                           .where("leader < last").select("key", "leader"))
     shared = cut_lineage(bit_filtered(members, "key", leaders).join(leaders, "key"))
-    best = (shared.where("leader < id").groupBy("id", "leader").count()
-            .groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a"))
-            .select("a", F.col("id").alias("b")))
+    met = shared.where("leader < id").groupBy("id", "leader").count()
+    if every_leader:
+        best = met.select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    else:
+        best = (met.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a"))
+                .select("a", F.col("id").alias("b")))
     first = cut_lineage(verify(cut_lineage(best)))
     reached = components(first)
 
