@@ -16,10 +16,12 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,6 +30,12 @@ LEAF = 4_096
 #: longer texts spread their leaves over tasks
 SPREAD = 32_768
 WINDOW = 8
+#: words that a task remembers with their ids, and the longest of them
+KNOWN = 200_000
+SHORT = 48
+_COMPOSED = re.compile("[\t\n\r -~\u00c0-\u012f\u0131-\u024f]*")
+_BLANKS = re.compile("[\t\n\r ]+")
+_SETTLED = re.compile("[ -~\u00a1-\u024f]*")
 
 
 @dataclass
@@ -51,20 +59,72 @@ class Codec:
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.splitter = re.compile("(" + "|".join(names) + ")") if names else None
         self.normalizer = self.whole.normalizer
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        self.blank_and_lower = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and (
+            steps[1]["pattern"], steps[1]["content"]) == ({"Regex": "\\s+"}, " ")
         plain = spec | {"added_tokens": [], "normalizer": None, "truncation": None, "padding": None, "post_processor": None}
         self.words = Tokenizer.from_str(json.dumps(plain))
         # the inside of a word: no word end, no word split
         model = spec["model"] | {"end_of_word_suffix": None}
         bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        blanks = {"type": "CharDelimiterSplit", "delimiter": " "}
+        self.single = Tokenizer.from_str(json.dumps(
+            plain | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, bytes_only]}}))
+        self.known: dict[str, list[int]] = {}
+        self.split = None
+        if spec["pre_tokenizer"]["type"] == "Sequence":
+            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.inside = Tokenizer.from_str(json.dumps(plain | {"model": model, "pre_tokenizer": bytes_only}))
 
     def segments(self, text: str) -> list[str | int]:
         """Normalised stretches between special tokens, and those tokens' ids."""
         parts = self.splitter.split(text) if self.splitter else [text]
-        return [self.special[p] if i % 2 else self.normalizer.normalize_str(p) if self.normalizer else p
-                for i, p in enumerate(parts) if p]
+        return [self.special[p] if i % 2 else self.normalised(p) for i, p in enumerate(parts) if p]
+
+    def normalised(self, text: str) -> str:
+        if self.blank_and_lower and _COMPOSED.fullmatch(text):  # NFC changes none of these characters
+            return _BLANKS.sub(" ", text).lower()
+        return self.normalizer.normalize_str(text) if self.normalizer else text
+
+    def word_ids(self, text: str) -> tuple[list[str], list[list[int]]] | None:
+        """Words of a stretch and their ids, each different word encoded once a task; None where the library splits.
+
+        Only for characters whose classes no Unicode version has changed, and for words that are short.
+        """
+        if self.split is None or not _SETTLED.fullmatch(text):
+            return None
+        words = self.split.findall(text)
+        new = [w for w in set(words) if w not in self.known]
+        if any(len(w) > SHORT for w in new):
+            return None
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = list(set(words))
+        if new:
+            encoded = self.single.encode(" ".join(new), add_special_tokens=False)
+            ids, borders = encoded.ids, np.searchsorted(np.array(encoded.word_ids), np.arange(len(new) + 1)).tolist()
+            self.known.update((w, ids[b:e]) for w, b, e in zip(new, borders, borders[1:]))
+        return words, list(map(self.known.__getitem__, words))
+
+    def ids(self, text: str) -> np.ndarray:
+        found = self.word_ids(text)
+        if found is None:
+            return np.array(self.words.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(list(chain.from_iterable(found[1])), np.uint32)
 
     def part(self, text: str, begin: int) -> Part:
+        found = self.word_ids(text)
+        if found is not None:
+            # normalised white space is single blanks, and every other character belongs to a word
+            letters = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) != 32)
+            upto = np.cumsum([len(w) for w in found[0]], dtype=np.int64)
+            sizes = np.array([len(i) for i in found[1]], np.int64)
+            first = letters[np.concatenate([[0], upto[:-1]]).astype(np.int64)] if len(upto) else upto
+            heads = np.zeros(int(sizes.sum()), bool)
+            heads[np.cumsum(sizes) - sizes] = True
+            # inner tokens stand at their word's places: joins inside words only concern long ones
+            return Part(np.array(list(chain.from_iterable(found[1])), np.uint32), np.repeat(first, sizes) + begin,
+                        np.repeat(letters[upto - 1] + 1 if len(upto) else upto, sizes) + begin, heads, begin, begin + len(text))
         encoded = self.words.encode(text, add_special_tokens=False)
         words = np.array([-1 if w is None else w for w in encoded.word_ids], np.int64)
         places = np.array(encoded.offsets, np.int64).reshape(-1, 2) + begin
@@ -128,7 +188,7 @@ class Codec:
             if isinstance(segment, int):
                 out.append(np.array([segment], np.uint32))
             elif len(segment) <= leaf:  # one leaf, nothing to join
-                out.append(np.array(self.words.encode(segment, add_special_tokens=False).ids, np.uint32))
+                out.append(self.ids(segment))
             else:
                 out.append(self.joined(segment, [self.part(segment[x:y], x) for x, y in leaves(len(segment), leaf)]))
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
