@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faretrace.session import cut_lineage
 from llm.text import CHUNK, fetch, id_text, mix, prefix_sums, span_hashes, word_spans
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -273,7 +274,8 @@ def fit_field(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     """Train on at most ``sample`` texts with and ``sample`` without a pattern match; None if no text has one. What
     reaches the driver is a few windows a text."""
     hit = F.expr(r"text RLIKE 'AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i)(password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]'")
-    ranked = id_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", hit.alias("hit"))
+    # read twice, matched once
+    ranked = cut_lineage(id_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", hit.alias("hit")))
     chosen = [r.doc_id for flag in (True, False) for r in
               ranked.where(F.col("hit") == flag).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     ids = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": np.unique(np.array(chosen, np.int64))}), "doc_id long")
