@@ -132,8 +132,12 @@ def word_spans(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _chunks(texts: list[bytes], table: np.ndarray) -> Iterator[tuple[bytes, list[int]]]:
+def _chunks(texts: list[bytes], table: np.ndarray, lower: bool) -> Iterator[tuple[bytes, list[int]]]:
     """Joined texts of about CHUNK bytes with the text number of each part; a long text is cut between words."""
+    if lower:
+        # texts are lower-cased after the cut
+        table = table.copy()
+        table[0x41:0x5B] = table[0x61:0x7B]
     parts: list[bytes] = []
     numbers: list[int] = []
     held = 0
@@ -164,7 +168,7 @@ def words_and_sizes(texts: list[bytes], table: np.ndarray, lower: bool) -> tuple
     """As ``word_hashes``, and the words' numbers of bytes."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
     wide: list[list[np.ndarray]] = [[] for _ in texts]
-    for parts, numbers in _chunks(texts, table):
+    for parts, numbers in _chunks(texts, table, lower):
         joined = b" ".join(parts)
         buf = np.frombuffer(joined.lower() if lower else joined, np.uint8)
         starts, ends = word_spans(buf, table)
