@@ -2,7 +2,7 @@
 
 Each line is judged by itself (punctuation, navigation, symbols, shouting, boilerplate) and failing lines go. A document
 is rejected if it fails a base rule on its whole text, or if more than ``MOST_LOST`` of its word characters are in
-failing lines. Boilerplate lines go too but do not count against the document: a licence line says nothing bad.
+lines that go, whatever rule they fail.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def judged(docs: DataFrame) -> DataFrame:
     cleaned = (
         repeats.withColumn("good", F.expr(f"filter(lines, x -> NOT {_failing_line('x')})"))
         .withColumn("text", F.expr(f"IF(given IS NULL, NULL, array_join(filter(good, x -> NOT {_boilerplate('x')}), '\\n'))"))
-        .withColumn("left_chars", F.length(F.translate(F.array_join("good", "\n"), _BLANKS, "")))
+        .withColumn("left_chars", F.coalesce(F.length(F.translate("text", _BLANKS, "")), F.lit(0)))
         .withColumn("base_failed", F.expr(
             f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words")))
     return cleaned.select(
