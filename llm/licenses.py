@@ -1,10 +1,14 @@
 """License scans as an exact set-similarity join of text blocks with templates.
 
-Tokens are ordered by their frequency over the whole corpus, rarest first. A block (a line) whose tokens contain at least
+Tokens are ordered by their frequency over the whole corpus, rarest first. A block whose tokens contain at least
 ``CONTAINMENT`` of a template's must hold one of the template's first ``size - needed + 1`` tokens (prefix filter), have
 at least ``needed`` tokens (length filter), and miss no more of the template's tokens, in that order, than it may
 (positional filter). Phrases are templates that must be contained whole and in order: their prefix is their rarest
 word. The filters lose nothing; what passes them is verified.
+
+Blocks are lines of at most ``LINE`` words, and windows a quarter longer than the template in a paragraph, which is a run of lines
+with words. So a notice may be wrapped, and a long line is no block as a whole. In a window across lines only
+words in the template's order count, which a wrap does not change.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from llm.text import ALNUM, byte_texts, id_text, word_hashes
 
 CONTAINMENT = 0.8
+#: words up to which a line is a block as a whole
+LINE = 32
 #: Phrases and labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: notices and the labels that the join adds; a parameter, small enough to travel with each task
@@ -46,6 +52,8 @@ class Template:
     tokens: np.ndarray  # distinct, rarest first
     needed: int
     label: str
+    words: list[int]  # distinct, as they first stand in it
+    window: int
 
 
 @dataclass
@@ -87,7 +95,8 @@ def prepared(often: dict[int, int], phrases=PHRASES, templates=TEMPLATES, contai
     made = []
     for text, label in templates:
         tokens = np.array(sorted(set(tokens_of(text).tolist()), key=order), np.uint64)
-        made.append(Template(tokens, math.ceil(containment * len(tokens) - 1e-9), label))
+        made.append(Template(tokens, math.ceil(containment * len(tokens) - 1e-9), label,
+                             list(dict.fromkeys(tokens_of(text).tolist())), (5 * len(tokens_of(text)) + 3) // 4))
     return [Phrase(w, min(range(len(w)), key=lambda i: order(w[i])), label)
             for w, label in ((tokens_of(t), label) for t, label in phrases)], made
 
@@ -105,9 +114,41 @@ def contained(block: set[int], template: Template) -> int | None:
     return len(tokens) - missed
 
 
+def in_order(window: list[int], words: list[int]) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(words) + 1)
+    for x in window:
+        before = 0
+        for j, y in enumerate(words, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def windowed(flat: np.ndarray, owner: np.ndarray, begin: int, end: int, at: int, template: Template) -> tuple[int, int] | None:
+    """(tokens, line of the first word) of the best window of ``flat[begin:end]``, a paragraph, that holds the word ``at``."""
+    wide = template.window
+    low = max(begin, at - wide + 1)
+    region = flat[low:min(end, at + wide)].tolist()
+    tokens = set(template.tokens.tolist())
+    if len(tokens.intersection(region)) < template.needed:
+        return None
+    best = None
+    for i in range(max(1, len(region) - wide + 1)):
+        window = region[i:i + wide]
+        n = len(tokens.intersection(window))
+        if n < template.needed or best is not None and n <= best[0]:
+            continue
+        first, last = int(owner[low + i]), int(owner[low + i + len(window) - 1])
+        if first != last:
+            n = in_order(window, template.words)
+        if n >= template.needed and (best is None or n > best[0]):
+            best = n, first
+    return best
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) for every row of ``docs``
-    (doc_id, text). ``blocks`` are the lines that a template matches: (line, label, containment).
+    (doc_id, text). ``blocks`` are the blocks that a template matches: (line in which it begins, label, containment).
 
     ``score`` is 1 if a phrase stands in the text, else the greatest containment found, 0 without any. Places are
     counted over the whole text, across lines. NULL and empty texts have no words and no labels. Repeated rows are
@@ -137,14 +178,23 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
         labels, best, blocks = set(base), 1.0 if base else 0.0, []
         near = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
         hit = np.flatnonzero(keys[near] == flat)
-        owner = np.searchsorted(np.cumsum([len(x) for x in lines]), hit, side="right")
-        candidates: dict[int, set[int]] = {}
-        for line, token in zip(owner.tolist(), flat[hit].tolist()):
-            candidates.setdefault(line, set()).update(prefixes[token])
-        for line, some in sorted(candidates.items()):
-            block = set(lines[line].tolist())
-            for k in sorted(some):
-                if len(block) >= made[k].needed and (n := contained(block, made[k])) is not None:
+        if len(hit):
+            sizes = np.array([len(x) for x in lines])
+            owner = np.repeat(np.arange(len(lines)), sizes)
+            # a paragraph ends before the first line without words
+            begins = np.cumsum(sizes) - sizes
+            breaks = np.unique(np.concatenate([[0], begins[sizes == 0], [len(flat)]]))
+            shares: dict[tuple[int, int], int] = {}
+            for at in hit.tolist():
+                line, next_break = int(owner[at]), int(np.searchsorted(breaks, at, side="right"))
+                for k in prefixes[int(flat[at])]:
+                    if sizes[line] <= LINE and (line, k) not in shares:
+                        shares[line, k] = contained(set(lines[line].tolist()), made[k]) or 0
+                    got = windowed(flat, owner, int(breaks[next_break - 1]), int(breaks[next_break]), at, made[k])
+                    if got is not None:
+                        shares[got[1], k] = max(shares.get((got[1], k), 0), got[0])
+            for (line, k), n in sorted(shares.items()):
+                if n >= made[k].needed:
                     share = n / len(made[k].tokens)
                     blocks.append({"line": line, "label": made[k].label, "containment": share})
                     labels.add(made[k].label)
