@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, fingerprint, licenses, line_dedup, near_dedup, packing, quality, secrets, suffix_dedup, toxicity
-from llm.text import documents
+from llm import bpe, conversations, fingerprint, licenses, line_dedup, near_dedup, packing, quality, secrets, suffix_dedup, toxicity
+from llm.text import documents, reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,74 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: CRC-32 of a list of bytes in SQL, one table entry a byte value by the generator's rule
+CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
+CRC = "xor(list_reduce(list_concat([4294967295], {0}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _least(*items: str) -> str:
+    return f"list_sort(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "''", when: str = "TRUE") -> str:
+    added = f"{state}.t || {line}" if line == "''" else f"{state}.t || CASE WHEN {state}.t = '' THEN '' ELSE chr(10) END || {line}"
+    return (f"CASE WHEN {state} IS NOT NULL AND {when} THEN "
+            f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {added}}} END")
+
+
+def _reads(fault: str = "r.fault", line: str = "r.text") -> str:
+    """The four states after one more row, from states 0 to 3 after their inserts."""
+    open_ = f"{fault} IN (0, 3)"
+    stays = f"CASE WHEN {fault} = 3 THEN 5 ELSE 0 END"
+
+    def into(start: str, name: str) -> list[str]:
+        return [_edit(start, stays, "K", f"r.role || ':' || {line}", f"{open_} AND r.role[1] = '{name[0]}'"),
+                _edit(start, f"1 + {stays}", "R", f"'{name}:' || {line}", open_)]
+
+    dropped = [_edit(f"s{i}", "2", "D") for i in range(4)]
+    system = _edit("s0", stays, "K", f"r.role || ':' || {line}", f"{open_} AND r.role[1] = 's'")
+    return ", ".join((f"{dropped[0]} AS s0", f"{_least(dropped[1], system)} AS s1",
+                      f"{_least(dropped[2], *into('s0', 'user'), *into('s1', 'user'), *into('s3', 'user'))} AS s2",
+                      f"{_least(dropped[3], *into('s2', 'assistant'))} AS s3"))
+
+
+#: inserts before the next row: one user row from any state, then one assistant row; more cannot be cheapest
+_INSERTED = f"""SELECT k, i, s0, s1, s2, {_least("s3", _edit("s2", "5", "I", "'assistant:'"))} AS s3 FROM (
+  SELECT k, i, s0, s1, {_least("s2", *(_edit(f"s{i}", "5", "I", "'user:'") for i in (0, 1, 3)))} AS s2, s3 FROM walk)"""
+_NONE = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR))"
+_BARE = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("op12_conversations", f"""
+WITH RECURSIVE tab AS ({CRC_TABLE}),
+a AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+f AS (SELECT *, {CRC.format("list_transform(string_split(id, ''), lambda x: ord(x))")} % 20 AS damage FROM a, tab),
+d AS (SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+  CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN damage = 3 THEN [0, 1] ELSE [0] END) AS copy FROM f WHERE damage <> 0),
+g AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS k, row_number() OVER (PARTITION BY conv_id
+  ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i FROM d),
+r AS (SELECT *, CASE WHEN {_BARE} = '' THEN 1 WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2
+  WHEN right({_BARE}, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault,
+  CASE WHEN i > 1 THEN lag(role[1]) OVER (PARTITION BY k ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au') END AS bad FROM g),
+walk AS (
+  SELECT DISTINCT k, CAST(1 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS s0, {_NONE} AS s1, {_NONE} AS s2, {_NONE} AS s3 FROM r
+  UNION ALL
+  SELECT r.k, r.i + 1 AS i, {_reads()} FROM ({_INSERTED}) AS w JOIN r ON r.k = w.k AND r.i = w.i),
+e AS (SELECT k, {_least("s0", "s3")} AS best FROM ({_INSERTED}) AS w
+  WHERE i = (SELECT max(i) + 1 FROM r WHERE r.k = w.k)),
+n AS (SELECT k, conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+  count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE bad) AS illegal
+  FROM r GROUP BY k, conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN n ON o.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN e ON e.k = n.k""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair(rows, conversations.damaged(rows))
