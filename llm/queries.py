@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, conversations, fingerprint, licenses, line_dedup, near_dedup, packing, quality, secrets, suffix_dedup, toxicity
+from llm import bpe, conversations, fingerprint, licenses, line_dedup, near_dedup, packing, quality, secrets, spelling, suffix_dedup, toxicity, warc
 from llm.text import documents, reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,40 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     reachable(spark)
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversations.repair(rows, conversations.damaged(rows))
+
+
+@query("op13_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM f""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
+    folder = warc.archive_folder(spark)
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_spelling", f"""
+WITH RECURSIVE tab AS ({CRC_TABLE}),
+u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM u
+  WHERE length(run) >= 5 GROUP BY ALL),
+x AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS b FROM r),
+h AS (SELECT run, n, {CRC.format("list_transform(range(1, length(b), 2), lambda i: CAST('0x' || substr(b, i, 2) AS BIGINT))")} AS h FROM x, tab),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+e AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+c AS (SELECT DISTINCT word, left(word, i - 1) || substr(word, i + 1) AS less FROM e),
+g AS (SELECT word, left(word, i - 1) || '*' || substr(word, i + 1) AS gap FROM e),
+p AS (SELECT c.word AS a, v.word AS b FROM c JOIN v ON v.word = c.less UNION SELECT v.word, c.word FROM c JOIN v ON v.word = c.less
+  UNION SELECT x.word, y.word FROM g AS x JOIN g AS y ON x.gap = y.gap AND x.word <> y.word),
+s AS (SELECT a, count(*) AS n_near, list_sort(list({{'m': -v.n, 'w': b}}))[1] AS best FROM p JOIN v ON v.word = b GROUP BY a),
+f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.w END AS form,
+  CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM v LEFT JOIN s ON s.a = v.word),
+w AS (SELECT word, word AS root, form AS further FROM f UNION ALL
+  SELECT w.word, f.word AS root, f.form FROM w JOIN f ON f.word = w.further)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN w ON w.word = f.word AND w.further IS NULL""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.corpus_words(documents(spark, sf_dir)))
