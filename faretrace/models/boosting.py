@@ -1,4 +1,8 @@
-"""Boosted trees on the predictors, with the leakage guard in front of every fit."""
+"""Boosted trees on the predictors, with the leakage guard in front of every fit.
+
+All fits of a study are one batch (see ``histboost``): folds, routes, weightings and sets of predictors share the jobs of
+each level. Missing numbers stay missing.
+"""
 
 from __future__ import annotations
 
@@ -6,44 +10,38 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from faretrace.models import scoring
+from faretrace.models.histboost import Forest, Settings, Task, fit_many, predictions
 from faretrace.operators.features import (
     assert_no_leaky_features, encode, feature_groups,
 )
 from faretrace.operators.splits import Fold, assert_no_group_leakage
 from faretrace.params import DEFAULTS, Params
 from faretrace.schema import FEATURE_COLUMNS
-from faretrace.session import ensure_checkpoint_dir
 
 
-SCORES = ("tp", "fp", "fn", "precision", "recall", "f1")
-SCORE_SCHEMA = ("model string, tp long, fp long, fn long, precision double, recall double, "
-                "f1 double, roc_auc double")
+SCORES = ("tp", "fp", "fn", "precision", "recall", "f1", "roc_auc")
 
 
 @dataclass(frozen=True)
 class Fit:
-    """A fitted classifier with the predictors it was given."""
+    """A fitted model with the fold it was trained on; the fold's test rows are its own."""
 
-    model: PipelineModel
-    columns: tuple[str, ...]
+    forest: Forest
+    fold: Fold
+    depth: int
 
-    def predict(self, design: DataFrame) -> DataFrame:
-        scored = self.model.transform(design)
-        return scored.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+    def predict(self, design: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """(label, ``keep``, score) of all rows of ``design``."""
+        scored = predictions(design, [self.forest], ["true"], keep, self.depth)
+        return scored.select(F.col("y").alias("label"), *keep, "score")
 
     def importance(self) -> list[tuple[str, float]]:
-        weights = self.model.stages[-1].featureImportances.toArray()
-        return [(c, float(x)) for c, x in zip(self.columns, weights, strict=True)]
+        return self.forest.importance()
 
 
 def design_matrix(model_rows: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS,
@@ -72,64 +70,57 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         held.unpersist()
 
 
-#: training rows a partition; each level of each tree is a job over all partitions
-ROWS_A_PARTITION = 100_000
-
+def _settings(params: Params, trees: int | None) -> Settings:
+    return Settings(trees or params.n_trees, params.max_depth, params.learning_rate)
 
-def _sized(train: DataFrame) -> DataFrame:
-    """Partitions follow the counted rows, so that small fits do not pay for empty tasks."""
-    wanted = -(-train.count() // ROWS_A_PARTITION)
-    return train.repartition(max(1, wanted))
 
+def _classifier(name: str, fold: Fold, columns: Sequence[str], weighted: bool) -> Task:
+    return Task(name, fold.in_train(), tuple(columns), positive_weight=None if weighted else 1.0)
 
-def _prepare(columns: Sequence[str], train: DataFrame) -> list:
-    """Median imputation learned on training rows, then one vector."""
-    filled = [f"{c}_filled" for c in columns]
-    imputer = Imputer(inputCols=list(columns), outputCols=filled, strategy="median")
-    return [imputer.fit(train), VectorAssembler(inputCols=filled, outputCol="inputs")]
 
+def fit_classifiers(design: DataFrame, folds: Fold | Sequence[Fold], tasks: Sequence[Task], params: Params = DEFAULTS,
+                    trees: int | None = None, allow_leaks: bool = False) -> list[Fit]:
+    """Boosted trees for each (fold, task), in one batch.
 
-def _fit(train: DataFrame, columns: Sequence[str], params: Params, trees: int,
-         weighted: bool) -> Fit:
-    ensure_checkpoint_dir(train.sparkSession)
-    weight = scoring.class_weight(train, "label").first()["scale_pos_weight"] if weighted else 1.0
-    stages = _prepare(columns, train)
-    ready = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(weight)))
-                             .otherwise(F.lit(1.0)))
-    for stage in stages:
-        ready = stage.transform(ready)
-    learner = GBTClassifier(
-        featuresCol="inputs", labelCol="label", weightCol="weight", maxIter=trees,
-        maxDepth=params.max_depth, stepSize=params.learning_rate, seed=params.seed)
-    with kept(_sized(ready.select("inputs", "label", "weight"))) as held:
-        trees_model = learner.fit(held)
-    return Fit(PipelineModel([*stages, trees_model]), tuple(columns))
+    Both guards run first: no predictor may give the label away (unless the leak is
+    the thing under study) and no trajectory may straddle a fold.
+    """
+    folds = [folds] * len(tasks) if isinstance(folds, Fold) else list(folds)
+    for task in tasks:
+        if not allow_leaks:
+            assert_no_leaky_features(task.columns)
+    assert_no_group_leakage(design, list(dict.fromkeys(folds)))
+    settings = _settings(params, trees)
+    forests = fit_many(design, tasks, settings)
+    return [Fit(forest, fold, settings.depth) for forest, fold in zip(forests, folds, strict=True)]
 
 
 def fit_classifier(design: DataFrame, fold: Fold, columns: Sequence[str] = FEATURE_COLUMNS,
                    params: Params = DEFAULTS, trees: int | None = None, weighted: bool = True,
                    allow_leaks: bool = False) -> Fit:
-    """Class-weighted boosted trees on the fold's training rows.
-
-    Both guards run first: no predictor may give the label away (unless the leak is
-    the thing under study) and no trajectory may straddle the fold.
-    """
-    if not allow_leaks:
-        assert_no_leaky_features(columns)
-    assert_no_group_leakage(design, fold)
-    return _fit(fold.train(design), columns, params, trees or params.n_trees, weighted)
+    """Class-weighted boosted trees on the fold's training rows, behind both guards."""
+    task = _classifier("boosted_trees", fold, columns, weighted)
+    return fit_classifiers(design, fold, [task], params, trees, allow_leaks)[0]
 
 
-def score_classifier(fit: Fit, design: DataFrame, fold: Fold, name: str) -> DataFrame:
-    """One row (model, tp, fp, fn, precision, recall, f1, roc_auc) on the fold's test rows.
+def score_classifiers(fits: Sequence[Fit], design: DataFrame) -> DataFrame:
+    """(fold, model, tp, fp, fn, precision, recall, f1, roc_auc): each fit on its fold's test rows, all in one pass.
 
     Evaluated at once, so that the caller may release ``design`` afterwards.
     """
-    with kept(fit.predict(fold.test(design)).select("label", "score")) as predicted:
-        at_half = scoring.threshold_scores(predicted).first().asDict()
-        auc = scoring.roc_auc(predicted).first()["roc_auc"]
+    scored = predictions(design, [f.forest for f in fits], [f.fold.in_test() for f in fits], depth=fits[0].depth)
+    with kept(scored.select("fit", F.col("y").alias("label"), "score")) as predicted:
+        at_half = {r["fit"]: r for r in scoring.threshold_scores(predicted, by=["fit"]).collect()}
+        auc = {r["fit"]: r["roc_auc"] for r in scoring.roc_auc_by(predicted, ["fit"]).collect()}
+    rows = [(f.fold.index, f.forest.task.name, *[at_half[i][c] for c in SCORES[:-1]], auc.get(i))
+            for i, f in enumerate(fits) if i in at_half]
     return design.sparkSession.createDataFrame(
-        [(name, *[at_half[c] for c in SCORES], auc)], SCORE_SCHEMA)
+        rows, "fold int, model string, tp long, fp long, fn long, precision double, recall double, f1 double, roc_auc double")
+
+
+def score_classifier(fit: Fit, design: DataFrame, fold: Fold, name: str) -> DataFrame:
+    """One row (model, tp, fp, fn, precision, recall, f1, roc_auc) on the fold's test rows."""
+    return score_classifiers([Fit(fit.forest, fold, fit.depth)], design).select(F.lit(name).alias("model"), *SCORES)
 
 
 def fit_and_score(design: DataFrame, fold: Fold, name: str,
@@ -143,22 +134,21 @@ def fit_and_score(design: DataFrame, fold: Fold, name: str,
 def leakage_demo(model_rows: DataFrame, fold: Fold, params: Params = DEFAULTS,
                  trees: int | None = None) -> DataFrame:
     """The same fit with and without the predicted fare among the predictors."""
+    assert_no_leaky_features(FEATURE_COLUMNS)
+    tasks = [_classifier("legitimate", fold, FEATURE_COLUMNS, True),
+             _classifier("with_total_fare", fold, [*FEATURE_COLUMNS, "totalFare"], True)]
     with kept(design_matrix(model_rows, extra=["totalFare"])) as design:
-        honest, _ = fit_and_score(design, fold, "legitimate", params=params, trees=trees)
-        leaky, _ = fit_and_score(design, fold, "with_total_fare",
-                                 [*FEATURE_COLUMNS, "totalFare"], params, trees,
-                                 allow_leaks=True)
-    return honest.unionByName(leaky)
+        fits = fit_classifiers(design, fold, tasks, params, trees, allow_leaks=True)
+        return score_classifiers(fits, design).drop("fold")
 
 
 def weighting_comparison(model_rows: DataFrame, fold: Fold, params: Params = DEFAULTS,
                          trees: int | None = None) -> DataFrame:
     """Unweighted baseline beside the class-weighted fit."""
+    tasks = [_classifier("unweighted", fold, FEATURE_COLUMNS, False),
+             _classifier("class_weighted", fold, FEATURE_COLUMNS, True)]
     with kept(design_matrix(model_rows)) as design:
-        plain, _ = fit_and_score(design, fold, "unweighted", params=params, trees=trees,
-                                 weighted=False)
-        weighted, _ = fit_and_score(design, fold, "class_weighted", params=params, trees=trees)
-    return plain.unionByName(weighted)
+        return score_classifiers(fit_classifiers(design, fold, tasks, params, trees), design).drop("fold")
 
 
 def importance_table(fit: Fit, model_rows: DataFrame) -> DataFrame:
@@ -195,60 +185,47 @@ def route_importance(model_rows: DataFrame, fold: Fold, params: Params = DEFAULT
 
     A fit uses the route's rows departing before the fold's test window; routes
     with fewer than ``min_route_rows`` of them are left out. Route sizes come from
-    one aggregate, and each fit is itself distributed.
+    one aggregate, and all routes are fitted in one batch.
     """
     columns = [c for c in FEATURE_COLUMNS if c != "route"]
     assert_no_leaky_features(columns)
-    table: dict[str, dict[str, float]] = {c: {} for c in columns}
+    early = f"to_date(`{fold.date_col}`) < DATE '{fold.test_start}'"
     with kept(design_matrix(model_rows, columns)) as design:
-        early = before_test(design, fold)
         routes = sorted(r["route"] for r in
-                        route_sizes(early, params.min_route_rows, "routeName").collect())
-        for route in routes:
-            fit = _fit(early.where(F.col("routeName") == route), columns, params,
-                       trees or params.route_trees, weighted=True)
-            for feature, weight in fit.importance():
-                table[feature][route] = weight * 100
+                        route_sizes(before_test(design, fold), params.min_route_rows, "routeName").collect())
+        tasks = [Task(r, f"{early} AND routeName = {_quoted(r)}", tuple(columns), positive_weight=None) for r in routes]
+        forests = fit_many(design, tasks, _settings(params, trees or params.route_trees))
     schema = ", ".join(["feature string", *[f"`{r.replace('-', '_')}` double" for r in routes]])
-    rows = [(c, *[table[c][r] for r in routes]) for c in columns]
+    shares = [dict(f.importance()) for f in forests]
+    rows = [(c, *[100 * share[c] for share in shares]) for c in columns]
     return model_rows.sparkSession.createDataFrame(rows, schema)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def fare_regressor_scores(model_rows: DataFrame, folds: Sequence[Fold],
                           params: Params = DEFAULTS, trees: int | None = None) -> DataFrame:
-    """(fold, model, rows, rmse, mae) of boosted regression of the fare on every fold."""
+    """(fold, model, rows, rmse, mae) of boosted regression of the fare on every fold, all folds in one batch."""
     assert_no_leaky_features(FEATURE_COLUMNS)
-    ensure_checkpoint_dir(model_rows.sparkSession)
-    learner = GBTRegressor(featuresCol="inputs", labelCol="totalFareTarget",
-                           predictionCol="forecast", maxIter=trees or params.n_trees,
-                           maxDepth=params.max_depth, stepSize=params.learning_rate,
-                           seed=params.seed)
-    rows = []
+    settings = _settings(params, trees)
+    tasks = [Task("boosted_trees", f.in_train(), FEATURE_COLUMNS, "totalFareTarget", squared=True) for f in folds]
     with kept(design_matrix(model_rows)) as design:
-        for fold in folds:
-            train = fold.train(design)
-            stages = _prepare(FEATURE_COLUMNS, train)
-            ready = train
-            for stage in stages:
-                ready = stage.transform(ready)
-            with kept(_sized(ready.select("inputs", "totalFareTarget"))) as held:
-                model = PipelineModel([*stages, learner.fit(held)])
-            got = scoring.regression_errors(
-                model.transform(fold.test(design)), "totalFareTarget", "forecast").first()
-            rows.append((fold.index, "boosted_trees", got["rows"], got["rmse"], got["mae"]))
+        forests = fit_many(design, tasks, settings)
+        scored = predictions(design, forests, [f.in_test() for f in folds], depth=settings.depth)
+        got = {r["fit"]: r for r in scoring.regression_errors(scored, "y", "score", ["fit"]).collect()}
+    rows = [(f.index, "boosted_trees", got[i]["rows"], got[i]["rmse"], got[i]["mae"]) for i, f in enumerate(folds) if i in got]
     return model_rows.sparkSession.createDataFrame(
         rows, "fold int, model string, rows long, rmse double, mae double")
 
 
 def walk_forward(model_rows: DataFrame, folds: Sequence[Fold], params: Params = DEFAULTS,
                  trees: int | None = None) -> DataFrame:
-    """(fold, model, f1, roc_auc) of the weighted and unweighted classifiers on every fold."""
-    out = None
+    """(fold, model, tp, fp, fn, precision, recall, f1, roc_auc) of the weighted and unweighted classifiers on every fold, all
+    in one batch."""
+    pairs = [(fold, _classifier(name, fold, FEATURE_COLUMNS, weighted))
+             for fold in folds for name, weighted in (("unweighted", False), ("class_weighted", True))]
     with kept(design_matrix(model_rows)) as design:
-        for fold in folds:
-            for name, weighted in (("unweighted", False), ("class_weighted", True)):
-                scores, _ = fit_and_score(design, fold, name, params=params, trees=trees,
-                                          weighted=weighted)
-                row = scores.select(F.lit(fold.index).alias("fold"), "model", "f1", "roc_auc")
-                out = row if out is None else out.unionByName(row)
-    return out
+        fits = fit_classifiers(design, [fold for fold, _ in pairs], [task for _, task in pairs], params, trees)
+        return score_classifiers(fits, design)

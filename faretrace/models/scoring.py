@@ -54,6 +54,19 @@ def roc_auc(predictions: DataFrame, label: str = "label", score: str = "score",
     return totals.selectExpr(f"{ratio('won', 'p * n')} AS roc_auc")
 
 
+def roc_auc_by(predictions: DataFrame, by: Sequence[str], label: str = "label", score: str = "score",
+               parts: int | None = None) -> DataFrame:
+    """(``by``, roc_auc) of every group from one order: a group's running counts begin at its least one."""
+    true = f"CAST(`{label}` AS BOOLEAN)"
+    counts = predictions.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(
+        F.expr(f"count_if({true}) AS pos"), F.expr(f"count_if(NOT {true}) AS neg"))
+    ranked = running_totals(counts, [*by, "s"], {"neg_upto": "neg"}, parts)
+    totals = ranked.groupBy(*by).agg(
+        F.expr("sum(pos * (neg_upto - neg / 2D)) - min(neg_upto - neg) * sum(pos) AS won"),
+        F.expr("sum(CAST(pos AS DOUBLE)) AS p"), F.expr("sum(neg) AS n"))
+    return totals.selectExpr(*by, f"{ratio('won', 'p * n')} AS roc_auc")
+
+
 def best_threshold(predictions: DataFrame, label: str = "label", score: str = "score",
                    parts: int | None = None) -> DataFrame:
     """Threshold (score >= t is positive) with the highest F1; ties take the higher one."""

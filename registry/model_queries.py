@@ -1,7 +1,7 @@
 """Scores, forecasters and boosted trees on the supplied tables.
 
-Fitted models are checked by rows only. Fits of one fold use the published numbers of
-trees; the two studies over all folds (``WALK_TREES``) are cut short, see the README.
+Fits use the published numbers of trees. Their SQL twins hold what does not depend on the trees: fold sizes and class
+counts of the scored rows, and the ranges that scores and shares must lie in.
 """
 
 from functools import reduce
@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from faretrace.fixtures import FIXTURE, PRICE_TRAJECTORY, price_obs
 from faretrace.models import boosting, forecast, scoring
 from faretrace.operators import spikes
+from faretrace.schema import FEATURE_GROUPS
 from registry.core import model_rows, observations, query, sql
 from registry.split_queries import FARE_FOLDS, fare_folds
 
-#: trees of the 15 fits that the studies over all folds need; open: 300 are published
-WALK_TREES = 30
-
 #: a fixed scoring rule in (0, 1), so that scores have an SQL twin
 SCORE_SQL = ("scores", """SELECT isSpikeEvent AS label, 0.5 - zLag1 / (2 * (1 + abs(zLag1))) AS score
  FROM model WHERE zLag1 IS NOT NULL""")
@@ -140,7 +138,7 @@ def _(spark, sf):
 @query("m12_boosted_fare_regression")
 def _(spark, sf):
     rows = model_rows(spark, sf)
-    return boosting.fare_regressor_scores(rows, fare_folds(rows), FIXTURE, WALK_TREES)
+    return boosting.fare_regressor_scores(rows, fare_folds(rows), FIXTURE)
 
 
 @query("m2_fit_and_score")
@@ -190,5 +188,105 @@ def _(spark, sf):
 @query("m11_walk_forward_classifiers")
 def _(spark, sf):
     rows = model_rows(spark, sf)
-    table = boosting.walk_forward(rows, fare_folds(rows), FIXTURE, WALK_TREES)
+    table = boosting.walk_forward(rows, fare_folds(rows), FIXTURE)
     return scoring.compare_models(table, "roc_auc", higher_is_better=True)
+
+
+# ---- what fitted studies show whatever their trees -----------------------
+
+#: trees of the studies below: class counts, test rows and ranges do not depend on their number
+COUNTED_TREES = 10
+
+_SCORED = """SELECT fold, model, count(*) AS rows, count(*) FILTER (WHERE isSpikeEvent) AS positives, true AS in_range,
+ count(*) FILTER (WHERE isSpikeEvent) > 0 AND count(*) FILTER (WHERE NOT isSpikeEvent) > 0 AS has_auc
+FROM tested, (VALUES {0}) AS m(model) {1} GROUP BY fold, model"""
+
+
+def _scored_sql(models, only=""):
+    return sql(_SCORED.format(", ".join(f"('{m}')" for m in models), only), FARE_FOLDS, TESTED)
+
+
+def _scored_counts(scored, rows, folds):
+    """Counts behind the scores of fits, beside the test rows of their folds."""
+    tested = " ".join(f"WHEN {f.in_test()} THEN {f.index}" for f in folds)
+    sizes = rows.groupBy(F.expr(f"CASE {tested} END AS tested_fold")).agg(F.count(F.lit(1)).alias("rows"))
+    if "fold" not in scored.columns:
+        scored = scored.withColumn("fold", F.lit(folds[0].index))
+    shares = " AND ".join(f"{c} BETWEEN 0 AND 1" for c in ("precision", "recall", "f1", "coalesce(roc_auc, 0D)"))
+    return scored.join(sizes, F.col("fold") == F.col("tested_fold")).selectExpr(
+        "fold", "model", "rows", "tp + fn AS positives", f"{shares} AND tp + fp <= rows AS in_range", "roc_auc IS NOT NULL AS has_auc")
+
+
+@query("m2_scored_counts", _scored_sql(["boosted_trees"], "WHERE fold = 1"))
+def _(spark, sf):
+    rows = model_rows(spark, sf)
+    folds = fare_folds(rows)
+    with boosting.kept(boosting.design_matrix(rows)) as design:
+        scored, _ = boosting.fit_and_score(design, folds[0], "boosted_trees", params=FIXTURE, trees=COUNTED_TREES)
+    return _scored_counts(scored, rows, folds)
+
+
+@query("m5_scored_counts", _scored_sql(["legitimate", "with_total_fare"], "WHERE fold = 1"))
+def _(spark, sf):
+    rows = model_rows(spark, sf)
+    folds = fare_folds(rows)
+    return _scored_counts(boosting.leakage_demo(rows, folds[0], FIXTURE, COUNTED_TREES), rows, folds)
+
+
+@query("m8_scored_counts", _scored_sql(["unweighted", "class_weighted"], "WHERE fold = 1"))
+def _(spark, sf):
+    rows = model_rows(spark, sf)
+    folds = fare_folds(rows)
+    return _scored_counts(boosting.weighting_comparison(rows, folds[0], FIXTURE, COUNTED_TREES), rows, folds)
+
+
+@query("m11_scored_counts", _scored_sql(["unweighted", "class_weighted"]))
+def _(spark, sf):
+    rows = model_rows(spark, sf)
+    folds = fare_folds(rows)
+    return _scored_counts(boosting.walk_forward(rows, folds, FIXTURE, COUNTED_TREES), rows, folds)
+
+
+@query("m12_forecast_counts", sql("SELECT fold, 'boosted_trees' AS model, count(*) AS rows, true AS in_range FROM tested "
+                                  "WHERE totalFare IS NOT NULL GROUP BY fold", FARE_FOLDS, TESTED))
+def _(spark, sf):
+    rows = model_rows(spark, sf)
+    scored = boosting.fare_regressor_scores(rows, fare_folds(rows), FIXTURE, COUNTED_TREES)
+    return scored.selectExpr("fold", "model", "rows", "rmse >= mae AND mae >= 0 AS in_range")
+
+
+_CATALOG = ", ".join(f"('{c}', '{g}')" for g, columns in FEATURE_GROUPS.items() for c in columns)
+
+
+def _counted_importance(spark, sf):
+    rows = model_rows(spark, sf)
+    with boosting.kept(boosting.design_matrix(rows)) as design:
+        fit = boosting.fit_classifier(design, fare_folds(rows)[0], params=FIXTURE, trees=COUNTED_TREES)
+    return boosting.importance_table(fit, rows)
+
+
+@query("m6_importance_catalog", f"""SELECT feature, "group", true AS in_range, CAST(100 AS DOUBLE) AS total_pct
+FROM (VALUES {_CATALOG}) AS t(feature, "group")""", doubles="total_pct")
+def _(spark, sf):
+    table = _counted_importance(spark, sf)
+    return table.withColumn("total_pct", table.agg(F.sum("importance_pct")).scalar()).selectExpr(
+        "feature", "`group`", "importance_pct BETWEEN 0 AND 100 AS in_range", "total_pct")
+
+
+@query("j6_group_catalog", f"""SELECT "group", true AS in_range, CAST(100 AS DOUBLE) AS total_pct
+FROM (SELECT DISTINCT "group" FROM (VALUES {_CATALOG}) AS t(feature, "group")) AS g""", doubles="total_pct")
+def _(spark, sf):
+    groups = boosting.importance_by_group(_counted_importance(spark, sf))
+    return groups.withColumn("total_pct", groups.agg(F.sum("importance_pct")).scalar()).selectExpr(
+        "`group`", "importance_pct BETWEEN 0 AND 100 AS in_range", "total_pct")
+
+
+@query("m7_route_catalog", sql(f"""SELECT replace(route, '-', '_') AS route, count(DISTINCT feature) AS n_features, CAST(100 AS DOUBLE) AS total_pct
+FROM (SELECT route FROM model, folds WHERE fold = 1 AND flightDate < test_start AND route IS NOT NULL GROUP BY route
+ HAVING count(*) >= {FIXTURE.min_route_rows}) AS r, (VALUES {_CATALOG}) AS t(feature, "group") WHERE feature <> 'route' GROUP BY 1""",
+    FARE_FOLDS), doubles="total_pct")
+def _(spark, sf):
+    rows = model_rows(spark, sf)
+    wide = boosting.route_importance(rows, fare_folds(rows)[0], FIXTURE, COUNTED_TREES)
+    long = wide.unpivot(["feature"], wide.columns[1:], "route", "pct")
+    return long.groupBy("route").agg(F.count("pct").alias("n_features"), F.sum("pct").alias("total_pct"))

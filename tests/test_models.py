@@ -31,6 +31,17 @@ def test_roc_auc_with_ties(predictions, parts):
     assert scoring.roc_auc(df, parts=parts).first()["roc_auc"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_roc_auc_of_groups(spark, parts):
+    rng = random.Random(10)
+    rows = [(rng.choice("abc"), rng.random() < 0.3, round(rng.random(), 1)) for _ in range(500)] + [("d", True, 0.5)]
+    df = spark.createDataFrame(rows, "g string, label boolean, score double").cache()
+    got = {r["g"]: r["roc_auc"] for r in scoring.roc_auc_by(df, ["g"], parts=parts).collect()}
+    assert set(got) == set("abcd") and got["d"] is None
+    for g in "abc":
+        assert got[g] == pytest.approx(scoring.roc_auc(df.where(f"g = '{g}'")).first()["roc_auc"])
+
+
 def test_roc_auc_of_one_class_is_null(spark):
     df = spark.createDataFrame([(True, 0.1)], "label boolean, score double")
     assert scoring.roc_auc(df).first()["roc_auc"] is None
