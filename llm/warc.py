@@ -34,9 +34,9 @@ from faretrace.session import cut_lineage, ensure_checkpoint_dir
 #: payloads below this many bytes are always written in full
 LEAST_PAYLOAD = 100
 #: a file is closed once it holds so many compressed bytes
-ROLL_BYTES = 64 << 20
-#: payload bytes of a shard, the unit of work of a task
-SHARD_BYTES = 256 << 20
+ROLL_BYTES = 256 << 20
+#: payload bytes of a shard, the unit of work of a task, which streams it; beyond ``MOST_SHARDS`` shards grow
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 20_000
 #: keys drawn for each border between shards
 DRAWN = 16
 #: all records carry this time, so that archives do not depend on when they were written
@@ -197,7 +197,8 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, s
     system.create_dir(posixpath.join(path, TEMPORARY), recursive=True)
     rows = page_rows(pages)
     keys = cut_lineage(rows.drop("html"))
-    shards = int(max(1, -(-(keys.agg(F.sum("payload_bytes")).first()[0] or 0) // shard_bytes)))
+    total = keys.agg(F.sum("payload_bytes")).first()[0] or 0
+    shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
     ids, hashes = borders(keys, shards)
     both = (_placed(rows, ids, hashes).withColumn("is_row", F.lit(True))
             .unionByName(_placed(revisits(keys, least_payload), ids, hashes).withColumn("is_row", F.lit(False)), True))
