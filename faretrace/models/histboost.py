@@ -4,17 +4,19 @@ A fit is a set of training rows, predictors and a target. The rows of all fits l
 each fit that trains on it. One job a level sums gradients and hessians into histograms keyed by (fit, node) over
 (predictor, bin) and chooses each node's split where the sums meet, so that the driver sees one row a node and the number
 of jobs does not depend on the number of fits. A missing value has a bin of its own and goes, at each split, to the side
-where the gain is larger. A fit in a batch equals the same fit alone.
+where the gain is larger. A fit in a batch equals the same fit alone. Fits of at most ``ROWS_A_PARTITION`` rows each lie
+in a partition of their own, where the same steps need no exchange and all trees are one job.
 
 Loss of a node with sums G and H is ``-G**2 / (2 * (H + l2))``; a split's gain is what it takes off. Bins are weighted
-quantiles of the training rows of their own fit. Margins are kept beside the blocks: a tree adds to them once,
-and every ``CUT_EVERY`` trees a checkpoint ends the lineage.
+quantiles of the training rows of their own fit. Margins are kept beside the blocks; the trees since they were written ride
+with each job and are added where blocks are read, and every ``CUT_EVERY`` trees a checkpoint writes them anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ MAX_BINS = 255
 SUMMARY = 4096
 #: rows of a block, and rows of a partition
 BLOCK_ROWS, ROWS_A_PARTITION = 16_384, 100_000
-#: trees between two checkpoints
-CUT_EVERY = 25
+#: trees between two checkpoints of the margins
+CUT_EVERY = 10
 #: least gain of a split
 LEAST_GAIN = 1e-6
 
@@ -73,6 +75,25 @@ class Tree:
     #: number of the last bin that goes left, as the cut stands for in the bins of the fit
     last_bin: np.ndarray
 
+    def grow(self, node: int, split: tuple, settings: Settings) -> list[int]:
+        """Take a node's split from ``best_splits``; the children, which are open now, or none if it is a leaf."""
+        feature, last_bin, missing_left, gain, gl, hl, gr, hr = split
+        if feature < 0:
+            self.value[node] = -settings.rate * gl / (hl + settings.l2)
+            return []
+        self.feature[node], self.last_bin[node], self.missing_left[node] = feature, last_bin, missing_left
+        self.split[node], self.gain[node] = True, gain
+        for child, g, h in ((2 * node, gl, hl), (2 * node + 1, gr, hr)):
+            self.value[child] = -settings.rate * g / (h + settings.l2)
+        return [2 * node, 2 * node + 1]
+
+    def with_cuts(self, edges: list[np.ndarray]) -> Tree:
+        """Cuts from the last bins; past the last cut only missing values go right."""
+        for node in np.flatnonzero(self.split):
+            own = edges[self.feature[node]]
+            self.cut[node] = own[self.last_bin[node]] if self.last_bin[node] < len(own) else np.inf
+        return self
+
     @classmethod
     def empty(cls, depth: int) -> Tree:
         n = 2 << depth
@@ -279,9 +300,9 @@ def _nodes(tree: Tree, bins: np.ndarray, missing: np.ndarray, depth: int) -> np.
 # ---- levels --------------------------------------------------------------
 
 
-SPLITS = """fit int, node int, feature int, bin int, missing_left boolean, gain double, gl double, hl double, gr double,
-hr double"""
-_SPLIT_NAMES = ["fit", "node", "feature", "bin", "missing_left", "gain", "gl", "hl", "gr", "hr"]
+SPLITS = """fit int, turn int, node int, feature int, bin int, missing_left boolean, gain double, gl double, hl double,
+gr double, hr double"""
+_SPLIT_NAMES = ["fit", "turn", "node", "feature", "bin", "missing_left", "gain", "gl", "hl", "gr", "hr"]
 
 
 def best_splits(g: np.ndarray, h: np.ndarray, missing: np.ndarray, settings: Settings) -> list[tuple]:
@@ -297,24 +318,26 @@ def best_splits(g: np.ndarray, h: np.ndarray, missing: np.ndarray, settings: Set
     gl, hl = np.cumsum(g, axis=2), np.cumsum(h, axis=2)
     # the last bin below that of missing values leaves nothing but them on the right
     usable = np.arange(width)[None, :] < missing[:, None]
-    out: list[tuple] = []
-    sides = []
-    for add in (0.0, 1.0):
-        l_g, l_h = gl + add * gm[:, :, None], hl + add * hm[:, :, None]
+    with_missing = np.flatnonzero((hm > 0).any(axis=0))
+    found: list[list[tuple]] = [[] for _ in range(n)]
+    for side, chosen in enumerate((columns, with_missing)):
+        if not len(chosen):
+            continue
+        l_g, l_h = gl[:, chosen], hl[:, chosen]
+        if side:
+            l_g, l_h = l_g + gm[:, chosen, None], l_h + hm[:, chosen, None]
         r_g, r_h = total_g[:, None, None] - l_g, total_h[:, None, None] - l_h
-        gain = (l_g ** 2 / (l_h + settings.l2) + r_g ** 2 / (r_h + settings.l2)
-                - (total_g ** 2 / (total_h + settings.l2))[:, None, None]) / 2
-        fits = usable[None] & (l_h >= settings.least_weight) & (r_h >= settings.least_weight)
-        sides.append((np.where(fits, gain, -np.inf), l_g, l_h, r_g, r_h))
-    both = np.stack([s[0] for s in sides], axis=3).reshape(n, -1)
-    best = both.argmax(axis=1)
+        allowed = (l_h >= settings.least_weight) & (r_h >= settings.least_weight) & usable[chosen]
+        kept = np.where(allowed, l_g * l_g / (l_h + settings.l2) + r_g * r_g / (r_h + settings.l2), -np.inf).reshape(n, -1)
+        for k, at in enumerate(kept.argmax(axis=1)):
+            f, b = divmod(int(at), width)
+            found[k].append((-kept[k, at], int(chosen[f]), b, side, l_g[k, f, b], l_h[k, f, b], r_g[k, f, b], r_h[k, f, b]))
+    out: list[tuple] = []
     for k in range(n):
-        gain = both[k, best[k]]
-        if not gain > LEAST_GAIN:
-            out.append((-1, 0, False, 0.0, total_g[k], total_h[k], 0.0, 0.0))
-            continue
-        f, b, side = np.unravel_index(best[k], (n_features, width, 2))
-        out.append((int(f), int(b), bool(side), gain, *(s[k, f, b] for s in sides[side][1:])))
+        minus, f, b, side, *sums = min(found[k])
+        gain = (-minus - total_g[k] ** 2 / (total_h[k] + settings.l2)) / 2
+        out.append((f, b, bool(side), gain, *sums) if gain > LEAST_GAIN
+                   else (-1, 0, False, 0.0, total_g[k], total_h[k], 0.0, 0.0))
     return out
 
 
@@ -327,6 +350,8 @@ class _Level:
         self.missing = widths
         self.n_columns = [len(w) for w in widths]
         self.settings = settings
+        #: for each turn since the margins were written, the trees of all fits
+        self.pending: list[list[Tree]] = []
         self.trees: list[Tree] = []
         self.open: list[list[int]] = []
         self.depth = 0
@@ -338,10 +363,10 @@ class _Level:
         w = np.where(y == 1, self.weights[fit], 1.0)
         return w * (p - y), np.maximum(w * p * (1 - p), 1e-16)
 
-    def histograms(self, batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+    def histograms(self, blocks: Iterable[tuple]) -> dict[int, np.ndarray]:
         """{fit: (2, open nodes, predictors, bins)} of sums of gradients and hessians."""
         held: dict[int, np.ndarray] = {}
-        for fit, bins, y, margin in _read_blocks(batches, self.n_columns):
+        for fit, bins, y, margin in blocks:
             if not self.open[fit]:
                 continue
             shape = len(self.open[fit]), self.n_columns[fit], int(self.missing[fit].max()) + 1
@@ -349,20 +374,15 @@ class _Level:
             place[self.open[fit]] = np.arange(shape[0])
             at = place[_nodes(self.trees[fit], bins, self.missing[fit], self.depth)]
             there = np.flatnonzero(at >= 0)
-            g, h = self.gradients(fit, y[there], margin[there])
+            g, h = self.gradients(fit, y[there], self.margins(fit, bins, margin)[there])
             cells = (at[there] * (shape[1] * shape[2]) + (np.arange(shape[1]) * shape[2])[:, None] + bins[:, there]).ravel()
             sums = np.stack([np.bincount(cells, np.tile(x, shape[1]), int(np.prod(shape))) for x in (g, h)])
             sums = sums.reshape(2, *shape)
             held[fit] = held[fit] + sums if fit in held else sums
         return held
 
-    def chosen(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Splits of a table that is a single partition."""
-        for fit, (g, h) in self.histograms(batches).items():
-            yield self.packed(fit, self.open[fit], best_splits(g, h, self.missing[fit], self.settings))
-
     def partial(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fit, sums in self.histograms(batches).items():
+        for fit, sums in self.histograms(_read_blocks(batches, self.n_columns)).items():
             for k, node in enumerate(self.open[fit]):
                 yield pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), pa.array([node], pa.int32()),
                                                   pa.array([sums[:, k].tobytes()])], ["fit", "node", "sums"])
@@ -375,52 +395,74 @@ class _Level:
                 held[fit, node] = held[fit, node] + sums if (fit, node) in held else sums
         for (fit, node), sums in sorted(held.items()):
             g, h = sums.reshape(2, 1, self.n_columns[fit], -1)
-            yield self.packed(fit, [node], best_splits(g, h, self.missing[fit], self.settings))
+            yield self.packed(fit, 0, [node], best_splits(g, h, self.missing[fit], self.settings))
+
+    def whole(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All splits of fits whose rows, at most ``ROWS_A_PARTITION`` each, lie here together."""
+        for fit, group in groupby(_read_blocks(batches, self.n_columns), key=lambda block: block[0]):
+            _, bins, y, margin = zip(*group, strict=True)
+            bins, y, margin = np.concatenate(bins, 1), np.concatenate(y), np.concatenate(margin)
+            for turn in range(self.settings.trees):
+                tree = self.trees[fit] = Tree.empty(self.settings.depth)
+                self.open[fit] = [1]
+                for self.depth in range(self.settings.depth):
+                    nodes = self.open[fit]
+                    if not nodes:
+                        break
+                    splits = best_splits(*self.histograms([(fit, bins, y, margin)])[fit], self.missing[fit], self.settings)
+                    yield self.packed(fit, turn, nodes, splits)
+                    self.open[fit] = [c for node, split in zip(nodes, splits, strict=True)
+                                      for c in tree.grow(node, split, self.settings)]
+                margin = margin + tree.value[_nodes(tree, bins, self.missing[fit], self.settings.depth)]
 
     @staticmethod
-    def packed(fit: int, nodes: list[int], splits: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*((fit, n, *s) for n, s in zip(nodes, splits, strict=True)), strict=True))
-        kinds = [pa.int32()] * 4 + [pa.bool_()] + [pa.float64()] * 5
+    def packed(fit: int, turn: int, nodes: list[int], splits: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*((fit, turn, n, *s) for n, s in zip(nodes, splits, strict=True)), strict=True))
+        kinds = [pa.int32()] * 5 + [pa.bool_()] + [pa.float64()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _SPLIT_NAMES)
 
-    def grown(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks with the finished trees added to their margins."""
+    def margins(self, fit: int, bins: np.ndarray, margin: np.ndarray) -> np.ndarray:
+        for trees in self.pending:
+            margin = margin + trees[fit].value[_nodes(trees[fit], bins, self.missing[fit], self.settings.depth)]
+        return margin
+
+    def written(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks with the pending trees added to their margins."""
         for fit, bins, y, margin in _read_blocks(batches, self.n_columns):
-            node = _nodes(self.trees[fit], bins, self.missing[fit], self.settings.depth)
-            yield _block_row(fit, bins, y, margin + self.trees[fit].value[node])
+            yield _block_row(fit, bins, y, self.margins(fit, bins, margin))
+
+
+def _splits(found: DataFrame) -> list[tuple]:
+    table = found.toArrow().sort_by([(c, "ascending") for c in ("fit", "turn", "node")])
+    return list(zip(*(table.column(c).to_pylist() for c in _SPLIT_NAMES), strict=True))
 
 
-def _grow(blocks: DataFrame, parts: int, level: _Level, forests: Sequence[Forest], cuts: list[list[np.ndarray]]) -> None:
-    """One tree for every fit, a job a level."""
+def _grow_level_by_level(blocks: DataFrame, parts: int, level: _Level, forests: Sequence[Forest]) -> None:
+    """One more tree for every fit, a job a level: histograms of the partitions meet by (fit, node)."""
     settings = level.settings
     level.trees = [Tree.empty(settings.depth) for _ in forests]
     level.open = [[1] for _ in forests]
-    for depth in range(settings.depth):
-        if not any(level.open):
+    for level.depth in range(settings.depth):
+        wide = min(parts, sum(map(len, level.open)))
+        if not wide:
             break
-        level.depth = depth
-        if parts == 1:
-            found = blocks.mapInArrow(level.chosen, SPLITS).collect()
-        else:
-            wide = max(1, min(parts, sum(map(len, level.open))))
-            found = (blocks.mapInArrow(level.partial, "fit int, node int, sums binary").repartition(wide, "fit", "node")
-                     .mapInArrow(level.merged, SPLITS).collect())
+        found = (blocks.mapInArrow(level.partial, "fit int, node int, sums binary").repartition(wide, "fit", "node")
+                 .mapInArrow(level.merged, SPLITS))
         level.open = [[] for _ in forests]
-        for r in sorted(found, key=lambda r: (r["fit"], r["node"])):
-            fit, node, tree = r["fit"], r["node"], level.trees[r["fit"]]
-            leaf = lambda g, h: -settings.rate * g / (h + settings.l2)
-            if r["feature"] < 0:
-                tree.value[node] = leaf(r["gl"], r["hl"])
-                continue
-            tree.feature[node], tree.last_bin[node], tree.missing_left[node] = r["feature"], r["bin"], r["missing_left"]
-            tree.split[node], tree.gain[node] = True, r["gain"]
-            edges = cuts[fit][r["feature"]]
-            # past the last cut only missing values are left on the right
-            tree.cut[node] = edges[r["bin"]] if r["bin"] < len(edges) else np.inf
-            tree.value[2 * node], tree.value[2 * node + 1] = leaf(r["gl"], r["hl"]), leaf(r["gr"], r["hr"])
-            level.open[fit] += [2 * node, 2 * node + 1]
+        for fit, _, node, *split in _splits(found):
+            level.open[fit] += level.trees[fit].grow(node, split, settings)
     for forest, tree in zip(forests, level.trees, strict=True):
         forest.trees.append(tree)
+    level.pending = [*level.pending, level.trees]
+
+
+def _grow_whole(blocks: DataFrame, level: _Level, forests: Sequence[Forest]) -> None:
+    """All trees of fits that lie in one partition each, in one job."""
+    level.trees, level.open = [Tree.empty(0)] * len(forests), [[1] for _ in forests]
+    for forest in forests:
+        forest.trees += [Tree.empty(level.settings.depth) for _ in range(level.settings.trees)]
+    for fit, turn, node, *split in _splits(blocks.sortWithinPartitions("fit").mapInArrow(level.whole, SPLITS)):
+        forests[fit].trees[turn].grow(node, split, level.settings)
 
 
 def _started(rows: DataFrame, tasks: Sequence[Task]) -> list[Forest]:
@@ -449,26 +491,29 @@ def fit_many(design: DataFrame, tasks: Sequence[Task], settings: Settings = Sett
     columns = _predictors(tasks)
     rows = _rows_of_fits(design, tasks, [t.rows for t in tasks], columns).where("y IS NOT NULL")
     forests = _started(rows, tasks)
-    parts = max(1, -(-sum(f.rows for f in forests) // ROWS_A_PARTITION))
-    held = rows.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    # fits that are small enough lie in one partition each, and need no exchange
+    together = max(f.rows for f in forests) <= ROWS_A_PARTITION
+    parts = min(len(tasks), 4096) if together else -(-sum(f.rows for f in forests) // ROWS_A_PARTITION)
+    held = rows.repartitionById(parts, F.col("fit") % parts) if together else rows.repartition(parts)
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)
     cuts = _fit_cuts(held, forests, columns, settings.max_bins)
     own = [[cuts.get((i, columns.index(c)), np.zeros(0)) for c in t.columns] for i, t in enumerate(tasks)]
     level = _Level(forests, [np.array([len(c) + 1 for c in edges]) for edges in own], settings)
-    blocks = _to_blocks(held, forests, columns, cuts).persist(StorageLevel.MEMORY_AND_DISK)
-    before = held
-    try:
+    blocks = cut_lineage(_to_blocks(held, forests, columns, cuts))
+    held.unpersist()
+    if together:
+        _grow_whole(blocks, level, forests)
+    else:
+        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
         for t in range(settings.trees):
-            # the first level fills the new blocks, which are read for all others
-            _grow(blocks, parts, level, forests, own)
-            before.unpersist()
-            # the trees are pickled here, so a lost block is made from them and not from later ones
-            before, blocks = blocks, blocks.mapInArrow(level.grown, BLOCKS)
-            if (t + 1) % CUT_EVERY == 0:
-                blocks = cut_lineage(blocks)
-            blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-    finally:
-        before.unpersist()
+            if len(level.pending) == CUT_EVERY:
+                written = cut_lineage(blocks.mapInArrow(level.written, BLOCKS))
+                blocks.unpersist()
+                blocks, level.pending = written.persist(StorageLevel.MEMORY_AND_DISK), []
+            _grow_level_by_level(blocks, parts, level, forests)
         blocks.unpersist()
+    for forest, edges in zip(forests, own, strict=True):
+        forest.trees = [tree.with_cuts(edges) for tree in forest.trees]
     return forests
 
 

@@ -85,9 +85,13 @@ def table(spark):
 SMALL = hb.Settings(trees=4, depth=3, rate=0.3)
 
 
+@pytest.mark.parametrize("spread", [False, True])
 @pytest.mark.parametrize("target,squared,weight", [("label", False, 1.0), ("label", False, None), ("fare", True, 1.0)])
-def test_equals_plain_version(table, target, squared, weight):
+def test_equals_plain_version(table, monkeypatch, target, squared, weight, spread):
     rows, frame = table
+    if spread:
+        monkeypatch.setattr(hb, "ROWS_A_PARTITION", 90)
+        monkeypatch.setattr(hb, "CUT_EVERY", 2)
     at = {"label": 4, "fare": 5}[target]
     used = [r for r in rows if r[at] is not None]
     (forest,) = hb.fit_many(frame, [hb.Task("x", "true", ("a", "b", "c"), target, squared, weight)], SMALL)
@@ -136,11 +140,13 @@ def jobs_of(spark, run):
     return after - before
 
 
-def test_jobs_do_not_grow_with_fits(spark, table):
+@pytest.mark.parametrize("a_partition", [90, 100_000])
+def test_jobs_do_not_grow_with_fits(spark, table, monkeypatch, a_partition):
     _, frame = table
+    monkeypatch.setattr(hb, "ROWS_A_PARTITION", a_partition)
     one = jobs_of(spark, lambda: hb.fit_many(frame, TASKS[:1], SMALL))
     many = jobs_of(spark, lambda: hb.fit_many(frame, [hb.Task(f"t{i}", f"id % 9 <> {i}", ("a", "b", "c")) for i in range(9)], SMALL))
-    assert many <= one + 2 and one <= SMALL.trees * SMALL.depth + 12
+    assert many <= one + 2 and one <= 2 * SMALL.trees * SMALL.depth + 12
 
 
 def test_missing_values_are_never_filled(table):
