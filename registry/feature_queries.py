@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from faretrace.fixtures import FIXTURE, table
 from faretrace.functions import scalars
-from faretrace.operators import features as feats
+from faretrace.operators import asof, features as feats
 from faretrace.schema import FEATURE_GROUPS
 from registry.core import (
     DAYPART_CASE, HORIZON_CASE, HORIZON_RANK_CASE, features, model_rows, observations, query, sql,
@@ -167,3 +167,35 @@ def _(spark, sf):
         *KEY, "size(sequence) AS length", "get(sequence.totalFare, 0) AS oldest",
         "get(sequence.totalFare, 9) AS newest",
         "aggregate(sequence.totalFare, 0D, (a, x) -> a + x) AS total")
+
+
+# ---- events and intervals as tables --------------------------------------
+
+
+@query("j3_asof_events", """
+WITH rows AS (SELECT l_orderkey AS orderKey, l_linenumber AS lineNumber, CAST(l_shipdate AS DATE) AS day FROM lineitem),
+events AS (SELECT DISTINCT o_orderkey % 7 + 1 AS market, CAST(o_orderdate AS DATE) AS at FROM orders),
+past AS (SELECT r.*, e.at AS last_at FROM rows AS r ASOF LEFT JOIN events AS e ON r.lineNumber = e.market AND r.day >= e.at),
+onward AS (SELECT p.*, e.at AS next_at FROM past AS p ASOF LEFT JOIN events AS e ON p.lineNumber = e.market AND p.day <= e.at)
+SELECT orderKey, lineNumber, day, last_at, next_at, CAST(CASE WHEN last_at IS NULL OR next_at - day < day - last_at THEN day - next_at
+ ELSE day - last_at END AS INTEGER) AS days_to_nearest FROM onward""")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").selectExpr("l_orderkey AS orderKey", "l_linenumber AS lineNumber", "CAST(l_shipdate AS DATE) AS day")
+    events = table(spark, sf, "orders").selectExpr("o_orderkey % 7 + 1 AS market", "CAST(o_orderdate AS DATE) AS at")
+    found = asof.with_events(rows, events, "day", "at", ["lineNumber"], ["market"])
+    return found.selectExpr("orderKey", "lineNumber", "day", "last_event.day AS last_at", "next_event.day AS next_at",
+                            f"{asof.days_to_nearest('day')} AS days_to_nearest")
+
+
+@query("j2_interval_counts", """
+WITH folds AS (SELECT p_partkey AS fold, DATE '1992-01-01' + CAST(p_partkey * 13 % 2400 AS INTEGER) AS s, CAST(p_size AS INTEGER) AS w FROM part),
+i AS (SELECT fold, 'train' AS side, s AS a, s + 3 * w AS b FROM folds UNION ALL SELECT fold, 'test', s + 3 * w + 1, s + 4 * w FROM folds)
+SELECT fold, side, count(l_orderkey) AS rows, count(l_orderkey) FILTER (WHERE l_returnflag = 'R') AS positives
+FROM i LEFT JOIN lineitem ON CAST(l_shipdate AS DATE) BETWEEN a AND b GROUP BY fold, side""")
+def _(spark, sf):
+    folds = table(spark, sf, "part").selectExpr(
+        "p_partkey AS fold", "CAST(DATE'1992-01-01' + CAST(p_partkey * 13 % 2400 AS INT) AS DATE) AS s", "CAST(p_size AS INT) AS w")
+    intervals = folds.selectExpr("fold", """inline(array(struct('train' AS side, s AS start, date_add(s, 3 * w) AS end),
+        struct('test' AS side, date_add(s, 3 * w + 1) AS start, date_add(s, 4 * w) AS end)))""")
+    lines = table(spark, sf, "lineitem").selectExpr("CAST(l_shipdate AS DATE) AS day", "l_returnflag = 'R' AS flag")
+    return asof.interval_counts(lines, intervals, "day", "flag")

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faretrace.fixtures import FIXTURE, PRICE_TRAJECTORY, price_obs
-from faretrace.models import boosting, forecast, scoring
+from faretrace.models import boosting, forecast, sarima, scoring
 from faretrace.operators import spikes
 from faretrace.schema import FEATURE_GROUPS
 from registry.core import model_rows, observations, query, sql
-from registry.split_queries import FARE_FOLDS, fare_folds
+from registry.split_queries import FARE_FOLDS, fare_folds, folds_cte
 
 #: a fixed scoring rule in (0, 1), so that scores have an SQL twin
 SCORE_SQL = ("scores", """SELECT isSpikeEvent AS label, 0.5 - zLag1 / (2 * (1 + abs(zLag1))) AS score
@@ -135,6 +135,28 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("m12_sarima")
+def _(spark, sf):
+    obs = observations(spark, sf)
+    return sarima.forecasts(obs, fare_folds(obs), params=FIXTURE)
+
+
+OBS_FOLDS = folds_cte("obs_folds", "obs", "flightDate", FIXTURE.n_splits, FIXTURE.test_days)
+
+
+# lags of 8 days and then of 7 leave the 16th training day of a route as its first complete one
+@query("m12_sarima_days", sql("""
+SELECT fold, d.route, flightDate, mean_fare, n > 7 AND (SELECT count(*) FROM days AS t WHERE t.route = d.route AND t.flightDate
+  BETWEEN train_start AND train_end) >= 16 AS has_forecast
+FROM days AS d, obs_folds WHERE flightDate BETWEEN test_start AND test_end""", OBS_FOLDS, ("days", """
+SELECT *, row_number() OVER (PARTITION BY route ORDER BY flightDate) AS n
+FROM (SELECT flightDate, route, avg(totalFare) AS mean_fare FROM coach GROUP BY 1, 2) AS a""")), doubles="mean_fare")
+def _(spark, sf):
+    obs = observations(spark, sf)
+    found = sarima.forecasts(obs, fare_folds(obs), params=FIXTURE)
+    return found.selectExpr("fold", "route", "flightDate", "mean_fare", "forecast IS NOT NULL AS has_forecast")
+
+
 @query("m12_boosted_fare_regression")
 def _(spark, sf):
     rows = model_rows(spark, sf)
