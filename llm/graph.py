@@ -50,7 +50,8 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     Two rounds propose pairs. The first pairs each id with the bucket leader that shares most keys with it, or with each
     of its buckets' leaders if verifying is cheap (``every_leader``). The second takes only buckets that still hold several components and proposes every near pair across components. Pairs
     within a component cannot change the result: members of a bucket's largest component are not compared
-    with each other, so a hot bucket of copies is never expanded, and ``near`` is part of the join.
+    with each other, so a hot bucket of copies is never expanded, ``near`` is part of the join, and a pair comes from the
+    first of its common keys alone.
     """
     leaders = cut_lineage(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
                           .where("leader < last").select("key", "leader"))
@@ -70,10 +71,12 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
                .agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("n"))
                .where("n > 1").select("key", "largest"))
     still_open = cut_lineage(grouped.join(largest, "key"))
-    known = cut_lineage(features(still_open.select("id").distinct()))
+    keys = still_open.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    known = cut_lineage(features(still_open.select("id").distinct()).join(keys, "id"))
     full = still_open.join(known, "id")
     x, y = full.where("component <> largest").alias("x"), full.alias("y")
     pairs = (x.join(y, F.expr("x.key = y.key AND x.component <> y.component "
-                              f"AND (y.component = y.largest OR x.id < y.id) AND {near}"))
+                              f"AND (y.component = y.largest OR x.id < y.id) AND {near} "
+                              "AND x.key = element_at(array_intersect(x.keys, y.keys), 1)"))
              .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     return components(first.union(verify(cut_lineage(pairs))))
