@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from faretrace.fixtures import FARE_TRAJECTORY, FIXTURE, fare_obs
-from faretrace.operators import features as feats, spikes, splits
+from faretrace.operators import features as feats, increments, spikes, splits
 from faretrace.plans.trajectory import on_trajectories
 from faretrace.schema import (
     FEATURE_COLUMNS, FEATURE_GROUPS, LEAKY_COLUMNS, MODELLING_COLUMNS, MissingColumns,
 )
-from faretrace.session import ensure_checkpoint_dir
-from faretrace.sources import ingest
+from faretrace.session import cut_lineage, ensure_checkpoint_dir
+from faretrace.sources import clustered, ingest
 from registry.core import features, labelled, model_rows, observations, query, sql
 from registry.split_queries import FARE_FOLDS, fare_folds
 
@@ -186,3 +186,31 @@ def _(spark, sf):
     folds = fare_folds(rows)
     return spark.createDataFrame([(f.index, f.n_train(rows), f.n_test(rows), str(f)) for f in folds],
                                  "fold int, n_train long, n_test long, text string")
+
+
+LABELLED_ROWS = "legId, obsId, rollMean, rollStd, isLabelable, isSpike, isSpikeEvent"
+
+
+@query("s9_clustered_labels", sql(f"SELECT {LABELLED_ROWS} FROM labelled"), doubles="rollMean rollStd")
+def _(spark, sf):
+    """Labels computed from an item-clustered stage, without an exchange."""
+    table = clustered.write_clustered(observations(spark, sf), f"stage_{uuid.uuid4().hex}", shared_folder(spark, "clustered"),
+                                      FARE_TRAJECTORY, 16)
+    return spikes.detect_spikes(table, FARE_TRAJECTORY, FIXTURE).select(*LABELLED_ROWS.split(", "))
+
+
+@query("l5_incremental_labels", sql(f"SELECT {LABELLED_ROWS} FROM labelled"), doubles="rollMean rollStd")
+def _(spark, sf):
+    """The history up to a day, then two more batches; one row in fifty comes a batch late."""
+    obs = cut_lineage(observations(spark, sf).withColumn("batch", F.expr(
+        "CASE WHEN searchDate < DATE'2024-01-20' THEN 0 WHEN searchDate < DATE'2024-01-27' THEN 1 ELSE 2 END "
+        "+ CAST(obsId % 50 = 0 AND searchDate < DATE'2024-01-27' AS INT)")))
+    first = obs.where("batch = 0").drop("batch")
+    table = cut_lineage(spikes.detect_spikes(first, FARE_TRAJECTORY, FIXTURE))
+    state = increments.tail_state(table, FARE_TRAJECTORY, FIXTURE)
+    for batch in (1, 2):
+        new = obs.where(F.col("batch") == batch).drop("batch")
+        added = increments.label_increment(state, new, table, FARE_TRAJECTORY, FIXTURE)
+        state = cut_lineage(increments.next_state(state, new, FARE_TRAJECTORY, FIXTURE))
+        table = cut_lineage(increments.merged(table, added, new, FARE_TRAJECTORY))
+    return table.select(*LABELLED_ROWS.split(", "))
