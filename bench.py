@@ -3,7 +3,8 @@
 Every query is planned and run to the end (noop sink, all rows and columns).
 ``price_x3_*`` runs on three disjoint copies of the line items, about the
 row count of the published study (1.9 million), so its sweep and feature times
-can be read beside the published ones.
+can be read beside the published ones. ``fares_x25_feature_frame`` builds the whole frame,
+calendar and itinerary features included, from 25 copies of the fare observations.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame  # noqa: E402
 
-from faretrace.fixtures import FIXTURE, PRICE_TRAJECTORY, price_obs  # noqa: E402
+from faretrace.fixtures import FARE_TRAJECTORY, FIXTURE, PRICE_TRAJECTORY, fare_obs, price_obs  # noqa: E402
 from faretrace.operators import features, spikes  # noqa: E402
 from faretrace.session import build_session  # noqa: E402
+from faretrace.sources.ingest import clean  # noqa: E402
 from registry import SPARK  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -51,10 +53,17 @@ def features_x3(spark, _) -> DataFrame:
     return features.add_lagged_features(labelled, PRICE_TRAJECTORY)
 
 
+def feature_frame_x25(spark, _) -> DataFrame:
+    copies = fare_obs(spark, SF_DIR).selectExpr("*", "explode(sequence(1, 25)) AS copy")
+    moved = copies.selectExpr("concat(legId, '/', copy) AS legId", "* EXCEPT (legId, copy)")
+    return features.observations_to_features(clean(moved), FARE_TRAJECTORY, FIXTURE)
+
+
 def main() -> None:
     spark = build_session("bench", CPUS, CPUS)
     todo = {name: SPARK[name] for name in REGISTERED}
-    todo |= {"price_x3_window_sweep": sweep_x3, "price_x3_labels_and_lags": features_x3}
+    todo |= {"price_x3_window_sweep": sweep_x3, "price_x3_labels_and_lags": features_x3,
+             "fares_x25_feature_frame": feature_frame_x25}
     SPARK["s12_shape"](spark, SF_DIR).collect()  # start the executor threads once
     seconds = {}
     for name, fn in todo.items():

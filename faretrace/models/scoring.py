@@ -44,11 +44,23 @@ def score_counts(predictions: DataFrame, label: str, score: str) -> DataFrame:
         F.expr(f"count_if({true}) AS pos"), F.expr(f"count_if(NOT {true}) AS neg"))
 
 
+#: distinct scores that one task may order; beyond it the order is distributed
+ONE_TASK_SCORES = 100_000
+
+
+def _fixed(counts: DataFrame, parts: int | None) -> tuple[DataFrame, int | None]:
+    """Score counts, made once, and how many parts to order them in: their number is known once they are counted."""
+    counts = cut_lineage(counts)
+    if parts is None and counts.count() <= ONE_TASK_SCORES:
+        parts = 1
+    return counts, parts
+
+
 def roc_auc(predictions: DataFrame, label: str = "label", score: str = "score",
             parts: int | None = None) -> DataFrame:
     """Exact ROC AUC with half credit on ties: one row ``roc_auc`` (NULL for one class)."""
-    ranked = running_totals(score_counts(predictions, label, score), ["s"],
-                            {"neg_upto": "neg"}, parts)
+    counts, parts = _fixed(score_counts(predictions, label, score), parts)
+    ranked = running_totals(counts, ["s"], {"neg_upto": "neg"}, parts)
     totals = ranked.agg(F.expr("sum(pos * (neg_upto - neg / 2D)) AS won"),
                         F.expr("sum(CAST(pos AS DOUBLE)) AS p"), F.expr("sum(neg) AS n"))
     return totals.selectExpr(f"{ratio('won', 'p * n')} AS roc_auc")
@@ -60,6 +72,7 @@ def roc_auc_by(predictions: DataFrame, by: Sequence[str], label: str = "label",
     true = f"CAST(`{label}` AS BOOLEAN)"
     counts = predictions.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(
         F.expr(f"count_if({true}) AS pos"), F.expr(f"count_if(NOT {true}) AS neg"))
+    counts, parts = _fixed(counts, parts)
     ranked = running_totals(counts, [*by, "s"], {"neg_upto": "neg"}, parts)
     totals = ranked.groupBy(*by).agg(
         F.expr("sum(pos * (neg_upto - neg / 2D)) - min(neg_upto - neg) * sum(pos) AS won"),
@@ -71,7 +84,8 @@ def best_threshold(predictions: DataFrame, label: str = "label", score: str = "s
                    parts: int | None = None) -> DataFrame:
     """Threshold (score >= t is positive) with the highest F1; ties take the higher one."""
     # read twice; fixed once, so that what makes the scores runs once
-    counts = cut_lineage(score_counts(predictions, label, score)).withColumn("rank_key", -F.col("s"))
+    counts, parts = _fixed(score_counts(predictions, label, score), parts)
+    counts = counts.withColumn("rank_key", -F.col("s"))
     total = counts.agg(F.sum("pos").alias("p")).scalar()
     swept = running_totals(counts, ["rank_key"], {"tp": "pos", "fp": "neg"}, parts)
     f1 = f"coalesce({ratio('2D * tp', 'tp + fp + p')}, 0D)"
