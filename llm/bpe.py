@@ -16,26 +16,22 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from llm.memo import WordMemo
+
 LEAF = 4_096
 #: longer texts spread their leaves over tasks
 SPREAD = 32_768
 WINDOW = 8
-#: words that a task remembers with their ids, and the longest of them
-KNOWN = 200_000
-SHORT = 48
 _COMPOSED = re.compile("[\t\n\r -~\u00c0-\u012f\u0131-\u024f]*")
 _BLANKS = re.compile("[\t\n\r ]+")
-_SETTLED = re.compile("[ -~\u00a1-\u024f]*")
 
 
 @dataclass
@@ -70,10 +66,12 @@ class Codec:
         blanks = {"type": "CharDelimiterSplit", "delimiter": " "}
         self.single = Tokenizer.from_str(json.dumps(
             plain | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, bytes_only]}}))
-        self.known: dict[str, list[int]] = {}
-        self.split = None
+        self.memo = None
+        # without a decoder, decoding puts blanks between tokens
+        tokens = {i: t for t, i in (spec["model"]["vocab"] | self.special).items()}
+        self.spell = spell = None if spec["decoder"] else lambda ids: " ".join(map(tokens.__getitem__, ids))
         if spec["pre_tokenizer"]["type"] == "Sequence":
-            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.memo = WordMemo(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], self._encoded, spell)
         self.inside = Tokenizer.from_str(json.dumps(plain | {"model": model, "pre_tokenizer": bytes_only}))
 
     def segments(self, text: str) -> list[str | int]:
@@ -86,44 +84,32 @@ class Codec:
             return _BLANKS.sub(" ", text).lower()
         return self.normalizer.normalize_str(text) if self.normalizer else text
 
-    def word_ids(self, text: str) -> tuple[list[str], list[list[int]]] | None:
-        """Words of a stretch and their ids, each different word encoded once a task; None where the library splits.
+    def _encoded(self, words: list[str]) -> tuple[list[int], list[int]]:
+        encoded = self.single.encode(" ".join(words), add_special_tokens=False)
+        return encoded.ids, np.searchsorted(np.array(encoded.word_ids), np.arange(len(words) + 1)).tolist()
 
-        Only for characters whose classes no Unicode version has changed, and for words that are short.
-        """
-        if self.split is None or not _SETTLED.fullmatch(text):
-            return None
-        words = self.split.findall(text)
-        new = [w for w in set(words) if w not in self.known]
-        if any(len(w) > SHORT for w in new):
-            return None
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = list(set(words))
-        if new:
-            encoded = self.single.encode(" ".join(new), add_special_tokens=False)
-            ids, borders = encoded.ids, np.searchsorted(np.array(encoded.word_ids), np.arange(len(new) + 1)).tolist()
-            self.known.update((w, ids[b:e]) for w, b, e in zip(new, borders, borders[1:]))
-        return words, list(map(self.known.__getitem__, words))
+    def known_words(self, text: str) -> list[str] | None:
+        """Words of a normalised stretch whose ids the memo has; None where the library splits."""
+        return self.memo.words(text) if self.memo else None
 
     def ids(self, text: str) -> np.ndarray:
-        found = self.word_ids(text)
-        if found is None:
+        words = self.known_words(text)
+        if words is None:
             return np.array(self.words.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(list(chain.from_iterable(found[1])), np.uint32)
+        return self.memo.ids(words)
 
     def part(self, text: str, begin: int) -> Part:
-        found = self.word_ids(text)
-        if found is not None:
+        words = self.known_words(text)
+        if words is not None:
             # normalised white space is single blanks, and every other character belongs to a word
             letters = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) != 32)
-            upto = np.cumsum([len(w) for w in found[0]], dtype=np.int64)
-            sizes = np.array([len(i) for i in found[1]], np.int64)
+            upto = np.cumsum([len(w) for w in words], dtype=np.int64)
+            sizes = np.array([len(self.memo.known[w]) // 4 for w in words], np.int64)
             first = letters[np.concatenate([[0], upto[:-1]]).astype(np.int64)] if len(upto) else upto
             heads = np.zeros(int(sizes.sum()), bool)
             heads[np.cumsum(sizes) - sizes] = True
             # inner tokens stand at their word's places: joins inside words only concern long ones
-            return Part(np.array(list(chain.from_iterable(found[1])), np.uint32), np.repeat(first, sizes) + begin,
+            return Part(self.memo.ids(words), np.repeat(first, sizes) + begin,
                         np.repeat(letters[upto - 1] + 1 if len(upto) else upto, sizes) + begin, heads, begin, begin + len(text))
         encoded = self.words.encode(text, add_special_tokens=False)
         words = np.array([-1 if w is None else w for w in encoded.word_ids], np.int64)
@@ -193,8 +179,19 @@ class Codec:
                 out.append(self.joined(segment, [self.part(segment[x:y], x) for x, y in leaves(len(segment), leaf)]))
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
+    def encode_decode(self, text: str) -> tuple[np.ndarray, str]:
+        """A stretch of one leaf is decoded from its words."""
+        segments = self.segments(text)
+        if len(segments) == 1 and isinstance(segments[0], str) and len(segments[0]) <= LEAF:
+            words = self.known_words(segments[0])
+            if words is not None and self.memo.spell:
+                return self.memo.ids(words), " ".join(map(self.memo.spelled.__getitem__, words))
+        ids = self.encode(text)
+        return ids, self.decode(ids)
+
     def decode(self, ids: np.ndarray) -> str:
-        return self.whole.decode(ids.tolist(), skip_special_tokens=False)
+        ids = ids.tolist()
+        return self.spell(ids) if self.spell else self.whole.decode(ids, skip_special_tokens=False)
 
 
 def leaves(n: int, leaf: int) -> list[tuple[int, int]]:
@@ -219,10 +216,10 @@ def codec(path: str) -> Codec:
 OUTPUT = "doc_id long, ids binary, n_tokens long, decoded string"
 
 
-def _rows(doc_ids: pa.Array, ids: list[np.ndarray], coder: Codec) -> pa.RecordBatch:
+def _rows(doc_ids: pa.Array, coded: list[tuple[np.ndarray, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64()),
-         pa.array([coder.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+        [doc_ids, pa.array([i.astype("<u4").tobytes() for i, _ in coded], pa.binary()), pa.array([len(i) for i, _ in coded], pa.int64()),
+         pa.array([t for _, t in coded], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -239,7 +236,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                yield _rows(part.column("doc_id"), [coder.encode(t) for t in part.column("text").to_pylist()], coder)
+                yield _rows(part.column("doc_id"), [coder.encode_decode(t) for t in part.column("text").to_pylist()])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)

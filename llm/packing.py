@@ -9,9 +9,11 @@ of lengths and not on the number of documents: pieces find their places by their
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from faretrace.session import cut_lineage
+from llm.memo import WordMemo
 from llm.text import id_text
 
 CAPACITY = 1024
@@ -29,18 +32,46 @@ ROUNDS = 1_500
 #: sequences of a configuration are fixed only if at most this many tokens stay free in them
 WASTE = 1
 
-_tokenizers: dict[str, Tokenizer] = {}
+#: the words of a byte-level pre-tokenizer with its own pattern
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def tokenizer(path: str) -> Tokenizer:
-    """Loaded once a Python worker; truncation and padding off."""
-    if path not in _tokenizers:
+class Encoder:
+    """A byte-level tokenizer, truncation and padding off, with a memo of words; texts with an added token, unsettled characters
+    or long words go to the library whole."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        loaded = Tokenizer.from_file(path)
-        loaded.no_truncation()
-        loaded.no_padding()
-        _tokenizers[path] = loaded
-    return _tokenizers[path]
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        spec = json.loads(self.whole.to_str())
+        split = spec["pre_tokenizer"] or {}
+        simple = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        self.memo = WordMemo(BYTE_LEVEL_WORDS, self._encoded) if simple else None
+        self.added = [t["content"] for t in spec["added_tokens"]]
+
+    def _encoded(self, words: list[str]) -> tuple[list[int], list[int]]:
+        found = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        return list(chain.from_iterable(found)), [0, *accumulate(map(len, found))]
+
+    def ids(self, text: str) -> np.ndarray:
+        words = None
+        if self.memo and not any(t in text for t in self.added):
+            words = self.memo.words(text)
+        if words is None:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.memo.ids(words)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """Loaded once a Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -55,14 +86,13 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and the end id, cut to at most CAPACITY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path)
+        encode = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                encoded = encode.encode_batch_fast([t or "" for t in part.column("text").to_pylist()], add_special_tokens=False)
                 owner, rows = [], []
-                for i, e in enumerate(encoded):
-                    ids = np.array([*e.ids, END], "<u4")
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    ids = np.append(encode.ids(text or ""), np.uint32(END)).astype("<u4")
                     for k, (start, length) in enumerate(cuts(len(ids))):
                         owner.append(i)
                         rows.append((k, start, length, zlib.crc32(ids[start:start + length].tobytes())))
