@@ -18,8 +18,10 @@ WINDOW = 5
 _BLANKS = " \t\n\x0b\x0c\r"
 _BLANK = r"[\\x20\\x09-\\x0D]"
 _SYMBOLS = "#*$%&|<>"
-_BOILERPLATE = ("all rights reserved|terms of (use|service)|privacy policy|cookie(s| policy)|enable javascript|"
-                "click here|subscribe (now|to)|sign (in|up)|log ?in|licensed under|released under the")
+#: whole words of site furniture and licence notices; a line goes if they make up a ``SITE_SHARE``-th of its characters
+_BOILERPLATE = (r"\\b(all rights reserved|terms of (use|service)|privacy policy|cookies? policy|enable javascript|"
+                r"click here|subscribe (now|to)|sign (in|up)|log ?in|licensed under|released under the)\\b")
+SITE_SHARE = 8
 
 
 def _failing_line(line: str) -> str:
@@ -35,8 +37,9 @@ def _failing_line(line: str) -> str:
 
 
 def _boilerplate(line: str) -> str:
-    """A short line with a phrase of site furniture or a licence notice."""
-    return f"(length({line}) <= 200 AND lower({line}) RLIKE '{_BOILERPLATE}')"
+    """A line of which phrases of site furniture or of a licence notice are a good part, however long it is."""
+    rest = f"length(regexp_replace(lower({line}), '{_BOILERPLATE}', ''))"
+    return f"(lower({line}) RLIKE '{_BOILERPLATE}' AND {SITE_SHARE} * (length(lower({line})) - {rest}) >= length(lower({line})))"
 
 
 def judged(docs: DataFrame) -> DataFrame:
