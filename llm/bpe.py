@@ -31,7 +31,6 @@ LEAF = 4_096
 SPREAD = 32_768
 WINDOW = 8
 _COMPOSED = re.compile("[\t\n\r -~\u00c0-\u012f\u0131-\u024f]*")
-_BLANKS = re.compile("[\t\n\r ]+")
 
 
 @dataclass
@@ -81,7 +80,11 @@ class Codec:
 
     def normalised(self, text: str) -> str:
         if self.blank_and_lower and _COMPOSED.fullmatch(text):  # NFC changes none of these characters
-            return _BLANKS.sub(" ", text).lower()
+            for blank in "\t\n\r":
+                text = text.replace(blank, " ")
+            while "  " in text:
+                text = text.replace("  ", " ")
+            return text.lower()
         return self.normalizer.normalize_str(text) if self.normalizer else text
 
     def _encoded(self, words: list[str]) -> tuple[list[int], list[int]]:
@@ -103,13 +106,14 @@ class Codec:
         if words is not None:
             # normalised white space is single blanks, and every other character belongs to a word
             letters = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) != 32)
-            upto = np.cumsum([len(w) for w in words], dtype=np.int64)
-            sizes = np.array([len(self.memo.known[w]) // 4 for w in words], np.int64)
+            pieces = self.memo.pieces(words)
+            upto = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
             first = letters[np.concatenate([[0], upto[:-1]]).astype(np.int64)] if len(upto) else upto
             heads = np.zeros(int(sizes.sum()), bool)
             heads[np.cumsum(sizes) - sizes] = True
             # inner tokens stand at their word's places: joins inside words only concern long ones
-            return Part(self.memo.ids(words), np.repeat(first, sizes) + begin,
+            return Part(np.frombuffer(b"".join(pieces), np.uint32), np.repeat(first, sizes) + begin,
                         np.repeat(letters[upto - 1] + 1 if len(upto) else upto, sizes) + begin, heads, begin, begin + len(text))
         encoded = self.words.encode(text, add_special_tokens=False)
         words = np.array([-1 if w is None else w for w in encoded.word_ids], np.int64)

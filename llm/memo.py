@@ -12,8 +12,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: words that a task remembers, and the longest of them
-KNOWN = 200_000
+#: words that a task remembers, in two generations: words not met since the older one was young are forgotten
+KNOWN = 500_000
+#: longest of them
 SHORT = 48
 SETTLED = re.compile("[\t\n\r -~¡-ɏ]*")
 
@@ -41,27 +42,40 @@ class WordMemo:
         self.encode, self.spell = encode, spell
         self.known: dict[str, bytes] = {}
         self.spelled: dict[str, str] = {}
+        self.older, self.older_spelled = self.known, self.spelled
 
     def words(self, text: str) -> list[str] | None:
         """Words of a settled text, all of them known from then on; None for any other text, or one with a long word."""
         if not SETTLED.fullmatch(text):
             return None
         words = self.split(text)
-        new = {w for w in words if w not in self.known}
+        new = set(words).difference(self.known)
         if new:
             if max(map(len, new)) > SHORT:
                 return None
-            if len(self.known) + len(new) > KNOWN:
-                self.known.clear()
-                self.spelled.clear()
+            if len(self.known) + len(new) > KNOWN // 2:
+                self.older, self.older_spelled = self.known, self.spelled
+                self.known, self.spelled = {}, {}
                 new = set(words)
-            listed = list(new)
-            ids, borders = self.encode(listed)
-            data = np.array(ids, "<u4").tobytes()
-            self.known.update((w, data[4 * b:4 * e]) for w, b, e in zip(listed, borders, borders[1:], strict=False))
+            again = {w for w in new if w in self.older}
+            self.known.update((w, self.older[w]) for w in again)
             if self.spell:
-                self.spelled.update((w, self.spell(ids[b:e])) for w, b, e in zip(listed, borders, borders[1:], strict=False))
+                self.spelled.update((w, self.older_spelled[w]) for w in again)
+            self._learn(list(new - again))
         return words
 
+    def _learn(self, new: list[str]) -> None:
+        if not new:
+            return
+        ids, borders = self.encode(new)
+        data = np.array(ids, "<u4").tobytes()
+        self.known.update((w, data[4 * b:4 * e]) for w, b, e in zip(new, borders, borders[1:], strict=False))
+        if self.spell:
+            self.spelled.update((w, self.spell(ids[b:e])) for w, b, e in zip(new, borders, borders[1:], strict=False))
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, four bytes an id."""
+        return list(map(self.known.__getitem__, words))
+
     def ids(self, words: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)

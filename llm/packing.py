@@ -13,13 +13,12 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from faretrace.session import cut_lineage
 from llm.memo import WordMemo
@@ -49,11 +48,16 @@ class Encoder:
         split = spec["pre_tokenizer"] or {}
         simple = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         self.memo = WordMemo(BYTE_LEVEL_WORDS, self._encoded) if simple else None
+        # words of settled characters, one behind another: none has the character that parts them
+        self.single = Tokenizer.from_str(self.whole.to_str())
+        if simple:
+            self.single.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.Split("\x00", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.added = [t["content"] for t in spec["added_tokens"]]
 
     def _encoded(self, words: list[str]) -> tuple[list[int], list[int]]:
-        found = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
-        return list(chain.from_iterable(found)), [0, *accumulate(map(len, found))]
+        encoded = self.single.encode("\x00".join(words), add_special_tokens=False)
+        return encoded.ids, np.searchsorted(np.array(encoded.word_ids), np.arange(len(words) + 1)).tolist()
 
     def ids(self, text: str) -> np.ndarray:
         words = None
