@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faretrace.session import cut_lineage
-from llm.text import bit_filter, byte_texts, fetch, passes, prefix_sums, span_hashes
+from llm.text import bit_filter, bit_filtered, byte_texts, passes, prefix_sums, span_hashes
 
 SPAN = 200
 ANCHOR = 32
@@ -222,8 +222,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     open_kinds = kinds.join(several, "anchor")
     wanted = cut_lineage(open_kinds.groupBy("one.doc_id", "one.copy").agg(F.collect_list(F.struct(
         "anchor", "whole", "starts", "place", F.col("kinds").cast("long").alias("kinds"), F.col("one.at").alias("at"))).alias("wanted")))
-    shards = cut_lineage(fetch(given, wanted.select("doc_id").distinct()).withColumn("copy", F.xxhash64("text"))
-                         .dropDuplicates(["doc_id", "copy"]).join(wanted, ["doc_id", "copy"]).select("text", "wanted")
+    # repeated rows are combined before they move, and the join lies as they then do: texts move once
+    shards = cut_lineage(bit_filtered(given, "doc_id", wanted).dropDuplicates(["doc_id", "copy"])
+                         .join(wanted, ["doc_id", "copy"]).select("text", "wanted")
                          .mapInArrow(_texts, "anchor long, whole long, starts int, place int, kinds long, bytes binary"))
     calm = shards.where(f"kinds <= {HOT}")
     deals = max(1, calm.count() // DEAL)
