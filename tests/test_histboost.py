@@ -176,3 +176,36 @@ def test_summaries_keep_ranks():
     ranks = np.array([weights[values < c].sum() for c in cuts]) / weights.sum()
     assert len(cuts) == 63 and np.abs(ranks - np.arange(1, 64) / 64).max() < 2 / 512 + 1e-3
     assert hb.cuts_of(np.array([3.0, 1.0, 3.0, 2.0]), np.ones(4), 64).tolist() == [2.0, 3.0]
+
+
+def spread_out(monkeypatch, rows=90, a_task=40):
+    monkeypatch.setattr(hb, "ROWS_A_PARTITION", rows)
+    monkeypatch.setattr(hb, "ROWS_SIDE_BY_SIDE", a_task)
+    monkeypatch.setattr(hb, "BLOCK_ROWS", 20)
+
+
+def test_fits_over_several_tasks_equal_single_fits(table, monkeypatch):
+    """Their sums meet in files, some tasks hold rows of several fits and none holds rows of all."""
+    _, frame = table
+    alone = [hb.fit_many(frame, [t], SMALL)[0] for t in TASKS]
+    spread_out(monkeypatch)
+    for one, other in zip(alone, hb.fit_many(frame, TASKS, SMALL), strict=True):
+        same_forest(one, other)
+
+
+@pytest.mark.parametrize("held", [0, 40])
+def test_fits_too_large_for_memory_equal_single_fits(table, monkeypatch, held):
+    """A batch that the tasks cannot hold is halved; a fit that they cannot hold takes a job a level."""
+    _, frame = table
+    alone = [hb.fit_many(frame, [t], SMALL)[0] for t in TASKS]
+    spread_out(monkeypatch)
+    monkeypatch.setattr(hb, "HELD_ROWS", held)
+    for one, other in zip(alone, hb.fit_many(frame, TASKS, SMALL), strict=True):
+        same_forest(one, other)
+
+
+def test_jobs_do_not_grow_with_trees_of_large_fits(spark, table, monkeypatch):
+    _, frame = table
+    spread_out(monkeypatch)
+    few, many = (jobs_of(spark, lambda: hb.fit_many(frame, TASKS[:1], hb.Settings(trees=n, depth=3))) for n in (2, 9))  # noqa: B023
+    assert many == few
