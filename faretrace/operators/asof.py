@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretrace.plans import ordering
+from faretrace.session import cut_lineage
 
+#: rows of a partition, so that what a task sorts does not grow with the tables
+ROWS_A_PART = 200_000
 _EVENT, _FROM, _PART, _SERIAL = "__event", "__is_event", "__part", "__serial"
 
 
@@ -23,9 +26,11 @@ def with_events(df: DataFrame, events: DataFrame, day: str, event_day: str, by:
 
     Both are structs of the event's ``day`` and the ``carry`` columns, NULL where there is none; of events of one day the one
     that is smallest by its carried columns counts. Rows without a day have no events; a NULL market is a market.
+    Without ``parts`` both tables are counted, and their rows cut into parts of about ``ROWS_A_PART``.
     """
     event_by = by if event_by is None else event_by
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if parts is None else parts
+    if parts is None:
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(df.count() + events.count()) // ROWS_A_PART))
     market = [f"__m{i}" for i in range(len(by))]
     event = F.struct(F.to_date(event_day).alias("day"), *carry)
     listed = (events.where(F.col(event_day).isNotNull()).select(*(F.col(c).alias(m) for c, m in zip(event_by, market, strict=True)), event.alias(_EVENT))
@@ -37,7 +42,7 @@ def with_events(df: DataFrame, events: DataFrame, day: str, event_day: str, by:
     placed = ordering.place_in_order(both, [*market, "__day", F.desc(_FROM), "__tie"], parts)
 
     group = [_PART, *market]
-    pieces = placed.groupBy(*group).agg(F.min(_EVENT).alias("__first"), F.max(_EVENT).alias("__last"))
+    pieces = cut_lineage(placed.groupBy(*group).agg(F.min(_EVENT).alias("__first"), F.max(_EVENT).alias("__last")))
     across = Window.partitionBy(*(market or [F.lit(0)]))
     borders = pieces.select(
         *(F.col(c).alias(f"__b{c}") for c in group),
@@ -46,12 +51,12 @@ def with_events(df: DataFrame, events: DataFrame, day: str, event_day: str, by:
     same = F.col(_PART) == F.col(f"__b{_PART}")
     for m in market:
         same = same & F.col(m).eqNullSafe(F.col(f"__b{m}"))
-    # one row a partition, or one more where a market begins in it
-    side = borders if market else ordering.broadcast_if_small(borders, parts)
+    # one row a partition, or one more where a market begins in it; a broadcast spares the rows a third exchange
+    side = ordering.broadcast_if_small(borders, pieces.count())
     # frames that grow, once from each end: one that shrinks is summed anew for every row
     upto = (Window.unboundedPreceding, Window.currentRow)
     along = Window.partitionBy(*group)
-    found = placed.withColumns({
+    found = placed.repartition(parts, *group).withColumns({
         "__within": F.last(_EVENT, True).over(along.orderBy(_SERIAL).rowsBetween(*upto)),
         "__ahead": F.last(_EVENT, True).over(along.orderBy(F.desc(_SERIAL)).rowsBetween(*upto)),
     }).where(~F.col(_FROM)).join(side, same, "left")

@@ -5,6 +5,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from faretrace.operators import asof
 
@@ -71,3 +72,14 @@ def test_many_overlapping_intervals(spark):
     assert counts == {f: (sum(a <= d <= b for _, d, _ in rows if d), sum(a <= d <= b for _, d, y in rows if d and y)) for f, _, a, b in folds}
     plan = asof.in_intervals(df, intervals, "at")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_tasks_do_not_grow_with_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(asof, "ROWS_A_PART", 50)
+    rows, events = made(random.Random(8), 2000, 100)
+    df = spark.createDataFrame(rows, "id int, market string, at date")
+    ev = spark.createDataFrame(events, "place string, day date, name string")
+    found = asof.with_events(df, ev, "at", "day", ["market"], ["place"], ["name"])
+    sizes = found.select("id", F.spark_partition_id().alias("task")).groupBy("task").count().agg({"count": "max"}).first()[0]
+    assert sizes < 500
+    assert {r.id: tuple(e and tuple(e) for e in (r.last_event, r.next_event)) for r in found.collect()} == want(rows, events)
