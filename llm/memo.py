@@ -34,10 +34,11 @@ def settled_pattern(pattern: str) -> re.Pattern:
 
 class WordMemo:
     """``encode`` maps different words to all their ids and the places where each word's begin, and the end; ``spell``, if
-    given, ids to the words' decoded texts."""
+    given, ids to the words' decoded texts; ``known`` words are remembered, else ``KNOWN``."""
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[list[int], list[int]]],
-                 spell: Callable[[list[int]], str] | None = None):
+                 spell: Callable[[list[int]], str] | None = None, known: int | None = None):
+        self.most = KNOWN if known is None else known
         self.split = settled_pattern(pattern).findall
         self.encode, self.spell = encode, spell
         self.known: dict[str, bytes] = {}
@@ -53,7 +54,7 @@ class WordMemo:
         if new:
             if max(map(len, new)) > SHORT:
                 return None
-            if len(self.known) + len(new) > KNOWN // 2:
+            if len(self.known) + len(new) > self.most // 2:
                 self.older, self.older_spelled = self.known, self.spelled
                 self.known, self.spelled = {}, {}
                 new = set(words)

@@ -31,6 +31,9 @@ ROUNDS = 1_500
 #: sequences of a configuration are fixed only if at most this many tokens stay free in them
 WASTE = 1
 
+#: words that a task remembers, about 200 bytes each; encoding a word costs far more than finding it
+REMEMBERED = 1_200_000
+
 #: the words of a byte-level pre-tokenizer with its own pattern
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -47,7 +50,7 @@ class Encoder:
         spec = json.loads(self.whole.to_str())
         split = spec["pre_tokenizer"] or {}
         simple = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
-        self.memo = WordMemo(BYTE_LEVEL_WORDS, self._encoded) if simple else None
+        self.memo = WordMemo(BYTE_LEVEL_WORDS, self._encoded, known=REMEMBERED) if simple else None
         # words of settled characters, one behind another: none has the character that parts them
         self.single = Tokenizer.from_str(self.whole.to_str())
         if simple:

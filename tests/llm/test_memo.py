@@ -45,3 +45,17 @@ def test_word_tokenizer_equals_the_library(monkeypatch):
 def test_long_words_are_not_remembered():
     held = memo.WordMemo(r"\p{L}+", lambda words: ([1] * len(words), list(range(len(words) + 1))))
     assert held.words("a" * 49) is None and held.words("ab cd") == ["ab", "cd"] and set(held.known) == {"ab", "cd"}
+
+
+def test_a_larger_memo_encodes_fewer_words():
+    words = [f"{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(100)]
+    encoded = []
+    for known in (60, 400):
+        asked = []
+        held = memo.WordMemo(r"\p{L}+", lambda w: (asked.extend(w), ([1] * len(w), list(range(len(w) + 1))))[1], known=known)  # noqa: B023
+        for w in words * 3:
+            held.words(w)
+        assert len(held.known) <= known // 2
+        encoded.append(len(asked))
+    assert encoded == [300, 100]
+    assert Encoder(public_tokenizers.path("byte_bpe_50k.json")).memo.most > memo.KNOWN
