@@ -209,3 +209,47 @@ def test_jobs_do_not_grow_with_trees_of_large_fits(spark, table, monkeypatch):
     spread_out(monkeypatch)
     few, many = (jobs_of(spark, lambda: hb.fit_many(frame, TASKS[:1], hb.Settings(trees=n, depth=3))) for n in (2, 9))  # noqa: B023
     assert many == few
+
+
+def test_trees_are_the_same_bit_by_bit_however_rows_lie(table, monkeypatch):
+    """Sums are exact, so neither their order nor sums taken as differences move a value."""
+    _, frame = table
+    tasks = [hb.Task("all", "true", ("a", "b", "c"), positive_weight=None)]
+    (alone,) = hb.fit_many(frame, tasks, SMALL)
+    for rows, held in ((90, hb.HELD_ROWS), (90, 0)):
+        spread_out(monkeypatch, rows)
+        monkeypatch.setattr(hb, "HELD_ROWS", held)
+        (other,) = hb.fit_many(frame, tasks, SMALL)
+        for x, y in zip(alone.trees, other.trees, strict=True):
+            assert x.value.tolist() == y.value.tolist() and x.gain.tolist() == y.gain.tolist()
+
+
+def test_levels_sum_the_smaller_children_in_one_pass_a_bundle(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 2000
+    day = rng.integers(0, 40, n)
+    bins = np.stack([day, day % 7, day % 7 > 4, rng.integers(0, 200, n), rng.integers(0, 250, n)]).astype(np.uint8)
+    y = (rng.random(n) < 0.2 + 0.6 * (bins[3] > 90)).astype(float)
+    bundles = hb._bundles(bins)
+    assert sorted(sorted(m[0] for m in members) for _, members in bundles) == [[0, 1, 2], [3], [4]]
+    missing = [np.array([40, 7, 2, 200, 250])]
+    settings = hb.Settings(trees=2, depth=4)
+    level = hb._Level([hb.Forest(hb.Task("x", "", tuple("abcde")), rows=n)], missing, settings)
+    level.trees, level.open = [hb.Tree.empty(0)], [[]]
+    read, met, count = [], [], np.bincount
+    block = hb._Held(0, bins, y, np.zeros(n))
+
+    def meet(sums):
+        for node, of_node in zip(level.open[0], sums[0], strict=True):
+            at = block.rows[node]
+            for x, got in zip((block.g, block.h), of_node, strict=True):
+                plain = np.concatenate([count(b[at], x[at], w + 1) for b, w in zip(bins, missing[0], strict=True)])
+                assert got.tolist() == plain.tolist()
+        met.append(len(level.open[0]))
+        return {0: level.chosen(0, sums[0])}
+
+    monkeypatch.setattr(np, "bincount", lambda x, *rest: read.append(len(x)) or count(x, *rest))
+    list(level.grown([block], [0], meet))
+    assert max(met) > 4
+    # gradients and hessians of three bundles: all rows at the root, no more than half of them below
+    assert len(read) == 6 * len(met) and sum(x > n // 2 for x in read) == 6 * settings.trees
