@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faretrace.session import cut_lineage
-from llm.graph import linked_components
+from llm.graph import linked_components, shared_keys
 from llm.text import byte_texts, fetch, id_text, shingle_set, word_hashes
 
 WIDTH = 5
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.first("registers").alias("registers")))
     banded = distinct.select("id", F.explode(_keys()).alias("key"))
     final = linked_components(
-        banded, lambda pairs: _links(pairs, distinct, docs, percent),
+        shared_keys(banded), lambda pairs: _links(pairs, distinct, docs, percent),
         lambda ids: fetch(docs, ids.withColumnRenamed("id", "doc_id")).mapInArrow(
             _fine, "id long, n long, " + ", ".join(f"b{i} long" for i in range(FINE // 64))), _near(percent))
     named = distinct.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
