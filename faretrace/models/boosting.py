@@ -10,9 +10,9 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from faretrace.models import scoring
 from faretrace.models.histboost import Forest, Settings, Task, fit_many, predictions
@@ -22,6 +22,7 @@ from faretrace.operators.features import (
 from faretrace.operators.splits import Fold, assert_no_group_leakage
 from faretrace.params import DEFAULTS, Params
 from faretrace.schema import FEATURE_COLUMNS
+from faretrace.session import cut_lineage
 
 
 SCORES = ("tp", "fp", "fn", "precision", "recall", "f1", "roc_auc")
@@ -62,12 +63,17 @@ def design_matrix(model_rows: DataFrame, columns: Sequence[str] = FEATURE_COLUMN
 
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Hold a frame that several fits read; it spills to disk and is rebuilt if lost."""
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield held
-    finally:
-        held.unpersist()
+    """Hold a frame that several fits read. It is written once, in partitions that follow its size: a persisted frame keeps
+    all shuffle partitions, and each of its many readers takes a task for every one of them."""
+    yield cut_lineage(df)
+
+
+def _table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows as a frame, by way of Arrow: a list of tuples would start Python workers to be read."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    names, types = zip(*(column.rsplit(" ", 1) for column in schema.split(", ")))
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(x, kinds[t]) for x, t in zip(columns, types, strict=True)], names=list(names)))
 
 
 def _settings(params: Params, trees: int | None) -> Settings:
@@ -114,8 +120,8 @@ def score_classifiers(fits: Sequence[Fit], design: DataFrame) -> DataFrame:
         auc = {r["fit"]: r["roc_auc"] for r in scoring.roc_auc_by(predicted, ["fit"]).collect()}
     rows = [(f.fold.index, f.forest.task.name, *[at_half[i][c] for c in SCORES[:-1]], auc.get(i))
             for i, f in enumerate(fits) if i in at_half]
-    return design.sparkSession.createDataFrame(
-        rows, "fold int, model string, tp long, fp long, fn long, precision double, recall double, f1 double, roc_auc double")
+    return _table(
+        design.sparkSession, rows, "fold int, model string, tp long, fp long, fn long, precision double, recall double, f1 double, roc_auc double")
 
 
 def score_classifier(fit: Fit, design: DataFrame, fold: Fold, name: str) -> DataFrame:
@@ -154,7 +160,7 @@ def weighting_comparison(model_rows: DataFrame, fold: Fold, params: Params = DEF
 def importance_table(fit: Fit, model_rows: DataFrame) -> DataFrame:
     """(feature, group, importance_pct): one row per predictor."""
     spark = model_rows.sparkSession
-    rows = spark.createDataFrame(fit.importance(), "feature string, importance double")
+    rows = _table(spark, fit.importance(), "feature string, importance double")
     groups = F.broadcast(feature_groups(spark))  # fixed at 32 rows
     return rows.join(groups, "feature", "left").select(
         "feature", "group", (F.col("importance") * 100).alias("importance_pct"))
@@ -195,10 +201,10 @@ def route_importance(model_rows: DataFrame, fold: Fold, params: Params = DEFAULT
                         route_sizes(before_test(design, fold), params.min_route_rows, "routeName").collect())
         tasks = [Task(r, f"{early} AND routeName = {_quoted(r)}", tuple(columns), positive_weight=None) for r in routes]
         forests = fit_many(design, tasks, _settings(params, trees or params.route_trees))
-    schema = ", ".join(["feature string", *[f"`{r.replace('-', '_')}` double" for r in routes]])
+    schema = ", ".join(["feature string", *[f"{r.replace('-', '_')} double" for r in routes]])
     shares = [dict(f.importance()) for f in forests]
     rows = [(c, *[100 * share[c] for share in shares]) for c in columns]
-    return model_rows.sparkSession.createDataFrame(rows, schema)
+    return _table(model_rows.sparkSession, rows, schema)
 
 
 def _quoted(text: str) -> str:
@@ -216,8 +222,8 @@ def fare_regressor_scores(model_rows: DataFrame, folds: Sequence[Fold],
         scored = predictions(design, forests, [f.in_test() for f in folds], depth=settings.depth)
         got = {r["fit"]: r for r in scoring.regression_errors(scored, "y", "score", ["fit"]).collect()}
     rows = [(f.index, "boosted_trees", got[i]["rows"], got[i]["rmse"], got[i]["mae"]) for i, f in enumerate(folds) if i in got]
-    return model_rows.sparkSession.createDataFrame(
-        rows, "fold int, model string, rows long, rmse double, mae double")
+    return _table(
+        model_rows.sparkSession, rows, "fold int, model string, rows long, rmse double, mae double")
 
 
 def walk_forward(model_rows: DataFrame, folds: Sequence[Fold], params: Params = DEFAULTS,

@@ -5,7 +5,7 @@ each fit that trains on it. One job a level sums gradients and hessians into his
 (predictor, bin) and chooses each node's split where the sums meet, so that the driver sees one row a node and the number
 of jobs does not depend on the number of fits. A missing value has a bin of its own and goes, at each split, to the side
 where the gain is larger. A fit in a batch equals the same fit alone. Fits of at most ``ROWS_A_PARTITION`` rows each lie
-in a partition of their own, where the same steps need no exchange and all trees are one job.
+in a partition of their own, where the same steps need no exchange and bins and all trees are one job.
 
 Larger fits are one job too where the tasks that run at once can hold their rows: the tasks of a barrier stage keep
 blocks, margins and the rows of each node in memory from the first tree to the last, lay the sums of a level into files of
@@ -29,11 +29,12 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyarrow import NativeFile, fs
 from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
@@ -613,15 +614,6 @@ class _Level:
             for fit in fits:
                 self.turned(fit)
 
-    def whole(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All splits of fits whose rows, at most ``ROWS_A_PARTITION`` each, lie here together."""
-
-        def meet(sums: dict[int, np.ndarray]) -> dict[int, list[tuple]]:
-            return {fit: self.chosen(fit, x) for fit, x in sums.items()}
-
-        for fit, group in groupby(_read_blocks(batches, self.n_columns), key=lambda block: block[0]):
-            yield from self.grown([_Held(*block) for block in group], [fit], meet)
-
     def side_by_side(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All splits of fits whose rows lie in the tasks of this barrier stage; the first task returns them."""
         tasks = BarrierTaskContext.get()
@@ -685,7 +677,7 @@ class _Level:
 
 def _splits(found: DataFrame) -> list[tuple]:
     table = found.toArrow().sort_by([(c, "ascending") for c in ("fit", "turn", "node")])
-    return list(zip(*(table.column(c).to_pylist() for c in _SPLIT_NAMES), strict=True))
+    return list(zip(*(column.to_pylist() for column in table.columns), strict=True))
 
 
 def _grow_level_by_level(blocks: DataFrame, parts: int, level: _Level, forests: Sequence[Forest]) -> None:
@@ -708,17 +700,54 @@ def _grow_level_by_level(blocks: DataFrame, parts: int, level: _Level, forests:
     level.pending = [*level.pending, level.trees]
 
 
-def _grow_held(blocks: DataFrame, level: _Level, forests: Sequence[Forest], together: bool) -> None:
-    """All trees in one job: of fits that lie in one partition each (``together``), or of fits that lie in several whose
-    tasks run side by side."""
+def _whole_fits(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Fit, predictors and targets of fits that lie here one behind another, each with all of its rows."""
+    parts = ((int(fit), batch.filter(pa.compute.equal(batch.column("fit"), fit)))
+             for batch in batches for fit in np.unique(batch.column("fit").to_numpy()))
+    for fit, group in groupby(parts, key=lambda part: part[0]):
+        read = [(_matrix(batch, columns).astype(np.float32), batch.column("y").to_numpy()) for _, batch in group]
+        yield fit, np.concatenate([x for x, _ in read], 1), np.concatenate([y for _, y in read])
+
+
+def _grow_alone(rows: DataFrame, columns: Sequence[str], forests: Sequence[Forest], settings: Settings) -> None:
+    """Bins and all trees in one job, of fits of at most ``ROWS_A_PARTITION`` rows each that lie in one partition each. Bins
+    come from all rows of the fit at once, so that they do not depend on the order in which these arrive."""
+    for forest in forests:
+        forest.trees = [Tree.empty(settings.depth) for _ in range(settings.trees)]
+    bare = [replace(forest, trees=[]) for forest in forests]
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fit, x, y in _whole_fits(batches, columns):
+            weights = np.where(y == 1, bare[fit].weight, 1.0)
+            x = x[[columns.index(c) for c in bare[fit].task.columns]]
+            edges, bins = [], np.empty(x.shape, np.uint8)
+            for i, values in enumerate(x.astype(np.float64)):
+                there = ~np.isnan(values)
+                edges.append(cuts_of(values[there], weights[there], settings.max_bins))
+                bins[i] = np.where(there, np.searchsorted(edges[i], values, "right"), len(edges[i]) + 1)
+            level = _Level(bare[fit:fit + 1], [np.array([len(own) + 1 for own in edges])], settings)
+            level.trees, level.open = [Tree.empty(0)], [[]]
+            block = _Held(0, bins, y, np.full(len(y), bare[fit].start))
+            ends = [np.append(own, np.inf) for own in edges]  # past the last cut only missing values go right
+            for splits in level.grown([block], [0], lambda sums: {0: level.chosen(0, sums[0])}):  # noqa: B023
+                at = zip(splits.column("feature").to_pylist(), splits.column("bin").to_pylist(), strict=True)
+                cut = [0.0 if f < 0 else ends[f][min(b, len(ends[f]) - 1)] for f, b in at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([fit] * len(cut), pa.int32()), *splits.columns[1:], pa.array(cut, pa.float64())], [*_SPLIT_NAMES, "cut"])
+
+    for fit, turn, node, *split, cut in _splits(rows.mapInArrow(grow, f"{SPLITS}, cut double")):
+        tree = forests[fit].trees[turn]
+        if tree.grow(node, split, settings):
+            tree.cut[node] = cut
+
+
+def _grow_side_by_side(blocks: DataFrame, level: _Level, forests: Sequence[Forest]) -> None:
+    """All trees in one job, of fits that lie in several partitions whose tasks run side by side."""
     level.trees, level.open = [Tree.empty(0)] * len(forests), [[] for _ in forests]
     for forest in forests:
         forest.trees += [Tree.empty(level.settings.depth) for _ in range(level.settings.trees)]
-    if together:
-        found = _splits(blocks.sortWithinPartitions("fit").mapInArrow(level.whole, SPLITS))
-    else:
-        with shared_folder(blocks.sparkSession, "boosting") as level.folder:
-            found = _splits(blocks.mapInArrow(level.side_by_side, SPLITS, barrier=True))
+    with shared_folder(blocks.sparkSession, "boosting") as level.folder:
+        found = _splits(blocks.mapInArrow(level.side_by_side, SPLITS, barrier=True))
     for fit, turn, node, *split in found:
         forests[fit].trees[turn].grow(node, split, level.settings)
 
@@ -751,7 +780,7 @@ def _started(rows: DataFrame, tasks: Sequence[Task]) -> list[Forest]:
 
 
 def fit_many(design: DataFrame, tasks: Sequence[Task], settings: Settings = Settings()) -> list[Forest]:
-    """Fit all ``tasks`` on ``design`` together. Rows without a target train nothing. ``design`` is read three times:
+    """Fit all ``tasks`` on ``design`` together. Rows without a target train nothing. ``design`` is read two or three times:
     persist it or give a written table."""
     if not tasks:
         return []
@@ -760,17 +789,18 @@ def fit_many(design: DataFrame, tasks: Sequence[Task], settings: Settings = Sett
     rows = _rows_of_fits(design, tasks, [t.rows for t in tasks], columns).where("y IS NOT NULL")
     forests = _started(rows, tasks)
     total = sum(f.rows for f in forests)
-    # fits that are small enough lie in one partition each, and need no exchange
-    together = max(f.rows for f in forests) <= ROWS_A_PARTITION
+    if max(f.rows for f in forests) <= ROWS_A_PARTITION:
+        parts = min(len(tasks), 4096)
+        alone = rows.repartitionById(parts, F.col("fit") % parts)
+        _grow_alone(alone if parts == len(tasks) else alone.sortWithinPartitions("fit"), columns, forests, settings)
+        return forests
     slots = tasks_at_once(design.sparkSession)
-    side_by_side = not together and total <= slots * HELD_ROWS
-    if not together and not side_by_side and slots and len(tasks) > 1:
+    side_by_side = total <= slots * HELD_ROWS
+    if not side_by_side and slots and len(tasks) > 1:
         half = len(tasks) // 2
         return fit_many(design, tasks[:half], settings) + fit_many(design, tasks[half:], settings)
-    parts = min(len(tasks), 4096) if together else -(-total // ROWS_A_PARTITION)
-    if together:
-        held = rows.repartitionById(parts, F.col("fit") % parts)
-    elif side_by_side:
+    parts = -(-total // ROWS_A_PARTITION)
+    if side_by_side:
         held = _spread(rows, forests, min(-(-total // ROWS_SIDE_BY_SIDE), slots))
     else:
         held = rows.repartition(parts)
@@ -780,8 +810,8 @@ def fit_many(design: DataFrame, tasks: Sequence[Task], settings: Settings = Sett
     level = _Level(forests, [np.array([len(c) + 1 for c in edges]) for edges in own], settings)
     blocks = cut_lineage(_to_blocks(held, forests, columns, cuts))
     held.unpersist()
-    if together or side_by_side:
-        _grow_held(blocks, level, forests, together)
+    if side_by_side:
+        _grow_side_by_side(blocks, level, forests)
     else:
         blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
         for t in range(settings.trees):

@@ -13,6 +13,7 @@ from faretrace.fixtures import FIXTURE, PRICE_TRAJECTORY, price_obs
 from faretrace.models import boosting, forecast, sarima, scoring
 from faretrace.operators import spikes
 from faretrace.schema import FEATURE_GROUPS
+from faretrace.session import cut_lineage
 from registry.core import model_rows, observations, query, sql
 from registry.split_queries import FARE_FOLDS, fare_folds, folds_cte
 
@@ -157,15 +158,20 @@ def _(spark, sf):
     return found.selectExpr("fold", "route", "flightDate", "mean_fare", "forecast IS NOT NULL AS has_forecast")
 
 
+def fit_rows(spark, sf):
+    """Model rows, windowed once: folds, codes, designs and scores read them again and again."""
+    return cut_lineage(model_rows(spark, sf))
+
+
 @query("m12_boosted_fare_regression")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     return boosting.fare_regressor_scores(rows, fare_folds(rows), FIXTURE)
 
 
 @query("m2_fit_and_score")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     with boosting.kept(boosting.design_matrix(rows)) as design:
         scored, _ = boosting.fit_and_score(design, fare_folds(rows)[0], "boosted_trees",
                                            params=FIXTURE)
@@ -174,12 +180,12 @@ def _(spark, sf):
 
 @query("m5_leakage_demo")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     return boosting.leakage_demo(rows, fare_folds(rows)[0], FIXTURE)
 
 
 def _fitted_importance(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     with boosting.kept(boosting.design_matrix(rows)) as design:
         fit = boosting.fit_classifier(design, fare_folds(rows)[0], params=FIXTURE)
     return boosting.importance_table(fit, rows)
@@ -197,19 +203,19 @@ def _(spark, sf):
 
 @query("m7_route_importance")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     return boosting.route_importance(rows, fare_folds(rows)[0], FIXTURE)
 
 
 @query("m8_weighting_comparison")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     return boosting.weighting_comparison(rows, fare_folds(rows)[0], FIXTURE)
 
 
 @query("m11_walk_forward_classifiers")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     table = boosting.walk_forward(rows, fare_folds(rows), FIXTURE)
     return scoring.compare_models(table, "roc_auc", higher_is_better=True)
 
@@ -241,7 +247,7 @@ def _scored_counts(scored, rows, folds):
 
 @query("m2_scored_counts", _scored_sql(["boosted_trees"], "WHERE fold = 1"))
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     folds = fare_folds(rows)
     with boosting.kept(boosting.design_matrix(rows)) as design:
         scored, _ = boosting.fit_and_score(design, folds[0], "boosted_trees", params=FIXTURE, trees=COUNTED_TREES)
@@ -250,21 +256,21 @@ def _(spark, sf):
 
 @query("m5_scored_counts", _scored_sql(["legitimate", "with_total_fare"], "WHERE fold = 1"))
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     folds = fare_folds(rows)
     return _scored_counts(boosting.leakage_demo(rows, folds[0], FIXTURE, COUNTED_TREES), rows, folds)
 
 
 @query("m8_scored_counts", _scored_sql(["unweighted", "class_weighted"], "WHERE fold = 1"))
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     folds = fare_folds(rows)
     return _scored_counts(boosting.weighting_comparison(rows, folds[0], FIXTURE, COUNTED_TREES), rows, folds)
 
 
 @query("m11_scored_counts", _scored_sql(["unweighted", "class_weighted"]))
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     folds = fare_folds(rows)
     return _scored_counts(boosting.walk_forward(rows, folds, FIXTURE, COUNTED_TREES), rows, folds)
 
@@ -272,7 +278,7 @@ def _(spark, sf):
 @query("m12_forecast_counts", sql("SELECT fold, 'boosted_trees' AS model, count(*) AS rows, true AS in_range FROM tested "
                                   "WHERE totalFare IS NOT NULL GROUP BY fold", FARE_FOLDS, TESTED))
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     scored = boosting.fare_regressor_scores(rows, fare_folds(rows), FIXTURE, COUNTED_TREES)
     return scored.selectExpr("fold", "model", "rows", "rmse >= mae AND mae >= 0 AS in_range")
 
@@ -281,7 +287,7 @@ _CATALOG = ", ".join(f"('{c}', '{g}')" for g, columns in FEATURE_GROUPS.items()
 
 
 def _counted_importance(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     with boosting.kept(boosting.design_matrix(rows)) as design:
         fit = boosting.fit_classifier(design, fare_folds(rows)[0], params=FIXTURE, trees=COUNTED_TREES)
     return boosting.importance_table(fit, rows)
@@ -308,7 +314,7 @@ FROM (SELECT route FROM model, folds WHERE fold = 1 AND flightDate < test_start
  HAVING count(*) >= {FIXTURE.min_route_rows}) AS r, (VALUES {_CATALOG}) AS t(feature, "group") WHERE feature <> 'route' GROUP BY 1""",
     FARE_FOLDS), doubles="total_pct")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    rows = fit_rows(spark, sf)
     wide = boosting.route_importance(rows, fare_folds(rows)[0], FIXTURE, COUNTED_TREES)
     if len(wide.columns) == 1:  # no route has enough rows
         wide = wide.withColumn("none", F.lit(0.0)).limit(0)

@@ -6,7 +6,9 @@ import random
 import numpy as np
 import pytest
 
-from faretrace.models import histboost as hb
+from faretrace.models import boosting, histboost as hb
+from registry.core import model_rows
+from registry.model_queries import fit_rows
 
 
 def plain_boost(rows, y, weights, start, squared, settings):
@@ -253,3 +255,27 @@ def test_levels_sum_the_smaller_children_in_one_pass_a_bundle(monkeypatch):
     assert max(met) > 4
     # gradients and hessians of three bundles: all rows at the root, no more than half of them below
     assert len(read) == 6 * len(met) and sum(x > n // 2 for x in read) == 6 * settings.trees
+
+
+def test_bins_of_a_fit_do_not_depend_on_where_its_rows_come_from(spark, monkeypatch):
+    """Also with more values than a summary keeps, which tasks used to thin each by itself."""
+    monkeypatch.setattr(hb, "SUMMARY", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    frame = spark.range(3000).selectExpr("id * 7919 % 3000 / 7D AS a", "CAST(id * 31 % 17 > 8 AS DOUBLE) AS label")
+    task = hb.Task("x", "true", ("a",), positive_weight=None)
+    try:
+        one, other = (hb.fit_many(frame.repartition(n, column), [task], SMALL)[0] for n, column in ((2, "label"), (7, "a")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    same_forest(one, other)
+    assert any(tree.split.any() for tree in one.trees)
+
+
+def test_windows_of_fits_are_computed_once(spark, sf):
+    """Neither model rows nor designs are windowed again, or kept in all partitions of a shuffle, by those who read them."""
+    rows = fit_rows(spark, sf)
+    with boosting.kept(boosting.design_matrix(rows)) as design:
+        for frame in (rows, design):
+            plan = frame._jdf.queryExecution().toString()
+            assert "Window" not in plan and "InMemory" not in plan and "Exchange" not in plan
+        assert design.count() == model_rows(spark, sf).count() > 0
