@@ -279,3 +279,27 @@ def test_windows_of_fits_are_computed_once(spark, sf):
             plan = frame._jdf.queryExecution().toString()
             assert "Window" not in plan and "InMemory" not in plan and "Exchange" not in plan
         assert design.count() == model_rows(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("squared", [False, True])
+def test_held_rows_are_small_and_trees_the_same(monkeypatch, squared):
+    """A row is its codes, target, margin, gradient, hessian and place; in units or not, sums are the same."""
+    rng = np.random.default_rng(5)
+    n = 60_000
+    bins = np.stack([rng.integers(0, 200, n) for _ in range(8)]).astype(np.uint8)
+    y = (rng.random(n) < 0.2 + 0.5 * (bins[2] > 120)).astype(float)
+    missing = [np.full(8, 200)]
+
+    def grown(rows):
+        monkeypatch.setattr(hb, "COUNTED_ROWS", rows)
+        task = hb.Task("x", "", tuple("abcdefgh"), squared=squared)
+        level = hb._Level([hb.Forest(task, rows=1 << 22)], missing, hb.Settings(trees=3, depth=4))
+        level.trees, level.open = [hb.Tree.empty(0)], [[]]
+        block = hb._Held(0, bins, y, np.zeros(n))
+        splits = [b.to_pydict() for b in level.grown([block], [0], lambda sums: {0: level.chosen(0, sums[0])})]
+        arrays = [block.y, block.margin, block.g, block.h, *block.rows.values(), *(codes for codes, _ in block.bundles)]
+        return splits, sum(x.nbytes for x in arrays), block
+
+    (plain, _, _), (counted, size, block) = grown(1 << 40), grown(0)
+    assert plain == counted and len(plain) > 6
+    assert size <= n * (8 + 1 + 8 + (16 if squared else 8) + 4) and not hasattr(block, "bins")
